@@ -14,6 +14,8 @@ from dueline.operators.metrics import (
     quarantine_counts,
 )
 from dueline.operators.replay import (
+    DELIVERY_COLUMNS,
+    RELEASE_ORDER,
     cancelled_requests,
     classify,
     delivery_log,
@@ -24,9 +26,16 @@ from dueline.operators.replay import (
     tick_survivors,
     with_admission,
 )
-from dueline.operators.routing import restore_source, route, split_unknown_destinations
+from dueline.operators.routing import (
+    mark_known_destinations,
+    restore_source,
+    route,
+    split_unknown_destinations,
+)
 
 __all__ = [
+    "DELIVERY_COLUMNS",
+    "RELEASE_ORDER",
     "cancelled_requests",
     "classify",
     "counters",
@@ -36,6 +45,7 @@ __all__ = [
     "forwarded_per_tick",
     "ingest",
     "latest_request",
+    "mark_known_destinations",
     "ordered_release",
     "outcome_counts",
     "parse_messages",

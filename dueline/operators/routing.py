@@ -27,29 +27,37 @@ def route(messages: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
     return messages.withColumn("to_topic", F.make_valid_utf8(destination.cast("string")))
 
 
-def split_unknown_destinations(
-    deliveries: DataFrame,
-    known: DataFrame,
-    column: str = "destination",
-    broadcast_up_to: int = BROADCAST_DESTINATIONS,
-) -> tuple[DataFrame, DataFrame]:
-    """Split deliveries into those whose destination exists and the rest, for a dead-letter table.
+def mark_known_destinations(
+    deliveries: DataFrame, known: DataFrame, broadcast_up_to: int = BROADCAST_DESTINATIONS
+) -> DataFrame:
+    """Add ``known``: is the destination in the table ``known`` (column ``destination``)?
 
-    ``known`` is a table with the column ``destination``. A null destination is unknown. One busy
-    destination does not end up in one task: the names are broadcast if they are few, which is
-    checked, and joined on salted keys if not.
+    A null destination is unknown. One busy destination does not end up in one task: the names are
+    broadcast if they are few, which is checked, and joined on salted keys if not.
     """
-    names = known.select(F.col("destination").alias("_known")).distinct()
-    same = F.col(column) == F.col("_known")
+    names = known.select(F.col("destination").alias("_name"), F.lit(True).alias("_found")).distinct()
+    same = F.col("destination") == F.col("_name")
     if names.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
         names = F.broadcast(names)
     else:
-        names = names.withColumn("_known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        names = names.withColumn("_name_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         deliveries = deliveries.withColumn("_salt", message_lane(SALTS))
-        same = same & (F.col("_salt") == F.col("_known_salt"))
+        same = same & (F.col("_salt") == F.col("_name_salt"))
+    return (
+        deliveries.join(names, same, "left")
+        .withColumn("known", F.coalesce(F.col("_found"), F.lit(False)))
+        .drop("_name", "_found", "_salt", "_name_salt")
+    )
+
+
+def split_unknown_destinations(
+    deliveries: DataFrame, known: DataFrame, broadcast_up_to: int = BROADCAST_DESTINATIONS
+) -> tuple[DataFrame, DataFrame]:
+    """Deliveries whose destination exists, and the rest, for a dead-letter table."""
+    marked = mark_known_destinations(deliveries, known, broadcast_up_to)
     return (
-        deliveries.join(names, same, "left_semi").drop("_salt"),
-        deliveries.join(names, same, "left_anti").drop("_salt"),
+        marked.filter(F.col("known")).drop("known"),
+        marked.filter(~F.col("known")).drop("known"),
     )
 
 
