@@ -6,6 +6,7 @@ from dueline.operators.ingest import (
     requests_of,
     tag_requests,
     with_error_header,
+    with_stored_payload,
 )
 from dueline.operators.metrics import (
     counters,
@@ -25,6 +26,7 @@ from dueline.operators.replay import (
     pending_snapshot,
     tick_survivors,
     with_admission,
+    with_payload,
 )
 from dueline.operators.routing import (
     mark_known_destinations,
@@ -60,4 +62,6 @@ __all__ = [
     "tick_survivors",
     "with_admission",
     "with_error_header",
+    "with_payload",
+    "with_stored_payload",
 ]

@@ -88,22 +88,24 @@ def parse_messages(messages: DataFrame, names: HeaderNames = HeaderNames()) -> D
     )
 
 
-def requests_of(parsed: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
-    """The usable messages as requests: control headers off, empty key and value to null."""
+def with_stored_payload(messages: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
+    """Key, value and headers as they are kept: control headers off, empty key and value null."""
     empty = F.lit(b"")
-    return (
-        parsed.filter(F.col("reason").isNull())
-        .withColumns(
-            {
-                "key": F.nullif("key", empty),
-                "value": F.nullif("value", empty),
-                "headers": strip_control_headers(F.col("headers"), names),
-            }
-        )
-        .select(*REQUEST_COLUMNS)
+    return messages.withColumns(
+        {
+            "key": F.nullif("key", empty),
+            "value": F.nullif("value", empty),
+            "headers": strip_control_headers(F.col("headers"), names),
+        }
     )
 
 
+def requests_of(parsed: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
+    """The usable messages as requests."""
+    usable = parsed.filter(F.col("reason").isNull())
+    return with_stored_payload(usable, names).select(*REQUEST_COLUMNS)
+
+
 def quarantine_of(parsed: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
     """The messages that are no request, as they came, with the reason also as an error header."""
     return parsed.filter(F.col("reason").isNotNull()).select(
@@ -167,4 +169,5 @@ __all__ = [
     "requests_of",
     "tag_requests",
     "with_error_header",
+    "with_stored_payload",
 ]

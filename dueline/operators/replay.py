@@ -143,10 +143,11 @@ def delivery_log(
     if strict_expiry:
         fired = fired.filter(~F.col("expired_at_fire"))
     log = fired.withColumnRenamed("fire_at", "delivered_at").select(*DELIVERY_COLUMNS)
-    return _with_payload(log, requests) if payload else log
+    return with_payload(log, requests) if payload else log
 
 
-def _with_payload(narrow: DataFrame, requests: DataFrame) -> DataFrame:
+def with_payload(narrow: DataFrame, requests: DataFrame) -> DataFrame:
+    """Join key, value and headers back, by message id."""
     return narrow.join(requests.select(*MESSAGE_ID, *PAYLOAD), MESSAGE_ID)
 
 
@@ -226,7 +227,7 @@ def pending_snapshot(
             "id", *ARRIVAL_ORDER, "scheduled_sec", "scheduled_nano", "destination", "fire_at"
         )
     )
-    return _with_payload(pending, requests) if payload else pending
+    return with_payload(pending, requests) if payload else pending
 
 
 def due(pending: DataFrame, tick_us: int) -> DataFrame:

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-from dueline.operators import delivery_log, ingest
+from dueline.operators import delivery_log, ingest, with_payload, with_stored_payload
 from dueline.schema import HeaderNames, Timing
 from dueline.sources.deliveries import filed, read_delivered, write_files
 from dueline.streaming.job import (
+    STREAM_SETTINGS,
     FileSink,
     schedule_stream,
     start_file_delivery,
 )
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one with the settings that streams need."""
+    session = spark.newSession()
+    for name, value in STREAM_SETTINGS.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    return session
+
+
 def replay_messages(
     messages: DataFrame, timing: Timing = Timing(), names: HeaderNames = HeaderNames()
 ) -> DataFrame:
     """What a log of raw messages leads to: deliveries with their payload."""
     requests, _ = ingest(messages, names)
-    return delivery_log(requests, timing, payload=True)
+    # Payloads come straight from the messages, which saves reading the headers a second time.
+    return with_payload(delivery_log(requests, timing), with_stored_payload(messages, names))
 
 
 def replay_to_files(
@@ -34,18 +48,53 @@ def replay_to_files(
     return read_delivered(messages.sparkSession, path)
 
 
-def stream_to_files(
+def replay_stream_to_files(
     spark: SparkSession,
     messages: DataFrame,
     root: str,
+    replay_delay: str,
     timing: Timing = Timing(),
-    replay_delay: str | None = None,
     known: DataFrame | None = None,
     names: HeaderNames = HeaderNames(),
 ) -> DataFrame:
-    """Run a message stream until its input at hand is used up, and read what was written."""
+    """Run a message stream in message time until its input at hand is used up, and read what was
+    written."""
     requests, _ = ingest(messages, names)
     sink = FileSink(root)
     deliveries = schedule_stream(requests, timing, replay_delay)
     start_file_delivery(deliveries, sink, known, interval=None, names=names).awaitTermination()
     return read_delivered(spark, sink.deliveries, batches=True)
+
+
+def stream_to_files(
+    spark: SparkSession,
+    messages: DataFrame,
+    root: str,
+    timing: Timing = Timing(),
+    known: DataFrame | None = None,
+    names: HeaderNames = HeaderNames(),
+    seconds: float = 300,
+) -> DataFrame:
+    """Run a message stream by the clock until a micro-batch neither reads nor releases anything,
+    and read what was written. What is not due yet stays in the query's state."""
+    requests, _ = ingest(messages, names)
+    sink = FileSink(root)
+    running = start_file_delivery(schedule_stream(requests, timing), sink, known, names=names)
+    try:
+        wait_until_idle(running, seconds)
+    finally:
+        running.stop()
+    return read_delivered(spark, sink.deliveries, batches=True)
+
+
+def wait_until_idle(running: StreamingQuery, seconds: float) -> None:
+    deadline = time.monotonic() + seconds
+    while time.monotonic() < deadline:
+        if running.awaitTermination(1):
+            return
+        last = running.lastProgress
+        if last is not None and last.batchId > 0 and last.numInputRows == 0:
+            forwarded = last.observedMetrics.get("forwarded_records")
+            if forwarded is not None and forwarded["forwarded"] == 0:
+                return
+    raise TimeoutError(f"the stream was still busy after {seconds} seconds")

@@ -139,7 +139,8 @@ def start_file_delivery(
     """Write a delivery stream as files by destination; ``known`` is false in dead letters.
 
     Every micro-batch owns one directory and overwrites it, so one that is run again after a
-    failure leaves no row twice. ``interval=None`` runs until the input at hand is used up.
+    failure leaves no row twice. ``interval=None`` runs until the input at hand is used up; it is
+    for replays, as a query by the clock never runs out of ticks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
