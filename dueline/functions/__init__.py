@@ -12,13 +12,20 @@ from dueline.functions.instants import (
     instant_to_micros,
     parse_instants,
 )
-from dueline.functions.metadata import decode_metadata, encode_metadata
+from dueline.functions.metadata import (
+    decode_instants,
+    destination_bytes,
+    encode_metadata,
+    id_bytes,
+)
 
 __all__ = [
     "append_header",
     "ceil_to_grid",
-    "decode_metadata",
+    "decode_instants",
+    "destination_bytes",
     "encode_metadata",
+    "id_bytes",
     "instant_after",
     "instant_from_micros",
     "instant_to_micros",

@@ -17,63 +17,50 @@ INSTANT_TEXT = (
 )
 # Seconds beyond this do not fit a bigint of microseconds.
 MAX_MICRO_SECONDS = 9_000_000_000_000
-DAYS_IN_400_YEARS = 146_097
+SECONDS_IN_400_YEARS = 146_097 * 86_400
 
 
 def parse_instants(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     """Add ``<name>_sec`` and ``<name>_nano`` for each ISO instant text; null if it is not one.
 
-    The calendar repeats every 400 years, so a date is checked and counted inside 2000-2399 by
-    Spark's own date cast and moved by whole cycles. One projection per step, for all texts at
-    once: an intermediate value that is used twice is then computed once.
-    """
-    names = list(texts)
-    parts = {n: F.col(f"_{n}_parts") for n in names}
-    clock = {n: F.col(f"_{n}_clock") for n in names}
-    sec = {n: F.col(f"_{n}_epoch") for n in names}
+    The calendar repeats every 400 years, so a date and time are checked and counted inside
+    2000-2399 by Spark's own timestamp cast and moved by whole cycles. The end of a day may be
+    written 24:00:00, and a leap second counts as the second before it.
 
+    One projection per step, for all texts at once, so that a value used twice is computed once.
+    """
     df = df.withColumns(
-        {
-            f"_{n}_parts": F.split(F.upper(F.when(texts[n].rlike(INSTANT_TEXT), texts[n])), "[T:.Z]")
-            for n in names
-        }
+        {f"_{n}_text": F.upper(F.when(text.rlike(INSTANT_TEXT), text)) for n, text in texts.items()}
     )
-    df = df.withColumns({f"_{n}_clock": _clock_fields(parts[n]) for n in names})
-    df = df.withColumns({f"_{n}_epoch": _epoch_seconds(clock[n]) for n in names})
-    known = {n: sec[n].between(INSTANT_MIN[0], INSTANT_MAX[0]) for n in names}
+    steps = {}
+    for n in texts:
+        text = F.col(f"_{n}_text")
+        at = F.instr(text, "T")
+        steps[f"_{n}_year"] = F.substring(text, F.lit(1), at - 7).try_cast("bigint")
+        steps[f"_{n}_rest"] = F.substring(text, at - 6, F.lit(15))
+        fraction = F.substring(text, at + 10, F.length(text) - at - 10)
+        steps[f"_{n}_nano"] = F.rpad(fraction, 9, "0").try_cast("int")
+    df = df.withColumns(steps)
+    df = df.withColumns({f"_{n}_cycle": F.pmod(F.col(f"_{n}_year"), F.lit(400)) for n in texts})
+    df = df.withColumns({f"_{n}_epoch": _epoch_seconds(n) for n in texts})
+    known = {n: F.col(f"_{n}_epoch").between(INSTANT_MIN[0], INSTANT_MAX[0]) for n in texts}
     df = df.withColumns(
-        {f"{n}_sec": F.when(known[n], sec[n]) for n in names}
-        | {f"{n}_nano": F.when(known[n], clock[n]["nano"]) for n in names}
-    )
-    return df.drop(*[f"_{n}_{step}" for n in names for step in ("parts", "clock", "epoch")])
-
-
-def _clock_fields(parts: Column) -> Column:
-    """[date, hour, minute, second, fraction] -> struct of numbers."""
-    date = F.get(parts, F.lit(0))
-    return F.struct(
-        F.substring(date, F.lit(1), F.length(date) - 6).try_cast("bigint").alias("year"),
-        F.right(date, F.lit(6)).alias("month_day"),
-        *[
-            F.get(parts, F.lit(i)).try_cast("int").alias(name)
-            for i, name in [(1, "hour"), (2, "minute"), (3, "second")]
-        ],
-        F.rpad(F.get(parts, F.lit(4)), 9, "0").try_cast("int").alias("nano"),
+        {f"{n}_sec": F.when(known[n], F.col(f"_{n}_epoch")) for n in texts}
+        | {f"{n}_nano": F.when(known[n], F.col(f"_{n}_nano")) for n in texts}
     )
+    steps = ("text", "year", "rest", "nano", "cycle", "epoch")
+    return df.drop(*[f"_{n}_{step}" for n in texts for step in steps])
 
 
-def _epoch_seconds(clock: Column) -> Column:
-    hour, minute, second = clock["hour"], clock["minute"], clock["second"]
-    midnight_end = (hour == 24) & (minute == 0) & (second == 0) & (clock["nano"] == 0)
-    leap_second = (hour == 23) & (minute == 59) & (second == 60)
-    clock_ok = ((hour < 24) & (minute < 60) & (second < 60)) | midnight_end | leap_second
-
-    year_in_cycle = F.pmod(clock["year"], F.lit(400)) + 2000
-    date_in_cycle = F.concat(year_in_cycle, clock["month_day"]).try_cast("date")
-    cycles = F.call_function("div", clock["year"] - year_in_cycle, F.lit(400))
-    day = F.unix_date(date_in_cycle).cast("bigint") + cycles * DAYS_IN_400_YEARS
-    in_day = hour * 3600 + minute * 60 + F.least(second, F.lit(59))
-    return F.when(clock_ok, day * 86400 + in_day)
+def _epoch_seconds(name: str) -> Column:
+    year, rest, nano, cycle = (F.col(f"_{name}_{s}") for s in ("year", "rest", "nano", "cycle"))
+    day_end = F.endswith(rest, F.lit("T24:00:00")) & (nano == 0)
+    rest = F.when(day_end, F.concat(F.left(rest, F.lit(7)), F.lit("00:00:00"))).otherwise(
+        F.replace(rest, F.lit("T23:59:60"), F.lit("T23:59:59"))
+    )
+    in_cycle = F.concat(cycle + 2000, rest, F.lit("Z")).try_cast("timestamp").cast("bigint")
+    cycles = F.call_function("div", year - cycle - 2000, F.lit(400))
+    return in_cycle + cycles * SECONDS_IN_400_YEARS + F.when(day_end, 86400).otherwise(0)
 
 
 def instant_after(sec: Column, nano: Column, other_sec: Column, other_nano: Column) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dueline.functions.identifiers import uuid_from_hex
-from dueline.schema import INSTANT_MAX, INSTANT_MIN, METADATA_FIELDS
+from dueline.schema import INSTANT_MAX, INSTANT_MIN
 
 # The layout of the binary header. Numbers are big endian with the sign bit flipped.
 #   version, 1 byte | scheduled, expires, created: 8 bytes seconds + 4 bytes nanoseconds each
@@ -19,87 +18,67 @@ MIN_SIZE, MAX_SIZE = 53, 302
 
 SIGN_BIT_32 = 2**31
 NANOS_PER_SECOND = 1_000_000_000
-# Nanoseconds outside a second move the seconds by at most this much.
-MAX_CARRY = 3
 
 
-def decode_metadata(df: DataFrame, value: Column, into: str) -> DataFrame:
-    """Decode a binary metadata header.
+def decode_instants(df: DataFrame, value: Column, into: str) -> DataFrame:
+    """First half of reading a binary metadata header: is it usable, and its three instants.
 
-    Adds ``into``, a struct of the metadata fields or null if the header cannot be used, and
-    ``<into>_reject``, the reason it cannot: too_short, too_long, bad_version or bad_instant.
+    Adds ``<into>_<field>`` for the seconds and nanoseconds, all null if the header is not usable,
+    and ``<into>_reject``, the reason for that: too_short, too_long, bad_version or bad_instant.
+    Nanoseconds outside a second are carried into the seconds.
     """
-    digits, words, instants = (F.col(f"_{into}_{step}") for step in ("hex", "words", "instants"))
-    size = F.length(value)
-    bad_frame = (
-        F.when(size < MIN_SIZE, "too_short")
-        .when(size > MAX_SIZE, "too_long")
-        .when(F.hex(F.substring(value, 1, 1)) != VERSION_HEX, "bad_version")
-    )
-    df = df.withColumn(f"{into}_reject", bad_frame)
-    df = df.withColumn(f"_{into}_hex", F.when(F.col(f"{into}_reject").isNull(), F.hex(value)))
-    df = df.withColumn(
-        f"_{into}_words",
-        F.struct(
-            *[
-                _unsigned_32(digits, offset + 4 * i).alias(f"{name}_{i}")
-                for name, offset in INSTANT_OFFSETS.items()
-                for i in range(3)
-            ]
-        ),
-    )
+    reject, digits = F.col(f"{into}_reject"), F.col(f"_{into}_hex")
     df = df.withColumn(
-        f"_{into}_instants",
-        F.struct(
-            *[
-                column.alias(f"{name}_{unit}")
-                for name in INSTANT_OFFSETS
-                for unit, column in zip(("sec", "nano"), _instant(words, name), strict=True)
-            ]
-        ),
-    )
-    fields = {
-        f"{name}_{unit}": instants[f"{name}_{unit}"]
-        for name in INSTANT_OFFSETS
-        for unit in ("sec", "nano")
-    }
-    fields["id"] = uuid_from_hex(F.substring(digits, 1 + 2 * ID_OFFSET, 2 * ID_SIZE))
-    fields["destination"] = F.make_valid_utf8(
-        F.substring(value, 1 + DESTINATION_OFFSET, MAX_DESTINATION).cast("string")
+        f"{into}_reject",
+        F.when(F.length(value) < MIN_SIZE, "too_short")
+        .when(F.length(value) > MAX_SIZE, "too_long")
+        .when(F.hex(F.substring(value, 1, 1)) != VERSION_HEX, "bad_version"),
     )
-    usable = F.lit(True)
+    df = df.withColumn(f"_{into}_hex", F.when(reject.isNull(), F.hex(value)))
+    stored = {}
+    for name, offset in INSTANT_OFFSETS.items():
+        stored[f"_{into}_{name}_sec"] = _stored_seconds(digits, offset)
+        stored[f"_{into}_{name}_nano"] = _number(digits, 2 * offset + 17, 8) - SIGN_BIT_32
+    df = df.withColumns(stored)
+    carried, usable = {}, F.lit(True)
     for name in INSTANT_OFFSETS:
-        seconds = instants[f"{name}_sec"]
+        sec, nano = F.col(f"_{into}_{name}_sec"), F.col(f"_{into}_{name}_nano")
+        nano_in_second = F.pmod(nano, F.lit(NANOS_PER_SECOND))
+        carry = F.call_function("div", nano - nano_in_second, F.lit(NANOS_PER_SECOND))
+        carried[f"_{into}_{name}_sec"] = sec + carry
+        carried[f"_{into}_{name}_nano"] = nano_in_second.cast("int")
+        seconds = F.col(f"_{into}_{name}_sec")
         usable = usable & seconds.between(INSTANT_MIN[0], INSTANT_MAX[0])
-    usable = F.coalesce(usable, F.lit(False))
+    df = df.withColumns(carried)
+    df = df.withColumn(f"_{into}_usable", F.coalesce(usable, F.lit(False)))
+    fields = [f"{name}_{unit}" for name in INSTANT_OFFSETS for unit in ("sec", "nano")]
+    bad = digits.isNotNull() & ~F.col(f"_{into}_usable")
     df = df.withColumns(
-        {
-            into: F.when(usable, F.struct(*[fields[f].alias(f) for f in METADATA_FIELDS])),
-            f"{into}_reject": F.when(digits.isNotNull() & ~usable, "bad_instant").otherwise(
-                F.col(f"{into}_reject")
-            ),
-        }
+        {f"{into}_{f}": F.when(F.col(f"_{into}_usable"), F.col(f"_{into}_{f}")) for f in fields}
+        | {f"{into}_reject": F.when(bad, "bad_instant").otherwise(reject)}
     )
-    return df.drop(*[f"_{into}_{step}" for step in ("hex", "words", "instants")])
+    return df.drop(*[f"_{into}_{f}" for f in [*fields, "hex", "usable"]])
 
 
-def _unsigned_32(digits: Column, byte: int) -> Column:
-    """Four big-endian bytes of the hex text as a non-negative bigint."""
-    return F.conv(F.substring(digits, 1 + 2 * byte, 8), 16, 10).cast("bigint")
+def id_bytes(value: Column) -> Column:
+    return F.substring(value, 1 + ID_OFFSET, ID_SIZE)
 
 
-def _instant(words: Column, name: str) -> tuple[Column, Column]:
-    """Seconds and nanoseconds; nanoseconds outside a second are carried into the seconds.
+def destination_bytes(value: Column) -> Column:
+    return F.substring(value, 1 + DESTINATION_OFFSET, MAX_DESTINATION)
 
-    Seconds far outside the range of instants become null before the carry, so nothing overflows.
-    """
-    high, low, nano = (words[f"{name}_{i}"] for i in range(3))
-    sec = (high - SIGN_BIT_32) * 2**32 + low
-    near = sec.between(INSTANT_MIN[0] - MAX_CARRY, INSTANT_MAX[0] + MAX_CARRY)
-    nano = nano - SIGN_BIT_32
-    nano_in_second = F.pmod(nano, F.lit(NANOS_PER_SECOND))
-    carry = F.call_function("div", nano - nano_in_second, F.lit(NANOS_PER_SECOND))
-    return F.when(near, sec) + carry, nano_in_second.cast("int")
+
+def _number(digits: Column, start: int, length: int) -> Column:
+    """Up to 15 hex digits as a non-negative bigint."""
+    return F.conv(F.substring(digits, start, length), 16, 10).cast("bigint")
+
+
+def _stored_seconds(digits: Column, offset: int) -> Column:
+    """Eight bytes with the sign bit flipped. Instants need less than 60 bits, so the first digit
+    is 8 for seconds from 1970 on and 7 before; other numbers become null."""
+    first = F.substring(digits, 2 * offset + 1, 1)
+    rest = _number(digits, 2 * offset + 2, 15)
+    return F.when(first == "8", rest).when(first == "7", rest - 2**60)
 
 
 def encode_metadata(fields: dict[str, Column]) -> Column:

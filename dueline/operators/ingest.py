@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from dueline.functions import (
     append_header,
-    decode_metadata,
+    decode_instants,
+    destination_bytes,
     encode_metadata,
+    id_bytes,
     last_header,
     message_uuid,
     parse_instants,
@@ -25,7 +27,8 @@ from dueline.schema import (
     HeaderNames,
 )
 
-TEXT_INSTANTS = ["scheduled", "expires", "created"]
+INSTANTS = ["scheduled", "expires", "created"]
+INSTANT_FIELDS = [f"{name}_{unit}" for name in INSTANTS for unit in ("sec", "nano")]
 
 
 def extract_metadata(messages: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
@@ -36,43 +39,52 @@ def extract_metadata(messages: DataFrame, names: HeaderNames = HeaderNames()) ->
     Without a scheduled time or a destination all metadata columns are null. ``metadata_reject``
     says what is wrong with a binary header that is there but cannot be used.
     """
-    headers = messages["headers"]
-    df = messages.withColumn("_binary", last_header(headers, names.metadata))
-    df = decode_metadata(df, F.col("_binary"), "metadata")
-
-    # Text headers are looked up only where the binary one gave nothing.
-    def text_header(name: str) -> Column:
-        return F.when(F.col("metadata").isNull(), last_header(F.col("headers"), name))
+    df = messages.withColumn("_binary", last_header(F.col("headers"), names.metadata))
+    df = decode_instants(df, F.col("_binary"), "binary")
 
+    # The text headers, only where the binary one is of no use. The lambda also ends the generated
+    # method here: both halves in one would be too long for the JVM to compile.
+    usable = F.col("binary_scheduled_sec").isNotNull()
+    text_names = [name for name in names.control if name != names.metadata]
     df = df.withColumns(
         {
-            f"_{field}": text_header(getattr(names, field))
-            for field in [*TEXT_INSTANTS, "id", "destination"]
+            "_usable": usable,
+            "_text": F.when(~usable, F.filter("headers", lambda h: h["key"].isin(*text_names))),
         }
     )
-    df = parse_instants(df, {f"_text_{f}": F.col(f"_{f}").cast("string") for f in TEXT_INSTANTS})
+    df = df.withColumns(
+        {f"_{field}": last_header(F.col("_text"), getattr(names, field)) for field in INSTANTS}
+        | {
+            "_id": F.when(F.col("_usable"), id_bytes(F.col("_binary"))).otherwise(
+                last_header(F.col("_text"), names.id)
+            ),
+            "_destination": F.when(
+                F.col("_usable"), destination_bytes(F.col("_binary"))
+            ).otherwise(last_header(F.col("_text"), names.destination)),
+        }
+    )
+    df = parse_instants(df, {f"text_{f}": F.col(f"_{f}").cast("string") for f in INSTANTS})
 
-    text_fields = {
-        f"{f}_{unit}": F.col(f"_text_{f}_{unit}") for f in TEXT_INSTANTS for unit in ("sec", "nano")
-    }
+    found = {f: F.coalesce(F.col(f"binary_{f}"), F.col(f"text_{f}")) for f in INSTANT_FIELDS}
     for field, default in [("expires", INSTANT_MAX), ("created", INSTANT_MIN)]:
         for unit, value in zip(("sec", "nano"), default, strict=True):
-            key = f"{field}_{unit}"
-            text_fields[key] = F.coalesce(text_fields[key], F.lit(value))
-    text_fields["id"] = F.coalesce(
+            found[f"{field}_{unit}"] = F.coalesce(found[f"{field}_{unit}"], F.lit(value))
+    found["id"] = F.coalesce(
         parse_uuid(F.col("_id")), message_uuid(*[F.col(c) for c in MESSAGE_ID])
     )
-    text_fields["destination"] = F.make_valid_utf8(F.col("_destination").cast("string"))
-    complete = F.col("_text_scheduled_sec").isNotNull() & F.col("_destination").isNotNull()
-    found = [
-        F.coalesce(F.col("metadata")[f], F.when(complete, text_fields[f])).alias(f)
-        for f in METADATA_FIELDS
-    ]
-    # Through a generator of one row: the optimizer copies expressions into the filters above them,
-    # step into step, and here that would repeat the whole parsing many times over.
+    found["destination"] = F.make_valid_utf8(F.col("_destination").cast("string"))
+    is_request = F.coalesce("binary_scheduled_sec", "text_scheduled_sec").isNotNull() & F.col(
+        "_destination"
+    ).isNotNull()
+    # Through a generator of no or one row: the optimizer moves filters below projections and
+    # copies the expressions into them, step into step, which would repeat the whole parsing many
+    # times over. It does not do so here.
+    fields = F.struct(*[found[f].alias(f) for f in METADATA_FIELDS])
     return df.select(
-        *messages.columns, F.inline(F.array(F.struct(*found, F.col("metadata_reject"))))
-    )
+        *messages.columns,
+        F.col("binary_reject").alias("metadata_reject"),
+        F.inline_outer(F.when(is_request, F.array(fields))),
+    ).select(*messages.columns, *METADATA_FIELDS, "metadata_reject")
 
 
 def parse_messages(messages: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:

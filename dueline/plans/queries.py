@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from dueline.functions import (
     append_header,
-    decode_metadata,
+    decode_instants,
+    destination_bytes,
     encode_metadata,
+    id_bytes,
     parse_instants,
     parse_uuid,
     strip_control_headers,
@@ -39,6 +41,7 @@ from dueline.operators import (
     tick_survivors,
     with_admission,
 )
+from dueline.operators.ingest import INSTANT_FIELDS
 from dueline.plans.event_log import (
     EVENT_TIMING,
     binary_header,
@@ -325,12 +328,14 @@ def tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tag_requests(timed, {f: F.col(f) for f in METADATA_FIELDS}).select(
         "offset", F.element_at("headers", -1)["value"].alias("bytes"), F.size("headers").alias("n")
     )
-    decoded = decode_metadata(tagged, F.col("bytes"), "read")
+    decoded = decode_instants(tagged, F.col("bytes"), "read")
     return decoded.select(
         "offset",
         "n",
         F.lower(F.hex("bytes")).alias("bytes"),
-        *[F.col("read")[f].alias(f) for f in METADATA_FIELDS],
+        *[F.col(f"read_{f}").alias(f) for f in INSTANT_FIELDS],
+        parse_uuid(id_bytes(F.col("bytes"))).alias("id"),
+        destination_bytes(F.col("bytes")).cast("string").alias("destination"),
     )
 
 
