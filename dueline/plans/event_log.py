@@ -140,12 +140,22 @@ def event_messages(
 ) -> DataFrame:
     """The events as raw messages with one header of their own. Even ones carry text control
     headers, odd ones the binary header, every 17th none."""
-    own = append_header(F.array().cast(HEADERS_TYPE), "trace", F.col("offset").cast("string"))
-    headers = (
-        F.when(F.col("offset") % UNTAGGED_EVERY == 0, own)
-        .when(F.col("offset") % 2 == 0, text_headers(own, names))
-        .otherwise(binary_header(own, names))
-    )
+    tagged = F.col("offset") % UNTAGGED_EVERY != 0
+    as_text = tagged & (F.col("offset") % 2 == 0)
+    as_bytes = tagged & (F.col("offset") % 2 == 1)
+    possible = [
+        ("trace", F.col("offset").cast("string")),
+        (names.scheduled, F.when(as_text, instant_text(F.col("scheduled_us")))),
+        (names.expires, F.when(as_text, instant_text(F.col("expires_us")))),
+        (names.id, F.when(as_text, F.col("id"))),
+        (names.destination, F.when(as_text, F.col("destination"))),
+        (names.metadata, F.when(as_bytes, encode_metadata({f: F.col(f) for f in METADATA_FIELDS}))),
+    ]
+    each = [
+        F.struct(F.lit(name).alias("key"), value.cast("binary").alias("value"))
+        for name, value in possible
+    ]
+    headers = F.filter(F.array(*each), lambda h: h["value"].isNotNull())
     return with_metadata(timed_events(spark, sf_dir)).select(
         "key",
         "value",
@@ -153,5 +163,5 @@ def event_messages(
         "partition",
         "offset",
         F.timestamp_micros("arrival_us").alias("timestamp"),
-        headers.alias("headers"),
+        headers.cast(HEADERS_TYPE).alias("headers"),
     )
