@@ -21,6 +21,7 @@ from dueline.operators.replay import (
     classify,
     delivery_log,
     due,
+    find_busy_ids,
     latest_request,
     ordered_release,
     pending_snapshot,
@@ -44,6 +45,7 @@ __all__ = [
     "delivery_log",
     "due",
     "extract_metadata",
+    "find_busy_ids",
     "forwarded_per_tick",
     "ingest",
     "latest_request",

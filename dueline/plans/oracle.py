@@ -184,6 +184,8 @@ ORACLES: dict[str, str] = {
         value_hex "value" from c where nxt is null and refusal is null""",
 }
 
+ORACLES["busy_id_routed_log"] = ORACLES["busy_id_log"]
+
 # Messages made unusable: no scheduled time (even ones), or a payload in place of the header.
 _DAMAGED = f"""with {REQUESTS},
     d as (select *, case when event_id % 10 = 5 then

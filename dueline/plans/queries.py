@@ -27,6 +27,7 @@ from dueline.operators import (
     delivery_log,
     due,
     extract_metadata,
+    find_busy_ids,
     forwarded_per_tick,
     ingest,
     latest_request,
@@ -112,15 +113,25 @@ def replay_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def busy_id_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def busy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all requests under one id."""
-    requests = event_requests(spark, sf_dir)
     third = F.col("offset") % 3 == 0
-    busy = requests.withColumn(
-        "id", F.when(third, F.lit("ffffffff-0000-0000-0000-000000000000")).otherwise(F.col("id"))
-    )
-    return log_columns(delivery_log(busy, EVENT_TIMING))
+    busy = F.lit("ffffffff-0000-0000-0000-000000000000")
+    requests = event_requests(spark, sf_dir)
+    return requests.withColumn("id", F.when(third, busy).otherwise(F.col("id")))
+
+
+@query
+def busy_id_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_columns(delivery_log(busy_requests(spark, sf_dir), EVENT_TIMING))
+
+
+@query
+def busy_id_routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the busy id told apart."""
+    requests = busy_requests(spark, sf_dir)
+    busy = find_busy_ids(requests, at_least=200)
+    return log_columns(delivery_log(requests, EVENT_TIMING, busy_ids=busy))
 
 
 @query

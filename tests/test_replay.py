@@ -11,6 +11,7 @@ from dueline.operators import (
     counters,
     delivery_log,
     due,
+    find_busy_ids,
     forwarded_per_tick,
     latest_request,
     ordered_release,
@@ -103,6 +104,11 @@ def test_random_logs_equal_the_model(spark, seed):
     log = delivery_log(table, timing)
     assert sorted((r.delivered_at, r.offset) for r in log.collect()) == expected
 
+    assert find_busy_ids(table, 100) == ["busy"]
+    for busy in (["busy"], ["id1", "id2"], []):
+        routed = delivery_log(table, timing, busy_ids=busy).collect()
+        assert sorted((r.delivered_at, r.offset) for r in routed) == expected
+
     in_order = [(r.delivered_at, r.offset) for r in ordered_release(log).collect()]
     assert in_order == [(tick, r.offset) for tick, r in model]
 
