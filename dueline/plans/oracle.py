@@ -60,8 +60,8 @@ def encoded(seconds: str, nanos: str) -> str:
 MIN_ENCODED = f"{INSTANT_MIN[0] + 2**63:016x}80000000"
 
 ORACLES: dict[str, str] = {
-    "replay_log": f"{CORE} {LOG}",
-    "replay_with_payload": f"""{CORE} select event_id "offset", fire delivered_at, key_hex "key",
+    "delivery_log": f"{CORE} {LOG}",
+    "delivery_log_with_payload": f"""{CORE} select event_id "offset", fire delivered_at, key_hex "key",
         value_hex "value" from c where outcome = 'delivered'""",
     "busy_id_log": f"""with {REQUESTS},
         s as (select * replace (case when event_id % 3 = 0 then
@@ -84,7 +84,7 @@ ORACLES: dict[str, str] = {
                    outcome,
                case when outcome = 'delivered' and fire <= {SNAPSHOT} then fire end delivered_at
         from c""",
-    "cancelled": f"""{CORE},
+    "cancelled_requests": f"""{CORE},
         t as (select * from c
               qualify row_number() over (partition by id, tick order by us desc, event_id desc) = 1),
         n as (select *, lead(tick) over w next_tick, lead(refusal) over w next_refusal
@@ -92,23 +92,23 @@ ORACLES: dict[str, str] = {
         select id, event_id "offset", dest destination, next_tick cancelled_by_tick,
                next_refusal cancelled_by
         from n where refusal is null and next_tick <= fire and next_refusal is not null""",
-    "latest_requests": f"""{CORE} select id, event_id "offset", us arrival_us, {SCHEDULED},
+    "latest_request": f"""{CORE} select id, event_id "offset", us arrival_us, {SCHEDULED},
         dest destination from c where nxt is null""",
-    "pending_at": f"""with {REQUESTS}, s as (select * from q where us <= {SNAPSHOT}),
+    "pending_snapshot": f"""with {REQUESTS}, s as (select * from q where us <= {SNAPSHOT}),
         {RULES.format(source="s")} select id, event_id "offset", dest destination, fire fire_at,
         value_hex "value" from c where outcome = 'delivered' and fire > {SNAPSHOT}""",
     "due_at_tick": f"""with {REQUESTS}, s as (select * from q where us <= {SNAPSHOT}),
         {RULES.format(source="s")} select id, event_id "offset", {SCHEDULED}
         from c where outcome = 'delivered' and fire > {SNAPSHOT} and sched <= {LATER}""",
-    "released_in_order": f"""{CORE} select fire delivered_at, {SCHEDULED}, id, dest destination
+    "ordered_release": f"""{CORE} select fire delivered_at, {SCHEDULED}, id, dest destination
         from c where outcome = 'delivered' order by fire, sched, id""",
-    "count_outcomes": f"{CORE} select outcome, count(*) requests from c group by outcome",
-    "processed_records": f"""{CORE}
+    "outcome_counts": f"{CORE} select outcome, count(*) requests from c group by outcome",
+    "counters": f"""{CORE}
         select 'transform()' operation, 'Valid' label, count(*) records from c
         union all select 'transform()', 'Invalid', count(*) from c where id is null
         union all select 'transform()', 'Scheduled', count(*) from c where refusal is null
         union all select 'punctuate()', 'Forward', count(*) from c where outcome = 'delivered'""",
-    "count_per_tick": f"""{CORE} select fire delivered_at, count(*) forwarded from c
+    "forwarded_per_tick": f"""{CORE} select fire delivered_at, count(*) forwarded from c
         where outcome = 'delivered' group by fire""",
     "extract_text_headers": f"""with {REQUESTS}, m as (select *, md5('events|0|' || event_id) h from q)
         select event_id "offset", {METADATA}
@@ -142,9 +142,9 @@ ORACLES: dict[str, str] = {
         select event_id "offset", case when event_id % 5 < 2 then
             substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'
             || substr(h, 17, 4) || '-' || substr(h, 21, 12) end id from b""",
-    "strip_headers": f"""with {REQUESTS} select event_id "offset",
+    "strip_control_headers": f"""with {REQUESTS} select event_id "offset",
         {TRACE} || ';type=' || hex(dest) headers from q""",
-    "tag_roundtrip": f"""with {REQUESTS} select event_id "offset", 2 n,
+    "tag_requests_roundtrip": f"""with {REQUESTS} select event_id "offset", 2 n,
         '00' || {encoded("sched // 1000000", "sched % 1000000 * 1000")}
              || {encoded("expi // 1000000", "expi % 1000000 * 1000")}
              || '{MIN_ENCODED}' || replace(id, '-', '') || lower(hex(dest)) bytes,
@@ -160,13 +160,13 @@ ORACLES: dict[str, str] = {
         expi // 1000000 expires_sec, cast(expi % 1000000 * 1000 as integer) expires_nano,
         cast({INSTANT_MIN[0]} as bigint) created_sec, dest destination, key_hex "key",
         value_hex "value", {TRACE} headers from q where event_id % 17 <> 0""",
-    "replay_raw_messages": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
+    "restore_source": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
         {RULES.format(source="s")} select event_id "offset", fire delivered_at, key_hex "key",
         value_hex "value", {TRACE} || ';scheduler.destination=' || hex(dest) headers
         from c where outcome = 'delivered'""",
-    "route_messages": """select event_id "offset",
+    "route_by_destination": """select event_id "offset",
         case when event_id % 5 <> 0 then 'topic.' || event_type end to_topic from events""",
-    "unknown_destinations": f"""{CORE} select event_id "offset", dest destination,
+    "unknown_destination_split": f"""{CORE} select event_id "offset", dest destination,
         event_type < 's' known from c where outcome = 'delivered'""",
     "outgoing_rows": f"""{CORE} select case when event_type < 's' then dest else 'dead.letters' end
         topic, key_hex "key", value_hex "value", 'scheduler.destination=' || hex(dest) headers
@@ -193,5 +193,5 @@ _DAMAGED = f"""with {REQUESTS},
                  event_id % 17 = 0 or (event_id % 10 = 4) or event_id % 10 = 5 bad from q)"""
 ORACLES["quarantined"] = f"""{_DAMAGED} select event_id "offset", 'no_metadata' reason, detail,
     value_hex "value", 'scheduler.error=no_metadata' error_header from d where bad"""
-ORACLES["count_quarantined"] = f"""{_DAMAGED} select 'no_metadata' reason, detail, count(*) messages
+ORACLES["quarantine_counts"] = f"""{_DAMAGED} select 'no_metadata' reason, detail, count(*) messages
     from d where bad group by detail"""

@@ -74,9 +74,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a query under the name of the operator it shows."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def header_text(headers: Column) -> Column:
@@ -100,12 +105,12 @@ def log_columns(log: DataFrame) -> DataFrame:
 # Replay -------------------------------------------------------------------------------------
 
 
-@query
+@query("delivery_log")
 def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(delivery_log(event_requests(spark, sf_dir), EVENT_TIMING))
 
 
-@query
+@query("delivery_log_with_payload")
 def replay_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = delivery_log(event_requests(spark, sf_dir), EVENT_TIMING, payload=True)
     return log.select(
@@ -121,12 +126,12 @@ def busy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.withColumn("id", F.when(third, busy).otherwise(F.col("id")))
 
 
-@query
+@query("busy_id_log")
 def busy_id_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(delivery_log(busy_requests(spark, sf_dir), EVENT_TIMING))
 
 
-@query
+@query("busy_id_routed_log")
 def busy_id_routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the busy id told apart."""
     requests = busy_requests(spark, sf_dir)
@@ -134,7 +139,7 @@ def busy_id_routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(delivery_log(requests, EVENT_TIMING, busy_ids=busy))
 
 
-@query
+@query("strict_expiry_log")
 def strict_expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that live up to a minute past their time: some expire before the tick."""
     timed = timed_events(spark, sf_dir).withColumn(
@@ -144,37 +149,37 @@ def strict_expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(delivery_log(requests, EVENT_TIMING, strict_expiry=True))
 
 
-@query
+@query("admission")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = with_admission(event_requests(spark, sf_dir), EVENT_TIMING)
     return judged.select("offset", "refusal", "arrival_tick", "fire_at")
 
 
-@query
+@query("last_request_per_tick")
 def last_request_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = with_admission(event_requests(spark, sf_dir), EVENT_TIMING)
     return tick_survivors(judged).select("id", "arrival_tick", "offset", "refusal")
 
 
-@query
+@query("request_outcomes")
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = classify(event_requests(spark, sf_dir), EVENT_TIMING)
     return outcomes.select("offset", "id", "outcome", "delivered_at")
 
 
-@query
+@query("outcomes_as_of")
 def outcomes_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = classify(event_requests(spark, sf_dir), EVENT_TIMING, as_of_us=SNAPSHOT_US)
     return outcomes.select("offset", "id", "outcome", "delivered_at")
 
 
-@query
+@query("cancelled_requests")
 def cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cancelled_requests(event_requests(spark, sf_dir), EVENT_TIMING)
     return rows.select("id", "offset", "destination", "cancelled_by_tick", "cancelled_by")
 
 
-@query
+@query("latest_request")
 def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = latest_request(event_requests(spark, sf_dir))
     return last.select(
@@ -182,7 +187,7 @@ def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("pending_snapshot")
 def pending_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     pending = pending_snapshot(
         event_requests(spark, sf_dir), SNAPSHOT_US, EVENT_TIMING, payload=True
@@ -192,13 +197,13 @@ def pending_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("due_at_tick")
 def due_at_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     pending = pending_snapshot(event_requests(spark, sf_dir), SNAPSHOT_US, EVENT_TIMING)
     return due(pending, LATER_US).select("id", "offset", "scheduled_sec", "scheduled_nano")
 
 
-@query
+@query("ordered_release")
 def released_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = ordered_release(delivery_log(event_requests(spark, sf_dir), EVENT_TIMING))
     return log.select("delivered_at", "scheduled_sec", "scheduled_nano", "id", "destination")
@@ -207,18 +212,18 @@ def released_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counts -------------------------------------------------------------------------------------
 
 
-@query
+@query("outcome_counts")
 def count_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome_counts(event_requests(spark, sf_dir), EVENT_TIMING)
 
 
-@query
+@query("counters")
 def processed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = event_requests(spark, sf_dir)
     return counters(requests, delivery_log(requests, EVENT_TIMING), EVENT_TIMING)
 
 
-@query
+@query("forwarded_per_tick")
 def count_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forwarded_per_tick(delivery_log(event_requests(spark, sf_dir), EVENT_TIMING))
 
@@ -234,7 +239,7 @@ def extracted(df: DataFrame) -> DataFrame:
     return extract_metadata(df).select("offset", *METADATA_FIELDS, "metadata_reject")
 
 
-@query
+@query("extract_text_headers")
 def extract_text_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata from text headers. Every seventh event has no id header."""
     timed = timed_events(spark, sf_dir)
@@ -246,7 +251,7 @@ def extract_text_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(tagged.select("topic", "partition", "offset", "headers"))
 
 
-@query
+@query("extract_binary_header")
 def extract_binary_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata from the binary header, some of them damaged in one of four ways."""
     timed = with_metadata(timed_events(spark, sf_dir))
@@ -268,7 +273,7 @@ def extract_binary_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(timed.select("topic", "partition", "offset", headers.alias("headers")))
 
 
-@query
+@query("binary_overrides_text")
 def binary_overrides_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of headers, with different destinations; every third binary one is broken."""
     timed = with_metadata(timed_events(spark, sf_dir))
@@ -278,7 +283,7 @@ def binary_overrides_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(timed.select("topic", "partition", "offset", headers.alias("headers")))
 
 
-@query
+@query("parse_instant_audit")
 def parse_instant_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instant texts in twelve forms, half of them invalid."""
     timed = timed_events(spark, sf_dir)
@@ -304,7 +309,7 @@ def parse_instant_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("offset", "at_sec", "at_nano")
 
 
-@query
+@query("parse_uuid_audit")
 def parse_uuid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = timed_events(spark, sf_dir)
     md5 = F.md5(F.col("offset").cast("string"))
@@ -322,7 +327,7 @@ def parse_uuid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("offset", parse_uuid(chosen).alias("id"))
 
 
-@query
+@query("strip_control_headers")
 def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control headers twice over, between two headers of the message's own."""
     timed = with_metadata(timed_events(spark, sf_dir))
@@ -332,7 +337,7 @@ def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("offset", header_text(stripped).alias("headers"))
 
 
-@query
+@query("tag_requests_roundtrip")
 def tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes written by tagging, and what is read from them again."""
     timed = with_metadata(timed_events(spark, sf_dir)).withColumn("headers", own_header())
@@ -350,7 +355,7 @@ def tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("tag_documents")
 def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as messages, tagged in bulk without an id and read back."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
@@ -383,7 +388,7 @@ def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("json_requests")
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = timed_events(spark, sf_dir)
     body = F.to_json(
@@ -420,7 +425,7 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingest, routing and sinks ------------------------------------------------------------------
 
 
-@query
+@query("ingested")
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests, _ = ingest(event_messages(spark, sf_dir))
     return requests.select(
@@ -452,7 +457,7 @@ def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("quarantined")
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, quarantine = ingest(damaged_messages(spark, sf_dir))
     last = F.element_at("headers", -1)
@@ -465,12 +470,12 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("quarantine_counts")
 def count_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine_counts(ingest(damaged_messages(spark, sf_dir))[1])
 
 
-@query
+@query("restore_source")
 def replay_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw messages to what leaves: ingest, replay, restored headers."""
     restored = restore_source(replay_messages(event_messages(spark, sf_dir), EVENT_TIMING))
@@ -483,7 +488,7 @@ def replay_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("route_by_destination")
 def route_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing by the last destination header; every fifth message has none."""
     timed = timed_events(spark, sf_dir)
@@ -502,7 +507,7 @@ def quiet_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.concat(F.lit("topic."), "event_type").alias("destination")).distinct()
 
 
-@query
+@query("unknown_destination_split")
 def unknown_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = delivery_log(event_requests(spark, sf_dir), EVENT_TIMING)
     known, unknown = split_unknown_destinations(log, quiet_destinations(spark, sf_dir))
@@ -511,7 +516,7 @@ def unknown_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("offset", "destination", "known")
 
 
-@query
+@query("outgoing_rows")
 def outgoing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows for the Kafka sink, with a topic for what has no destination."""
     log = delivery_log(event_requests(spark, sf_dir), EVENT_TIMING, payload=True)
@@ -525,7 +530,7 @@ def outgoing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("files_by_destination")
 def files_by_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay into files, one directory per known destination, and read them back."""
     known = quiet_destinations(spark, sf_dir)
@@ -545,7 +550,7 @@ def message_stream(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, Data
     return session, session.readStream.schema(MESSAGE_SCHEMA).parquet(path)
 
 
-@query
+@query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream in message time. What is due after the last message is still pending."""
     session, messages = message_stream(spark, sf_dir)
@@ -554,7 +559,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "offset", "destination", "delivered_at")
 
 
-@query
+@query("stream_by_clock")
 def stream_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream in clock time. All of it is long due, so the last request of each id leaves."""
     session, messages = message_stream(spark, sf_dir)

@@ -26,6 +26,6 @@ def test_entry(spark):
 def test_time_zone_of_the_session_does_not_matter(spark):
     other = spark.newSession()
     other.conf.set("spark.sql.session.timeZone", "America/New_York")
-    for name in ("replay_raw_messages", "parse_instant_audit"):
+    for name in ("restore_source", "parse_instant_audit"):
         rows = queries()[name](other, SF_DIR).toPandas()
         assert differences(rows, duckdb_rows(oracle_sql()[name], SF_DIR)) is None
