@@ -88,5 +88,4 @@ def in_release_order(rows: DataFrame) -> DataFrame:
 
 def write_kafka(rows: DataFrame, servers: str) -> None:
     """Send rows made by ``outgoing``. Needs Spark's Kafka connector on the class path."""
-    writer = rows.write.format("kafka").option("kafka.bootstrap.servers", servers)
-    writer.option("includeHeaders", "true").save()
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
