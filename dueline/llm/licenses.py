@@ -4,7 +4,7 @@ Normalised text is A-Z in lower case and words of a-z and 0-9; what stands betwe
 a line of a text, or the whole text if it has more than one line. Its set of bigrams A is compared with
 a template's set B by 2 |A & B| / (|A| + |B|). At a threshold t that needs |B| between |A| t / (2 - t)
 and |A| (2 - t) / t; templates outside these bounds are not looked at. Most units are too long or too
-short for every template.
+short for every template, which their words tell before any bigram is made.
 
 The templates are a parameter that travels as one constant, and all work is on one row: no shuffle, no
 join, and neither a hot source nor copies matter. Null texts are empty and have no licence. Units with
@@ -98,10 +98,18 @@ def template_rows(templates: dict[str, list[str]], threshold: float) -> list[dic
     return rows
 
 
-def bigrams(text: Column) -> Column:
-    words = F.filter(F.split(lower_ascii(text), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+def bigrams(text: Column, least: int, most: int) -> Column:
+    """The set of bigrams of a normalised text; none if it must have fewer than ``least`` or more than ``most``."""
+
+    def pairs(words: Column) -> Column:
+        # n words have at most n - 1 bigrams, and at least one fewer than they have distinct words.
+        possible = (F.size(words) > least) & (F.size(F.array_distinct(words)) - 1 <= most)
+        both = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        found = F.array_distinct(F.slice(both, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+        return F.when(possible, found).otherwise(F.array().cast("array<string>"))
+
+    words = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
+    return F.flatten(F.transform(F.array(words), pairs))  # so that the words are computed once
 
 
 def scan_licenses(
@@ -113,12 +121,13 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document: doc_id, license (the best match, or null), dice, unit (its line from 1, or 0 for
     the whole text), licenses (all names found, sorted, by commas), n_units (units that matched)."""
-    rows = json.dumps(template_rows(templates, threshold))
-    table = F.from_json(F.lit(rows), "array<struct<name string, n int, low int, high int, grams array<string>>>")
-    text = text_or_empty(F.col(text_column))
+    rows = template_rows(templates, threshold)
+    least, most = min((r["low"] for r in rows), default=1), max((r["high"] for r in rows), default=0)
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<name string, n int, low int, high int, grams array<string>>>")
+    text = lower_ascii(text_or_empty(F.col(text_column)))
     lines = F.split(F.col("text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(lines)
-    sets = F.transform(units, lambda u: bigrams(u))
+    sets = F.transform(units, lambda u: bigrams(u, least, most))
 
     def compared(grams: Column, place: Column) -> Column:
         fitting = F.filter(table, lambda t: F.size(grams).between(t["low"], t["high"]))
