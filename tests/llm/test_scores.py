@@ -115,7 +115,7 @@ def test_licenses_equal_sql(spark, make):
 
 PII = [
     "a@b.c-d@e.f x@y a@b.c_d@e.f .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111 12",
-    "+1 (377) 555-0271. +12345678 +1--------9 +99999999999999999", "7" * 50_000, "a" * 50_000 + "@", "a@" + "b." * 20_000 + "c", "+" + "1 " * 30_000,
+    "+1 (377) 555-0271. +12345678 +1--------9 +99999999999999999", "7" * 4_000, "a" * 4_000 + "@", "a@" + "b." * 4_000 + "c", "+" + "1 " * 30_000,
     "\u0001a@b.co\u0001 \U0001f600 1.1.1.1", "call (212) 555-0101 token = \"" + "ab12" * 10 + "\"", "no personal data", "1.1.1.1" * 300,
 ]
 
