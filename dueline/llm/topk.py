@@ -127,8 +127,10 @@ def top_k(
     n_vectors, n_queries = own.count(), asked.count()
     v_blocks, q_blocks = -(-n_vectors // VECTORS_PER_BLOCK) or 1, -(-n_queries // QUERIES_PER_BLOCK) or 1
     all_v, all_q = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (v_blocks, q_blocks))
-    own = own.withColumn("v", F.expr(f"pmod(xxhash64(id, hash), {v_blocks})")).withColumn("q", F.explode(all_q))
-    asked = asked.withColumn("q", F.expr(f"pmod(xxhash64(id, hash), {q_blocks})")).withColumn("v", F.explode(all_v))
+    # Both sides' keys are ints: keys of two types would be partitioned differently.
+    v_block, q_block = (F.expr(f"cast(pmod(xxhash64(id, hash), {n}) as int)") for n in (v_blocks, q_blocks))
+    own = own.withColumn("v", v_block).withColumn("q", F.explode(all_q))
+    asked = asked.withColumn("q", q_block).withColumn("v", F.explode(all_v))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
