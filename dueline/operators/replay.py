@@ -92,9 +92,11 @@ def tick_survivors(admitted: DataFrame) -> DataFrame:
     return last.select("id", "arrival_tick", "last.*")
 
 
-def _next_touch(survivors: DataFrame, timing: Timing) -> DataFrame:
+def _next_touch(
+    survivors: DataFrame, timing: Timing, what_came: str = "refusal"
+) -> DataFrame:
     """Add ``next_tick``, the next tick in which the same id was requested again, and
-    ``next_refusal``, what came of that request; null if it is too late to matter.
+    ``next_refusal``, its ``what_came``; null if it is too late to matter.
 
     A request can only be overtaken until it fires, that is within the maximum delay and one tick
     (its reach). So time is cut into spans of a few reaches, rows in the first reach of a span are
@@ -114,7 +116,7 @@ def _next_touch(survivors: DataFrame, timing: Timing) -> DataFrame:
         spread.withColumns(
             {
                 "next_tick": F.lead("arrival_tick").over(ahead),
-                "next_refusal": F.lead("refusal").over(ahead),
+                "next_refusal": F.lead(what_came).over(ahead),
             }
         )
         .filter(F.col("span") == F.col("own_span"))
@@ -156,7 +158,8 @@ def delivery_log(
     if strict_expiry:
         fired = fired.filter(~F.col("expired_at_fire"))
     log = fired.withColumnRenamed("fire_at", "delivered_at").select(*DELIVERY_COLUMNS)
-    return with_payload(log, requests) if payload else log
+    # What was refused is never delivered, so its payload need not be shuffled.
+    return with_payload(log, admitted.filter(F.col("refusal").isNull())) if payload else log
 
 
 def find_busy_ids(requests: DataFrame, at_least: int = 1_000_000) -> list[str]:
@@ -174,16 +177,32 @@ def with_payload(narrow: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def cancelled_requests(requests: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """Requests that were pending at a tick and were then taken away by a refused one."""
-    ahead = _next_touch(tick_survivors(with_admission(requests, timing)), timing)
-    return ahead.filter(
-        F.col("refusal").isNull() & _overtaken() & F.col("next_refusal").isNotNull()
-    ).select(
+    """Accepted requests that were waiting when a refused one of the same id took them away.
+
+    What counts is the very next request of the id. Within a tick it is found by a window over that
+    (id, tick); for the last request of a tick it is the first one of the next tick in which the id
+    was requested again. So no group is larger than what ``_next_touch`` or one tick holds.
+    """
+    admitted = with_admission(requests, timing)
+    within = Window.partitionBy("id", "arrival_tick").orderBy(*ARRIVAL_ORDER)
+    next_refusal = F.lead(F.struct("refusal")).over(within)
+    inside = admitted.withColumns({"next": next_refusal, "next_tick": F.col("arrival_tick")})
+    inside = inside.withColumn("next_refusal", F.col("next.refusal"))
+    ticks = admitted.groupBy("id", "arrival_tick").agg(
+        F.max(_narrow(admitted)).alias("last"), F.min(_narrow(admitted)).alias("first")
+    )
+    lasts = ticks.select("id", "arrival_tick", "last.*", F.col("first.refusal").alias("first_refusal"))
+    between = _next_touch(lasts, timing, "first_refusal").filter(_overtaken())
+    cancelled = F.col("refusal").isNull() & F.col("next_refusal").isNotNull()
+    columns = [
         "id",
         *ARRIVAL_ORDER,
         "destination",
         F.col("next_tick").alias("cancelled_by_tick"),
         F.col("next_refusal").alias("cancelled_by"),
+    ]
+    return inside.filter(cancelled).select(*columns).unionByName(
+        between.filter(cancelled).select(*columns)
     )
 
 
@@ -237,9 +256,12 @@ def pending_snapshot(
 ) -> DataFrame:
     """What is waiting for delivery at an instant, after that instant's arrivals and tick.
 
-    Only the last request of an id can be pending, so this is one aggregate per id.
+    Only the last request of an id can be pending, so this is one aggregate per id. Whatever is
+    pending arrived within the maximum delay and one tick before, so only that slice is read.
     """
-    arrived = requests.filter(F.col("arrival_us") <= as_of_us)
+    oldest = as_of_us - timing.max_delay_us - timing.tick_us
+    arrival = F.col("arrival_us")
+    arrived = requests.filter((arrival > oldest) & (arrival <= as_of_us))
     admitted = with_admission(arrived, timing)
     last = admitted.groupBy("id").agg(F.max(_narrow(admitted)).alias("last"))
     pending = (
@@ -249,7 +271,9 @@ def pending_snapshot(
             "id", *ARRIVAL_ORDER, "scheduled_sec", "scheduled_nano", "destination", "fire_at"
         )
     )
-    return with_payload(pending, requests) if payload else pending
+    if not payload:
+        return pending
+    return with_payload(pending, admitted.filter(F.col("refusal").isNull()))
 
 
 def due(pending: DataFrame, tick_us: int) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dueline.operators import delivery_log, ingest, with_payload, with_stored_payload
@@ -13,6 +12,7 @@ from dueline.sources.deliveries import filed, read_delivered, write_files
 from dueline.streaming.job import (
     STREAM_SETTINGS,
     FileSink,
+    pending_in_state,
     schedule_stream,
     start_file_delivery,
 )
@@ -21,6 +21,8 @@ from dueline.streaming.job import (
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session beside the given one with the settings that streams need."""
     session = spark.newSession()
+    # Enough to see the progress of every micro-batch of a bounded run.
+    session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     for name, value in STREAM_SETTINGS.items():
         if session.conf.isModifiable(name):
             session.conf.set(name, value)
@@ -56,16 +58,37 @@ def replay_stream_to_files(
     timing: Timing = Timing(),
     known: DataFrame | None = None,
     names: HeaderNames = HeaderNames(),
+    drain: bool = True,
 ) -> DataFrame:
     """Run a message stream in message time until its input at hand is used up, and read what was
-    written."""
+    written: all that is delivered in the end, also what is due after the last message. Without
+    ``drain`` that stays in the state, for a later run with more input.
+
+    Fails if the watermark dropped a row, as the result would lack it.
+    """
     requests, _ = ingest(messages, names)
     sink = FileSink(root)
     deliveries = schedule_stream(requests, timing, replay_delay)
-    start_file_delivery(deliveries, sink, known, interval=None, names=names).awaitTermination()
+    running = start_file_delivery(deliveries, sink, known, interval=None, names=names)
+    running.awaitTermination()
+    fail_if_dropped(running)
+    if drain:
+        # No message comes any more, so whatever waits in the state goes out at its own tick.
+        left = pending_in_state(spark, sink.checkpoint("deliveries"))
+        drained = left.withColumn("delivered_at", F.col("fire_at"))
+        last = running.lastProgress.batchId + 1
+        write_files(filed(drained, names, known), f"{sink.deliveries}/batch={last}", "overwrite")
     return read_delivered(spark, sink.deliveries, batches=True)
 
 
+def fail_if_dropped(running: StreamingQuery) -> None:
+    """Raise if a micro-batch of a query left out rows that were later than its watermark."""
+    operators = [o for progress in running.recentProgress for o in progress.stateOperators]
+    dropped = sum(o.numRowsDroppedByWatermark for o in operators)
+    if dropped:
+        raise ValueError(f"{dropped} rows were later than the replay delay and were dropped")
+
+
 def stream_to_files(
     spark: SparkSession,
     messages: DataFrame,
@@ -73,7 +96,6 @@ def stream_to_files(
     timing: Timing = Timing(),
     known: DataFrame | None = None,
     names: HeaderNames = HeaderNames(),
-    seconds: float = 300,
 ) -> DataFrame:
     """Run a message stream by the clock until a micro-batch neither reads nor releases anything,
     and read what was written. What is not due yet stays in the query's state."""
@@ -81,20 +103,17 @@ def stream_to_files(
     sink = FileSink(root)
     running = start_file_delivery(schedule_stream(requests, timing), sink, known, names=names)
     try:
-        wait_until_idle(running, seconds)
+        wait_until_idle(running)
     finally:
         running.stop()
     return read_delivered(spark, sink.deliveries, batches=True)
 
 
-def wait_until_idle(running: StreamingQuery, seconds: float) -> None:
-    deadline = time.monotonic() + seconds
-    while time.monotonic() < deadline:
-        if running.awaitTermination(1):
-            return
+def wait_until_idle(running: StreamingQuery) -> None:
+    """Until a micro-batch has nothing to read and nothing to release, however long that takes."""
+    while not running.awaitTermination(1):
         last = running.lastProgress
         if last is not None and last.batchId > 0 and last.numInputRows == 0:
             forwarded = last.observedMetrics.get("forwarded_records")
             if forwarded is not None and forwarded["forwarded"] == 0:
                 return
-    raise TimeoutError(f"the stream was still busy after {seconds} seconds")

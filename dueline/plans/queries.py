@@ -37,7 +37,7 @@ from dueline.operators import (
     quarantine_counts,
     restore_source,
     route,
-    split_unknown_destinations,
+    mark_known_destinations,
     tag_requests,
     tick_survivors,
     with_admission,
@@ -510,10 +510,8 @@ def quiet_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unknown_destination_split")
 def unknown_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = delivery_log(event_requests(spark, sf_dir), EVENT_TIMING)
-    known, unknown = split_unknown_destinations(log, quiet_destinations(spark, sf_dir))
-    return known.withColumn("known", F.lit(True)).unionByName(
-        unknown.withColumn("known", F.lit(False))
-    ).select("offset", "destination", "known")
+    marked = mark_known_destinations(log, quiet_destinations(spark, sf_dir))
+    return marked.select("offset", "destination", "known")
 
 
 @query("outgoing_rows")
@@ -552,7 +550,7 @@ def message_stream(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, Data
 
 @query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream in message time. What is due after the last message is still pending."""
+    """The stream in message time, and what it still holds after the last message."""
     session, messages = message_stream(spark, sf_dir)
     root = shared_folder(spark, "stream")
     out = replay_stream_to_files(session, messages, root, "1 second", EVENT_TIMING)

@@ -26,10 +26,6 @@ METADATA_FIELDS = [
     "id",
     "destination",
 ]
-METADATA_TYPE = (
-    "struct<scheduled_sec:bigint,scheduled_nano:int,expires_sec:bigint,expires_nano:int,"
-    "created_sec:bigint,created_nano:int,id:string,destination:string>"
-)
 
 PAYLOAD = ["key", "value", "headers"]
 REQUEST_COLUMNS = [*ARRIVAL_ORDER, *METADATA_FIELDS, *PAYLOAD]

@@ -24,10 +24,14 @@ def outgoing(
     names: HeaderNames = HeaderNames(),
     known: DataFrame | None = None,
     dead_letter_topic: str | None = None,
+    ranges: bool = False,
 ) -> DataFrame:
     """Rows for Spark's Kafka sink: ``topic`` says where each one goes, and the sink itself
     partitions by key.
 
+    Each task sends its rows in release order; with ``ranges``, for whole replays, the tasks hold
+    ranges of that order. The sort comes last: one before the join with ``known`` would be lost.
+
     With ``known``, messages for any other destination go to ``dead_letter_topic``, or are dropped
     if there is none.
     """
@@ -39,7 +43,10 @@ def outgoing(
             routed = routed.filter(F.col("known"))
         else:
             topic = F.when(F.col("known"), topic).otherwise(F.lit(dead_letter_topic))
-    return routed.select(topic.alias("topic"), "key", "value", "headers")
+    if ranges:
+        routed = routed.repartitionByRange(*RELEASE_ORDER)
+    ordered = routed.withColumn("_out", topic).sortWithinPartitions(*RELEASE_ORDER)
+    return ordered.select(F.col("_out").alias("topic"), "key", "value", "headers")
 
 
 def filed(
@@ -81,11 +88,6 @@ def read_delivered(spark: SparkSession, path: str, batches: bool = False) -> Dat
     return spark.read.schema(f"{FILE_SCHEMA}, {directories}").parquet(path)
 
 
-def in_release_order(rows: DataFrame) -> DataFrame:
-    """Deliveries of a replay for the Kafka sink: ranges of the release order, each one sorted."""
-    return rows.repartitionByRange(*RELEASE_ORDER).sortWithinPartitions(*RELEASE_ORDER)
-
-
 def write_kafka(rows: DataFrame, servers: str) -> None:
     """Send rows made by ``outgoing``. Needs Spark's Kafka connector on the class path."""
     rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()

@@ -72,9 +72,13 @@ def schedule_stream(
         F.count_if(F.col("refusal").isNull()).alias("scheduled"),
     )
     steps = judged.select("id", "arrival_tick", *REQUEST_FIELDS)
-    # Before the shuffle: a busy id sends on one row per Arrow batch (and tick), not all.
-    same = ["id", "arrival_tick"] if replay else ["id"]
-    steps = steps.mapInArrow(_last_of_each(same), STEP_SCHEMA)
+    # Before the shuffle: a busy id sends on one row per Arrow batch (and tick), not all. By the
+    # clock the last request of a partition is the one with the highest offset, whatever its time.
+    if replay:
+        keep_last = _last_of_each(["id", "arrival_tick"], ARRIVAL_ORDER)
+    else:
+        keep_last = _last_of_each(["id", "topic", "partition"], ["offset"])
+    steps = steps.mapInArrow(keep_last, STEP_SCHEMA)
     initial = None
     if initial_pending is not None:
         initial = initial_pending.select("id", *REQUEST_FIELDS).groupBy("id")
@@ -94,13 +98,13 @@ def schedule_stream(
     )
 
 
-def _last_of_each(same: list[str]):
-    """For mapInArrow: keep the last row, in arrival order, of each group within a batch."""
+def _last_of_each(same: list[str], by: list[str]):
+    """For mapInArrow: keep the last row, in the given order, of each group within a batch."""
 
     def keep_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = batch.select(list(dict.fromkeys([*same, *ARRIVAL_ORDER]))).to_pandas()
-            order = order.sort_values(ARRIVAL_ORDER, kind="stable")
+            order = batch.select(list(dict.fromkeys([*same, *by]))).to_pandas()
+            order = order.sort_values(by, kind="stable")
             last = order.drop_duplicates(same, keep="last").index.sort_values()
             yield batch.take(pa.array(last, pa.int64()))
 
@@ -169,8 +173,7 @@ def start_kafka_delivery(
     """
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.sortWithinPartitions(*RELEASE_ORDER)
-        write_kafka(outgoing(ordered, names, known, dead_letter_topic), servers)
+        write_kafka(outgoing(batch, names, known, dead_letter_topic), servers)
 
     writer = deliveries.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
     return _start(writer, interval)

@@ -47,11 +47,10 @@ class HoldUntilDue(StatefulProcessor):
         self._hold(initialState.asDict())
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        was_pending = self.pending.get() if self.pending.exists() else None
+        was_pending = self.pending.get()
         held = was_pending and dict(zip(PENDING_FIELDS, was_pending, strict=True))
         if not self.replay:
-            # Only the last of them counts, and it is found without keeping the others.
-            steps = [max(rows, key=arrival_order)]
+            steps = [self._last_by_clock(rows)]
         else:
             steps = self._last_per_tick(rows)
         for row in steps:
@@ -59,16 +58,19 @@ class HoldUntilDue(StatefulProcessor):
                 yield self._delivery(key, held, held["fire_at"])
             held = row.asDict() if row["fire_at"] is not None else None
         if was_pending:
-            self._forget(dict(zip(PENDING_FIELDS, was_pending, strict=True)))
+            self.handle.deleteTimer(was_pending[PENDING_FIELDS.index("timer_ms")])
+            if not held:
+                self.pending.clear()
         if held:
             self._hold(held)
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[Row]:
-        if not self.pending.exists():
+        pending = self.pending.get()
+        if pending is None:
             return
-        held = dict(zip(PENDING_FIELDS, self.pending.get(), strict=True))
+        held = dict(zip(PENDING_FIELDS, pending, strict=True))
         if held["timer_ms"] != expiredTimerInfo.getExpiryTimeInMs():
             return
         self.pending.clear()
@@ -78,6 +80,18 @@ class HoldUntilDue(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def _last_by_clock(rows: Iterator[Row]) -> Row:
+        """The last request of a micro-batch: of each partition the highest offset, and of these the
+        last to arrive. A later micro-batch always overrides, so within a partition the result is the
+        same however the input is cut into micro-batches."""
+        last: dict[tuple, Row] = {}
+        for row in rows:
+            kept = last.get((row["topic"], row["partition"]))
+            if kept is None or kept["offset"] < row["offset"]:
+                last[row["topic"], row["partition"]] = row
+        return max(last.values(), key=arrival_order)
+
     @staticmethod
     def _last_per_tick(rows: Iterator[Row]) -> list[Row]:
         """The last request of each tick, oldest first: no more rows than a micro-batch has ticks."""
@@ -94,10 +108,6 @@ class HoldUntilDue(StatefulProcessor):
         self.pending.update(tuple(held[field] for field in PENDING_FIELDS))
         self.handle.registerTimer(held["timer_ms"])
 
-    def _forget(self, held: dict) -> None:
-        self.pending.clear()
-        self.handle.deleteTimer(held["timer_ms"])
-
     @staticmethod
     def _delivery(key: Any, held: dict, delivered_at: int) -> Row:
         values = {**held, "id": key[0], "delivered_at": delivered_at}

@@ -166,6 +166,18 @@ def test_cancelled_requests_name_the_refusal(spark):
     ]
 
 
+@pytest.mark.parametrize("accepted_last", [False, True])
+def test_cancels_inside_one_tick(spark, accepted_last):
+    """The very next request counts, also when both come in the same tick."""
+    long_ago = -(10**15)
+    requests = [at(0.1, 0, 60), at(0.2, 1, 60, expires=long_ago), at(0.3, 2, 70)]
+    if not accepted_last:
+        requests.append(at(0.4, 3, 9000))
+    rows = cancelled_requests(request_table(spark, requests), HOUR).collect()
+    found = sorted((r.offset, r.cancelled_by) for r in rows)
+    assert found == [(0, "expired")] + [(2, "over_max_delay")] * (not accepted_last)
+
+
 def test_strict_expiry_and_payload(spark):
     requests = [at(0, 0, 59.5, "x", 59_600_000), at(0, 1, 59.5, "y", 60_000_000), at(0, 2, 60, "z")]
     assert delivered(spark, requests) == [(60 * SECOND, o) for o in (0, 1, 2)]

@@ -1,18 +1,21 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from dueline.operators import (
+    RELEASE_ORDER,
     delivery_log,
     ingest,
     parse_messages,
     requests_of,
     split_unknown_destinations,
 )
+from dueline.operators import routing
 from dueline.plans.event_log import EVENT_TIMING, event_messages, event_requests
 from dueline.plans.shared import shared_folder
 from dueline.schema import MESSAGE_SCHEMA
-from dueline.sources.deliveries import filed, in_release_order, outgoing, read_delivered, write_files
+from dueline.sources.deliveries import filed, outgoing, read_delivered, write_files
 from tests.model import Request
 from tests.tables import request_table
 
@@ -72,12 +75,27 @@ def test_files_are_in_release_order(spark):
 
 
 def test_outgoing_rows(spark):
-    rows = outgoing(in_release_order(deliveries(spark)), known=known(spark)).collect()
+    rows = outgoing(deliveries(spark), known=known(spark), ranges=True).collect()
     assert sorted(r.topic for r in rows) == sorted(DESTINATIONS[:-1])
     rows = outgoing(deliveries(spark), known=known(spark), dead_letter_topic="dead").collect()
     assert [bytes(r.value) for r in rows if r.topic == "dead"] == [b"6"]
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_outgoing_rows_leave_in_release_order(spark, monkeypatch, salted):
+    if salted:
+        monkeypatch.setattr(routing.mark_known_destinations, "__defaults__", (0,))
+    log = delivery_log(event_requests(spark, SF_DIR), EVENT_TIMING, payload=True)
+    names = log.select("destination").distinct()
+    rows = outgoing(log, known=names, ranges=True)
+    plan = executed(rows)
+    # The sort stands above the join, so nothing undoes it.
+    assert plan.index("Sort [delivered_at") < plan.index("Join")
+    expected = [r.value for r in log.orderBy(*RELEASE_ORDER).select("value").collect()]
+    assert [r.value for r in rows.collect()] == expected
+    assert "Sort [delivered_at" in executed(outgoing(log, known=names))
+
+
 def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
