@@ -42,8 +42,8 @@ def message_table(spark: SparkSession, messages: list[dict]) -> DataFrame:
     """Messages from dicts with headers and, where they matter, key, value, timestamp_us."""
     rows = [
         (
-            m.get("key", b"Hello"),
-            m.get("value", b"World!"),
+            m.get("key", b"lane-4"),
+            m.get("value", b"parcel"),
             "in",
             0,
             m.get("offset", i),
@@ -66,7 +66,7 @@ def binary_metadata(
     scheduled: tuple[int, int],
     expires: tuple[int, int] = INSTANT_MAX,
     created: tuple[int, int] = INSTANT_MIN,
-    id_: str = "a613b80d-56c3-474b-9d6c-25d8273aa111",
+    id_: str = "3f2c9d10-7b5e-4c61-9a84-0d6e5f18b2c7",
     destination: bytes = b"output.topic.a",
     version: int = 0,
 ) -> bytes:

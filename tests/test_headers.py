@@ -19,7 +19,7 @@ from dueline.sources.messages import kafka_options
 from tests.tables import binary_metadata, message_table
 
 NAMES = HeaderNames()
-ID = "a613b80d-56c3-474b-9d6c-25d8273aa111"
+ID = "3f2c9d10-7b5e-4c61-9a84-0d6e5f18b2c7"
 MAX_TEXT = b"+1000000000-12-31T23:59:59.999999999Z"
 MIN_TEXT = b"-1000000000-01-01T00:00:00Z"
 
@@ -206,7 +206,7 @@ def test_missing_id_is_the_same_on_every_run(spark):
 
 
 def test_ingest_splits_and_cleans(spark):
-    own = ("HeaderKey", b"HeaderValue")
+    own = ("trail", b"t-17")
     messages = message_table(
         spark,
         [
@@ -220,20 +220,20 @@ def test_ingest_splits_and_cleans(spark):
     requests, quarantine = ingest(messages)
     got = {r.offset: r for r in requests.collect()}
     assert sorted(got) == [0, 2, 4]
-    assert [h.key for h in got[0].headers] == ["HeaderKey", "HeaderKey", NAMES.error]
+    assert [h.key for h in got[0].headers] == ["trail", "trail", NAMES.error]
     assert (got[2].key, got[2].value, got[2].headers) == (None, None, [])
     assert got[4].headers == []
     bad = {r.offset: r for r in quarantine.collect()}
     assert sorted(bad) == [1, 3]
     assert [(h.key, bytes(h.value)) for h in bad[1].headers] == [
-        ("HeaderKey", b"HeaderValue"),
+        ("trail", b"t-17"),
         (NAMES.error, b"no_metadata"),
     ]
-    assert bytes(bad[1].value) == b"World!"
+    assert bytes(bad[1].value) == b"parcel"
 
 
 def test_setting_metadata(spark):
-    other = ("Hello", b"World")
+    other = ("lane-4", b"World")
     messages = message_table(
         spark,
         [{"headers": h} for h in ([other, BINARY], [other], [], None, [BINARY, BINARY])],
