@@ -2,21 +2,23 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from dueline.plans.oracle import ORACLES
+from dueline.plans.queries import QUERIES
 from tests.compare import differences, duckdb_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    rows = queries()[name](spark, SF_DIR).toPandas()
+    rows = QUERIES[name](spark, SF_DIR).toPandas()
     assert len(rows) > 0
-    assert differences(rows, duckdb_rows(oracle_sql()[name], SF_DIR)) is None
+    assert differences(rows, duckdb_rows(ORACLES[name], SF_DIR)) is None
 
 
 def test_entry(spark):
@@ -27,5 +29,5 @@ def test_time_zone_of_the_session_does_not_matter(spark):
     other = spark.newSession()
     other.conf.set("spark.sql.session.timeZone", "America/New_York")
     for name in ("restore_source", "parse_instant_audit"):
-        rows = queries()[name](other, SF_DIR).toPandas()
-        assert differences(rows, duckdb_rows(oracle_sql()[name], SF_DIR)) is None
+        rows = QUERIES[name](other, SF_DIR).toPandas()
+        assert differences(rows, duckdb_rows(ORACLES[name], SF_DIR)) is None
