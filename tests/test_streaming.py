@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 import time
 
-
 from pyspark.sql import functions as F
 
 from dueline.operators import delivery_log, ingest, pending_snapshot
