@@ -30,6 +30,8 @@ from dueline.operators.replay import (
     with_payload,
 )
 from dueline.operators.routing import (
+    KnownDestinations,
+    known_destinations,
     mark_known_destinations,
     restore_source,
     route,
@@ -38,6 +40,7 @@ from dueline.operators.routing import (
 
 __all__ = [
     "DELIVERY_COLUMNS",
+    "KnownDestinations",
     "RELEASE_ORDER",
     "cancelled_requests",
     "classify",
@@ -48,6 +51,7 @@ __all__ = [
     "find_busy_ids",
     "forwarded_per_tick",
     "ingest",
+    "known_destinations",
     "latest_request",
     "mark_known_destinations",
     "ordered_release",

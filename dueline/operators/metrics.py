@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dueline.operators.replay import delivery_log, with_admission
+from dueline.operators.replay import survivor_counts, with_admission
 from dueline.schema import Timing
 
 # The labels of the processed-records counter.
@@ -18,54 +18,36 @@ FORWARDED = ("punctuate()", "Forward")
 def outcome_counts(requests: DataFrame, timing: Timing = Timing()) -> DataFrame:
     """Number of requests per outcome, without labelling every single request.
 
-    Refusals are counted on the requests, deliveries on the delivery log, and the accepted requests
-    that were not delivered are the superseded ones.
+    The accepted requests that were not delivered are the superseded ones.
     """
-    judged = with_admission(requests, timing).agg(
-        F.count_if(F.col("refusal") == "expired").alias("expired"),
-        F.count_if(F.col("refusal") == "over_max_delay").alias("over_max_delay"),
-        F.count_if(F.col("refusal").isNull()).alias("accepted"),
+    totals = survivor_counts(with_admission(requests, timing), timing)
+    superseded = F.col("accepted") - F.col("delivered")
+    counts = stacked(
+        expired=F.col("expired"),
+        over_max_delay=F.col("over_max_delay"),
+        superseded=superseded,
+        delivered=F.col("delivered"),
     )
-    forwarded = delivery_log(requests, timing).agg(F.count(F.lit(1)).alias("delivered"))
-    # Two one-row tables side by side.
-    totals = judged.withColumn("one", F.lit(1)).join(forwarded.withColumn("one", F.lit(1)), "one")
-    counts = F.stack(
-        F.lit(4),
-        F.lit("expired"),
-        F.col("expired"),
-        F.lit("over_max_delay"),
-        F.col("over_max_delay"),
-        F.lit("superseded"),
-        F.col("accepted") - F.col("delivered"),
-        F.lit("delivered"),
-        F.col("delivered"),
-    ).alias("outcome", "requests")
-    return totals.select(counts).filter(F.col("requests") > 0)
-
-
-def counters(requests: DataFrame, deliveries: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """The processed-records counter by operation and label."""
-    arrived = with_admission(requests, timing).agg(
-        F.count_if(F.col("id").isNotNull()).alias("valid"),
-        F.count_if(F.col("id").isNull()).alias("invalid"),
-        F.count_if(F.col("id").isNotNull() & F.col("refusal").isNull()).alias("scheduled"),
-    )
-    labelled = F.stack(
-        F.lit(3),
-        *[
-            part
-            for (operation, label), column in [
-                (VALID, "valid"),
-                (INVALID, "invalid"),
-                (SCHEDULED, "scheduled"),
-            ]
-            for part in (F.lit(operation), F.lit(label), F.col(column))
-        ],
-    ).alias("operation", "label", "records")
-    forwarded = deliveries.agg(F.count(F.lit(1)).alias("records")).select(
-        F.lit(FORWARDED[0]).alias("operation"), F.lit(FORWARDED[1]).alias("label"), "records"
-    )
-    return arrived.select(labelled).unionByName(forwarded)
+    return totals.select(counts.alias("outcome", "requests")).filter(F.col("requests") > 0)
+
+
+def counters(requests: DataFrame, timing: Timing = Timing()) -> DataFrame:
+    """The processed-records counter by operation and label. Requests without an id are invalid."""
+    totals = survivor_counts(with_admission(requests, timing), timing)
+    refused = F.col("expired") + F.col("over_max_delay")
+    records = {
+        VALID: F.col("accepted") + refused,
+        INVALID: F.col("nameless"),
+        SCHEDULED: F.col("accepted"),
+        FORWARDED: F.col("delivered"),
+    }
+    cells = [c for (a, b), n in records.items() for c in (F.lit(a), F.lit(b), n)]
+    return totals.select(F.stack(F.lit(len(records)), *cells).alias("operation", "label", "records"))
+
+
+def stacked(**columns: Column) -> Column:
+    """A row (name, value) for each column."""
+    return F.stack(F.lit(len(columns)), *[c for n, v in columns.items() for c in (F.lit(n), v)])
 
 
 def forwarded_per_tick(deliveries: DataFrame) -> DataFrame:

@@ -35,7 +35,9 @@ DELIVERY_COLUMNS = [
     "delivered_at",
 ]
 # Window groups cover this many times the longest delay; see _next_touch.
-REACHES_PER_SPAN = 16
+REACHES_PER_SPAN = 4
+# Ids that a replay may be told to reduce first; they become constants of its plan.
+MOST_BUSY_IDS = 10_000
 
 
 def with_admission(requests: DataFrame, timing: Timing = Timing()) -> DataFrame:
@@ -85,11 +87,30 @@ def _expired_at_fire() -> Column:
     return ~instant_after(F.col("expires_sec"), F.col("expires_nano"), fire_sec, fire_nano)
 
 
-def tick_survivors(admitted: DataFrame) -> DataFrame:
+def tick_survivors(admitted: DataFrame, **counts: Column) -> DataFrame:
     """The last request of each id in each tick: the only one of them that is still there when
-    the tick comes, or the one whose refusal left nothing there."""
-    last = admitted.groupBy("id", "arrival_tick").agg(F.max(_narrow(admitted)).alias("last"))
-    return last.select("id", "arrival_tick", "last.*")
+    the tick comes, or the one whose refusal left nothing there. ``counts`` are further aggregates
+    over all requests of the id in the tick, by name."""
+    last = admitted.groupBy("id", "arrival_tick").agg(
+        F.max(_narrow(admitted)).alias("last"), *[c.alias(name) for name, c in counts.items()]
+    )
+    return last.select("id", "arrival_tick", "last.*", *counts)
+
+
+def survivor_counts(admitted: DataFrame, timing: Timing) -> DataFrame:
+    """One row: how many requests were expired, over_max_delay, accepted and delivered, and how many
+    had no id. The refusals are counted on the way to the deliveries, so the input is read once."""
+    refusal, named = F.col("refusal"), F.col("id").isNotNull()
+    steps = tick_survivors(
+        admitted,
+        expired=F.count_if(named & (refusal == "expired")),
+        over_max_delay=F.count_if(named & (refusal == "over_max_delay")),
+        accepted=F.count_if(named & refusal.isNull()),
+        nameless=F.count_if(~named),
+    )
+    delivered = named & refusal.isNull() & ~_overtaken()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expired", "over_max_delay", "accepted", "nameless")]
+    return _next_touch(steps, timing).agg(*sums, F.count_if(delivered).alias("delivered"))
 
 
 def _next_touch(
@@ -162,13 +183,18 @@ def delivery_log(
     return with_payload(log, admitted.filter(F.col("refusal").isNull())) if payload else log
 
 
-def find_busy_ids(requests: DataFrame, at_least: int = 1_000_000) -> list[str]:
-    """Ids with this many requests or more: at most one per ``at_least`` rows of the table.
+def find_busy_ids(
+    requests: DataFrame, at_least: int = 1_000_000, most: int = MOST_BUSY_IDS
+) -> list[str]:
+    """The busiest ids with this many requests or more, at most ``most`` of them.
 
-    Reads only the id column of a stored request log. Worth it when the log is replayed often.
+    What is collected is bounded however long the log is. A busy id beyond that is replayed like any
+    other, in bounded spans, so no row is lost. Reads only the id column of a stored request log.
+    Worth it when the log is replayed often.
     """
     counts = requests.groupBy("id").agg(F.count(F.lit(1)).alias("requests"))
-    return [row.id for row in counts.filter(F.col("requests") >= at_least).select("id").collect()]
+    busy = counts.filter(F.col("requests") >= at_least).orderBy(F.desc("requests"), "id")
+    return [row.id for row in busy.select("id").limit(most).collect()]
 
 
 def with_payload(narrow: DataFrame, requests: DataFrame) -> DataFrame:

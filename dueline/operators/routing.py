@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dueline.functions import append_header, last_header
 from dueline.schema import MESSAGE_ID, HeaderNames
 
-# A list of destinations up to this many names is broadcast: at most 249 bytes each, about 25 MB.
-BROADCAST_DESTINATIONS = 100_000
+# A list of destinations up to this many bytes is broadcast; a name counts 40 bytes more than it has.
+BROADCAST_BYTES = 32 << 20
+NAME_OVERHEAD = 40
 # Beyond it both sides are shuffled, with each destination spread over this many keys.
 SALTS = 64
 
@@ -27,17 +30,34 @@ def route(messages: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
     return messages.withColumn("to_topic", F.make_valid_utf8(destination.cast("string")))
 
 
+@dataclass(frozen=True)
+class KnownDestinations:
+    """The names that exist (column ``destination``), and whether they are few enough to broadcast."""
+
+    names: DataFrame
+    few: bool
+
+
+def known_destinations(known: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> KnownDestinations:
+    """Measure a table of destinations once, so that a stream need not do it in every micro-batch."""
+    names = known.select("destination").where(F.col("destination").isNotNull()).distinct()
+    size = names.agg(F.sum(F.octet_length("destination") + NAME_OVERHEAD)).first()[0]
+    return KnownDestinations(names, (size or 0) <= broadcast_bytes)
+
+
 def mark_known_destinations(
-    deliveries: DataFrame, known: DataFrame, broadcast_up_to: int = BROADCAST_DESTINATIONS
+    deliveries: DataFrame, known: DataFrame | KnownDestinations, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Add ``known``: is the destination in the table ``known`` (column ``destination``)?
 
     A null destination is unknown. One busy destination does not end up in one task: the names are
-    broadcast if they are few, which is checked, and joined on salted keys if not.
+    broadcast if their bytes are few, which is checked, and joined on salted keys if not.
     """
-    names = known.select(F.col("destination").alias("_name"), F.lit(True).alias("_found")).distinct()
+    if not isinstance(known, KnownDestinations):
+        known = known_destinations(known, broadcast_bytes)
+    names = known.names.select(F.col("destination").alias("_name"), F.lit(True).alias("_found"))
     same = F.col("destination") == F.col("_name")
-    if names.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
+    if known.few:
         names = F.broadcast(names)
     else:
         names = names.withColumn("_name_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -51,10 +71,11 @@ def mark_known_destinations(
 
 
 def split_unknown_destinations(
-    deliveries: DataFrame, known: DataFrame, broadcast_up_to: int = BROADCAST_DESTINATIONS
+    deliveries: DataFrame, known: DataFrame | KnownDestinations, broadcast_bytes: int = BROADCAST_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """Deliveries whose destination exists, and the rest, for a dead-letter table."""
-    marked = mark_known_destinations(deliveries, known, broadcast_up_to)
+    """Deliveries whose destination exists, and the rest, for a dead-letter table. Two frames over one
+    input: what reads both should use ``mark_known_destinations``, which reads it once."""
+    marked = mark_known_destinations(deliveries, known, broadcast_bytes)
     return (
         marked.filter(F.col("known")).drop("known"),
         marked.filter(~F.col("known")).drop("known"),

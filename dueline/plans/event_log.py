@@ -23,6 +23,9 @@ from dueline.schema import (
 US_PER_MINUTE, US_PER_HOUR = 60_000_000, 3_600_000_000
 TEN_MINUTES, HALF_HOUR = 10 * US_PER_MINUTE, 30 * US_PER_MINUTE
 EVENT_TIMING = Timing(tick_us=US_PER_MINUTE, max_delay_us=12 * US_PER_HOUR)
+# 2100-01-01 00:00:00, and a delay that reaches it.
+FAR_US = 4_102_444_800_000_000
+FAR_TIMING = Timing(tick_us=US_PER_MINUTE, max_delay_us=200 * 365 * US_PER_DAY)
 # Every 17th event gets no control headers at all.
 UNTAGGED_EVERY = 17
 
@@ -138,8 +141,13 @@ def binary_header(headers: Column, names: HeaderNames) -> Column:
 def event_messages(
     spark: SparkSession, sf_dir: str, names: HeaderNames = HeaderNames()
 ) -> DataFrame:
-    """The events as raw messages with one header of their own. Even ones carry text control
-    headers, odd ones the binary header, every 17th none."""
+    """The events as raw messages."""
+    return messages_of(timed_events(spark, sf_dir), names)
+
+
+def messages_of(timed: DataFrame, names: HeaderNames = HeaderNames()) -> DataFrame:
+    """Rows of ``timed_events`` as raw messages with one header of their own. Even ones carry text
+    control headers, odd ones the binary header, every 17th none."""
     tagged = F.col("offset") % UNTAGGED_EVERY != 0
     as_text = tagged & (F.col("offset") % 2 == 0)
     as_bytes = tagged & (F.col("offset") % 2 == 1)
@@ -156,7 +164,7 @@ def event_messages(
         for name, value in possible
     ]
     headers = F.filter(F.array(*each), lambda h: h["value"].isNotNull())
-    return with_metadata(timed_events(spark, sf_dir)).select(
+    return with_metadata(timed).select(
         "key",
         "value",
         "topic",
@@ -165,3 +173,25 @@ def event_messages(
         F.timestamp_micros("arrival_us").alias("timestamp"),
         headers.cast(HEADERS_TYPE).alias("headers"),
     )
+
+
+def changing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests whose end is the same however the log is cut into micro-batches.
+
+    Each even event asks for a time in the far future, under an id of its own. The odd event behind
+    it, by turns, replaces it with a request that is due, takes it away by a refused one, or leaves
+    it alone under another id.
+    """
+    timed = timed_events(spark, sf_dir)
+    even, turn = F.col("offset") % 2 == 0, F.pmod(F.call_function("div", F.col("offset"), F.lit(2)), F.lit(3))
+    number = F.when(~even & (turn == 2), F.col("offset")).otherwise(F.col("offset") - F.col("offset") % 2)
+    waits = even | (turn == 2)
+    scheduled = F.when(waits, F.lit(FAR_US) + F.col("offset") * 1_000_000).otherwise(F.col("arrival_us"))
+    refused = ~even & (turn == 1)
+    return timed.withColumns(
+        {
+            "id": F.concat(F.lit("00000000-0000-0000-0001-"), F.lpad(number.cast("string"), 12, "0")),
+            "scheduled_us": scheduled,
+            "expires_us": F.when(refused, scheduled - 1_000_000).otherwise(scheduled + US_PER_DAY),
+        }
+    )

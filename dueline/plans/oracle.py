@@ -176,11 +176,30 @@ ORACLES: dict[str, str] = {
     "stream_replay": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
         {RULES.format(source="s")} select id, event_id "offset", dest destination,
         fire delivered_at from c where outcome = 'delivered'""",
-    "stream_by_clock": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
-        {RULES.format(source="s")} select id, event_id "offset", dest destination,
-        value_hex "value" from c where nxt is null and refusal is null""",
+    "empty_payload": f"""with {REQUESTS} select event_id "offset",
+        case when event_id % 3 <> 0 then key_hex end "key",
+        case when event_id % 3 <> 1 then value_hex end "value" from q where event_id % 17 <> 0""",
+    "outgoing_in_order": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
+        {RULES.format(source="s")} select event_id "offset", dest topic,
+        row_number() over (order by fire, sched, id) place
+        from c where outcome = 'delivered' and event_type < 's'""",
+    "request_log": f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
+        {RULES.format(source="s")} {LOG}""",
 }
 
+# Requests for 2100-01-01 and later by even events; the odd one behind each, by turns, replaces it,
+# cancels it or has another id.
+CHANGING = f"""with {REQUESTS},
+    t as (select *, event_id // 2 % 3 turn, event_id % 2 = 0 even from q where event_id % 17 <> 0),
+    n as (select *, case when even or turn < 2 then event_id - event_id % 2 else event_id end nr from t),
+    w as (select *, '00000000-0000-0000-0001-' || lpad(cast(nr as varchar), 12, '0') own,
+                 lead(turn) over (partition by nr order by event_id) after from n)"""
+ORACLES["stream_by_clock"] = f"""{CHANGING} select own id, event_id "offset", dest destination,
+    value_hex "value" from w where not even and turn = 0"""
+ORACLES["state_by_clock"] = f"""{CHANGING} select own id, event_id "offset", dest destination,
+    4102444800000000 + event_id * 1000000::bigint fire_at, value_hex "value"
+    from w where (even or turn = 2) and after is null"""
+
 ORACLES["busy_id_routed_log"] = ORACLES["busy_id_log"]
 
 # Messages made unusable: no scheduled time (even ones), or a payload in place of the header.

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dueline.functions import (
@@ -45,10 +45,13 @@ from dueline.operators import (
 from dueline.operators.ingest import INSTANT_FIELDS
 from dueline.plans.event_log import (
     EVENT_TIMING,
+    FAR_TIMING,
     binary_header,
+    changing_events,
     event_messages,
     event_requests,
     instant_text,
+    messages_of,
     text_headers,
     timed_events,
     with_metadata,
@@ -61,14 +64,18 @@ from dueline.plans.jobs import (
     stream_to_files,
 )
 from dueline.plans.shared import shared_folder
-from dueline.schema import HEADERS_TYPE, MESSAGE_SCHEMA, METADATA_FIELDS, HeaderNames
+from dueline.schema import HEADERS_TYPE, METADATA_FIELDS, HeaderNames
 from dueline.sources.deliveries import outgoing
 from dueline.sources.json_requests import headers_from_json
+from dueline.sources.messages import read_files
+from dueline.streaming.job import FileSink, pending_in_state, read_request_log, start_request_log
 
 NAMES = HeaderNames()
 # 2024-01-15 00:00:00, and six hours later.
 SNAPSHOT_US = 1_705_276_800_000_000
 LATER_US = SNAPSHOT_US + 21_600_000_000
+# Message files that a micro-batch of a stream takes.
+FILES_PER_BATCH = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,7 +227,7 @@ def count_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("counters")
 def processed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = event_requests(spark, sf_dir)
-    return counters(requests, delivery_log(requests, EVENT_TIMING), EVENT_TIMING)
+    return counters(requests, EVENT_TIMING)
 
 
 @query("forwarded_per_tick")
@@ -444,6 +451,20 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("empty_payload")
+def empty_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which a third have an empty key and another third an empty value."""
+    third, empty = F.col("offset") % 3, F.lit(b"")
+    messages = event_messages(spark, sf_dir).withColumns(
+        {
+            "key": F.when(third == 0, empty).otherwise(F.col("key")),
+            "value": F.when(third == 1, empty).otherwise(F.col("value")),
+        }
+    )
+    requests, _ = ingest(messages)
+    return requests.select("offset", F.hex("key").alias("key"), F.hex("value").alias("value"))
+
+
 def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event messages of which some lack a scheduled time or have a broken binary header."""
     messages = event_messages(spark, sf_dir)
@@ -528,6 +549,29 @@ def outgoing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("outgoing_in_order")
+def outgoing_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for the Kafka sink with their place in the order in which the tasks send them. The
+    message is told by its own header."""
+    log = replay_messages(event_messages(spark, sf_dir), EVENT_TIMING)
+    rows = outgoing(log, NAMES, quiet_destinations(spark, sf_dir), ranges=True)
+    # In the upper bits the task, below the row's number there.
+    sent = rows.withColumn("number", F.monotonically_increasing_id())
+    path = shared_folder(spark, "outgoing")
+    sent.write.parquet(path)
+    sent = spark.read.schema(sent.schema).parquet(path)
+    task = F.shiftright("number", 33)
+    sizes = sent.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("task")) - F.col("rows")  # one row per task
+    places = F.broadcast(sizes.select("task", before.alias("before")))
+    own = F.col("headers")[0]["value"].cast("string").cast("bigint")
+    return sent.withColumn("task", task).join(places, "task").select(
+        own.alias("offset"),
+        "topic",
+        (F.col("before") + F.col("number").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"),
+    )
+
+
 @query("files_by_destination")
 def files_by_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay into files, one directory per known destination, and read them back."""
@@ -540,26 +584,53 @@ def files_by_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------------------
 
 
-def message_stream(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame]:
-    """The event messages as files, read as a stream."""
+def message_stream(spark: SparkSession, *parts: DataFrame) -> tuple[SparkSession, DataFrame]:
+    """Messages as files, read as a stream; each part is in files of its own, one after the other."""
     path = shared_folder(spark, "messages")
-    event_messages(spark, sf_dir).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
     session = stream_session(spark)
-    return session, session.readStream.schema(MESSAGE_SCHEMA).parquet(path)
+    return session, read_files(session, path, stream=True, files_per_batch=FILES_PER_BATCH)
 
 
 @query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream in message time, and what it still holds after the last message."""
-    session, messages = message_stream(spark, sf_dir)
+    session, messages = message_stream(spark, event_messages(spark, sf_dir))
     root = shared_folder(spark, "stream")
     out = replay_stream_to_files(session, messages, root, "1 second", EVENT_TIMING)
     return out.select("id", "offset", "destination", "delivered_at")
 
 
+def run_by_clock(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str, DataFrame]:
+    """A stream in clock time over requests that are replaced or cancelled in a later micro-batch."""
+    changing = changing_events(spark, sf_dir)
+    first, second = (messages_of(changing.filter(F.col("offset") % 2 == n)) for n in (0, 1))
+    session, messages = message_stream(spark, first, second)
+    root = shared_folder(spark, "stream")
+    return session, root, stream_to_files(session, messages, root, FAR_TIMING)
+
+
 @query("stream_by_clock")
 def stream_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream in clock time. All of it is long due, so the last request of each id leaves."""
-    session, messages = message_stream(spark, sf_dir)
-    out = stream_to_files(session, messages, shared_folder(spark, "stream"), EVENT_TIMING)
+    """What leaves: requests that are due and replaced one that was not."""
+    out = run_by_clock(spark, sf_dir)[2]
     return out.select("id", "offset", "destination", F.hex("value").alias("value"))
+
+
+@query("state_by_clock")
+def state_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays in the state: far requests that were neither replaced nor cancelled."""
+    session, root, _ = run_by_clock(spark, sf_dir)
+    left = pending_in_state(session, FileSink(root).checkpoint("deliveries"))
+    return left.select("id", "offset", "destination", "fire_at", F.hex("value").alias("value"))
+
+
+@query("request_log")
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's request log, read back and replayed."""
+    session, messages = message_stream(spark, event_messages(spark, sf_dir))
+    sink = FileSink(shared_folder(spark, "stream"))
+    start_request_log(messages, sink, interval=None).awaitTermination()
+    stored = read_request_log(session, sink)
+    return log_columns(delivery_log(stored, EVENT_TIMING))

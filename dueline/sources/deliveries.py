@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dueline.operators import RELEASE_ORDER, mark_known_destinations, restore_source, route
+from dueline.operators import (
+    RELEASE_ORDER,
+    KnownDestinations,
+    mark_known_destinations,
+    restore_source,
+    route,
+)
 from dueline.schema import HeaderNames
 
 # Fixed value: what a topic may be called. Other names get no directory of their own.
@@ -22,7 +28,7 @@ FILE_SCHEMA = (
 def outgoing(
     deliveries: DataFrame,
     names: HeaderNames = HeaderNames(),
-    known: DataFrame | None = None,
+    known: DataFrame | KnownDestinations | None = None,
     dead_letter_topic: str | None = None,
     ranges: bool = False,
 ) -> DataFrame:
@@ -52,7 +58,7 @@ def outgoing(
 def filed(
     deliveries: DataFrame,
     names: HeaderNames = HeaderNames(),
-    known: DataFrame | None = None,
+    known: DataFrame | KnownDestinations | None = None,
 ) -> DataFrame:
     """Rows for the file tables: as they leave, with ``known`` and the directory ``to``."""
     if known is None:

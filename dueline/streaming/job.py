@@ -7,19 +7,21 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dueline.functions import instant_to_micros
 from dueline.operators import (
     RELEASE_ORDER,
+    KnownDestinations,
+    known_destinations,
     parse_messages,
     quarantine_of,
     requests_of,
     with_admission,
 )
-from dueline.schema import ARRIVAL_ORDER, HeaderNames, Timing
+from dueline.schema import ARRIVAL_ORDER, US_PER_DAY, HeaderNames, Timing
 from dueline.sources.deliveries import filed, outgoing, write_kafka
 from dueline.streaming import processor
 from dueline.streaming.processor import (
@@ -136,7 +138,7 @@ class FileSink:
 def start_file_delivery(
     deliveries: DataFrame,
     sink: FileSink,
-    known: DataFrame | None = None,
+    known: DataFrame | KnownDestinations | None = None,
     interval: str | None = "1 second",
     names: HeaderNames = HeaderNames(),
 ) -> StreamingQuery:
@@ -147,6 +149,8 @@ def start_file_delivery(
     for replays, as a query by the clock never runs out of ticks.
     """
 
+    known = _measured(known)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # The rows are still spread by id, as the state is; each task writes its own in order.
         rows = filed(batch, names, known).sortWithinPartitions("to", *RELEASE_ORDER)
@@ -162,7 +166,7 @@ def start_kafka_delivery(
     deliveries: DataFrame,
     servers: str,
     checkpoint: str,
-    known: DataFrame | None = None,
+    known: DataFrame | KnownDestinations | None = None,
     dead_letter_topic: str | None = None,
     interval: str = "1 second",
     names: HeaderNames = HeaderNames(),
@@ -170,8 +174,11 @@ def start_kafka_delivery(
     """Send a delivery stream to Kafka, each message to its own topic.
 
     Any sink error but an unknown destination fails the micro-batch, which is then tried again.
+    Without ``known`` all destinations are taken to exist, so an unknown one is such an error too.
     """
 
+    known = _measured(known)
+
     def send(batch: DataFrame, batch_id: int) -> None:
         write_kafka(outgoing(batch, names, known, dead_letter_topic), servers)
 
@@ -182,7 +189,7 @@ def start_kafka_delivery(
 def start_quarantine(
     messages: DataFrame,
     sink: FileSink,
-    interval: str | None = "1 second",
+    interval: str | None = "1 minute",
     names: HeaderNames = HeaderNames(),
 ) -> StreamingQuery:
     """Keep the messages that are no request, beside the main query."""
@@ -193,12 +200,33 @@ def start_quarantine(
 def start_request_log(
     messages: DataFrame,
     sink: FileSink,
-    interval: str | None = "1 second",
+    interval: str | None = "1 minute",
     names: HeaderNames = HeaderNames(),
 ) -> StreamingQuery:
-    """Keep every request, for replays and snapshots as of any instant."""
+    """Keep every request, for replays and snapshots as of any instant, in a directory per day (UTC)
+    of its arrival: a snapshot opens only the days that it needs."""
     requests = requests_of(parse_messages(messages, names), names)
-    return _start_append(requests, sink.requests, sink.checkpoint("requests"), interval)
+    day = arrival_day(F.col("arrival_us"))
+    requests = requests.withColumn("day", day)
+    return _start_append(requests, sink.requests, sink.checkpoint("requests"), interval, "day")
+
+
+def arrival_day(us: Column) -> Column:
+    """The number of an instant's day, in microseconds from the epoch, whatever the time zone."""
+    into_day = F.pmod(us, F.lit(US_PER_DAY))
+    return F.call_function("div", us - into_day, F.lit(US_PER_DAY)).cast("int")
+
+
+def read_request_log(
+    spark: SparkSession, sink: FileSink, from_us: int | None = None, to_us: int | None = None
+) -> DataFrame:
+    """Requests that arrived between two instants (both included); only their days are read."""
+    log = spark.read.parquet(sink.requests)
+    if from_us is not None:
+        log = log.filter((F.col("day") >= from_us // US_PER_DAY) & (F.col("arrival_us") >= from_us))
+    if to_us is not None:
+        log = log.filter((F.col("day") <= to_us // US_PER_DAY) & (F.col("arrival_us") <= to_us))
+    return log.drop("day")
 
 
 def pending_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -209,10 +237,17 @@ def pending_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.id").alias("id"), "value.*")
 
 
+def _measured(known: DataFrame | KnownDestinations | None) -> KnownDestinations | None:
+    """The size of the known destinations is looked at when a query starts, not in every micro-batch."""
+    return known_destinations(known) if isinstance(known, DataFrame) else known
+
+
 def _start_append(
-    rows: DataFrame, path: str, checkpoint: str, interval: str | None
+    rows: DataFrame, path: str, checkpoint: str, interval: str | None, directories: str | None = None
 ) -> StreamingQuery:
     writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    if directories is not None:
+        writer = writer.partitionBy(directories)
     return _start(writer.option("path", path), interval)
 
 

@@ -27,6 +27,11 @@ def arrival_order(row: Any) -> tuple:
     return row["arrival_us"], row["topic"], row["partition"], row["offset"]
 
 
+def timer_of(held: dict) -> int:
+    """Timers are in milliseconds; never fire early."""
+    return -(-held["fire_at"] // 1000)
+
+
 class HoldUntilDue(StatefulProcessor):
     """Keeps the last accepted request of each id until its timer fires.
 
@@ -57,12 +62,15 @@ class HoldUntilDue(StatefulProcessor):
             if self.replay and held and held["fire_at"] < row["arrival_us"]:
                 yield self._delivery(key, held, held["fire_at"])
             held = row.asDict() if row["fire_at"] is not None else None
-        if was_pending:
-            self.handle.deleteTimer(was_pending[PENDING_FIELDS.index("timer_ms")])
-            if not held:
-                self.pending.clear()
+        # Every call is a round trip to the state: a timer that stays the same is left alone.
+        old_timer = was_pending[PENDING_FIELDS.index("timer_ms")] if was_pending else None
+        new_timer = timer_of(held) if held else None
+        if old_timer is not None and old_timer != new_timer:
+            self.handle.deleteTimer(old_timer)
         if held:
-            self._hold(held)
+            self._hold(held, old_timer)
+        elif was_pending:
+            self.pending.clear()
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
@@ -102,11 +110,11 @@ class HoldUntilDue(StatefulProcessor):
                 last[row["arrival_tick"]] = row
         return [last[tick] for tick in sorted(last)]
 
-    def _hold(self, held: dict) -> None:
-        # Timers are in milliseconds; never fire early.
-        held["timer_ms"] = -(-held["fire_at"] // 1000)
+    def _hold(self, held: dict, old_timer: int | None = None) -> None:
+        held["timer_ms"] = timer_of(held)
         self.pending.update(tuple(held[field] for field in PENDING_FIELDS))
-        self.handle.registerTimer(held["timer_ms"])
+        if held["timer_ms"] != old_timer:
+            self.handle.registerTimer(held["timer_ms"])
 
     @staticmethod
     def _delivery(key: Any, held: dict, delivered_at: int) -> Row:

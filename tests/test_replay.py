@@ -142,7 +142,7 @@ def test_latest_request_and_counters(spark):
     rows = latest_request(table).collect()
     assert {r.id: r.offset for r in rows} == {k: r.offset for k, r in last.items()}
     log = delivery_log(table, HOUR)
-    counted = {(r.operation, r.label): r.records for r in counters(table, log, HOUR).collect()}
+    counted = {(r.operation, r.label): r.records for r in counters(table, HOUR).collect()}
     accepted = [r for r in requests if r.expires_us > r.scheduled_us]
     assert counted["transform()", "Valid"] == 100
     assert counted["transform()", "Invalid"] == 0

@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 
 from dueline.operators import (
     RELEASE_ORDER,
+    counters,
     delivery_log,
     ingest,
+    known_destinations,
+    mark_known_destinations,
+    outcome_counts,
     parse_messages,
     requests_of,
     split_unknown_destinations,
@@ -33,7 +37,7 @@ def known(spark):
 
 
 def test_broadcast_and_salted_split_agree(spark):
-    for limit in (100, 2):
+    for limit in (10_000, 2):
         found, lost = split_unknown_destinations(deliveries(spark), known(spark), limit)
         assert sorted(r.offset for r in found.collect()) == [0, 1, 2, 3, 4, 5]
         assert [r.destination for r in lost.collect()] == ["missing"]
@@ -109,6 +113,24 @@ def test_replay_plan(spark):
     assert "value:double" not in plan
 
 
+@pytest.mark.parametrize("count", [outcome_counts, counters])
+def test_counts_read_their_input_once(spark, count):
+    plan = executed(count(event_requests(spark, SF_DIR), EVENT_TIMING))
+    assert plan.count("FileScan parquet") == 1
+    assert "Nested" not in plan and "Cartesian" not in plan
+
+
+def test_known_destinations_are_measured_in_bytes(spark):
+    names = spark.createDataFrame([("a",), ("b" * 200,), ("a",), (None,)], "destination string")
+    assert known_destinations(names, 281).few
+    assert not known_destinations(names, 280).few
+    assert known_destinations(names.limit(0), 0).few
+    log = spark.createDataFrame([("t", 0, 1, "a"), ("t", 0, 2, "c"), ("t", 0, 3, None)], "topic string, partition int, offset bigint, destination string")
+    for size in (0, 1000):
+        marked = mark_known_destinations(log, known_destinations(names, size)).collect()
+        assert {r.offset: r.known for r in marked} == {1: True, 2: False, 3: False}
+
+
 def test_generated_methods_are_short_enough_to_be_compiled(spark):
     """The JVM does not compile methods of more than 8000 bytes."""
     path = shared_folder(spark, "messages")
