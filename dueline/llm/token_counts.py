@@ -1,42 +1,110 @@
 """Token counts of texts, without token ids.
 
-Each task takes its texts in blocks. The distinct pre-tokens of a block are counted once each by the
-tokenizers library (and remembered while the table of known ones is small), joined to the frequencies
-of pre-tokens in each document by their place in the block's dictionary, and summed. Nothing is
-shuffled: a table of all pre-tokens of a corpus is a large part of its words, and moving it, and the
-frequencies to meet it, costs more than counting a rare word in several tasks.
-
-Null texts count as empty and have no tokens; rows are counted one by one, so repeated or null ids
-change nothing. Special strings in a text are special tokens, as the library's default has it.
+1. Pre-tokens: each task cuts its texts and sends on each distinct pre-token with its frequency; a
+   grouping with map-side partials makes the corpus's table of them. A frequent word is one row a task.
+2. The tokenizers library counts the pieces of each distinct pre-token once.
+3. Texts are cut again into frequencies of pre-tokens by document. The COMMON most frequent pre-tokens,
+   which would be hot keys, come to them by broadcast: at most COMMON rows of LONG characters, whatever
+   the corpus's size is. The others go to the table by a join on the pre-token, and the products of
+   frequency and pieces are summed by document.
+
+Runs longer than LONG characters are no words; they are counted where they stand and don't travel.
+
+Null texts count as empty and have no tokens. Rows are told by a key of their own, so repeated or null
+ids change nothing. Special strings in a text are special tokens, as the library's default has it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dueline.llm.shared import text_or_empty
-from dueline.llm.tokens import blocks, byte_token_counts
+from dueline.llm.shared import text_or_empty, written
+from dueline.llm.tokens import blocks, bounds, byte_pretokens, table
 
+#: Pre-tokens that are broadcast at most, and the most characters of a pre-token that is shuffled.
+COMMON, LONG = 100_000, 128
+RARE = "array<struct<word: string, n: bigint>>"
 
-def count_tokens(
-    docs: DataFrame, vocabulary: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). ``vocabulary`` is a
-    byte-level tokenizers file that adds no space in front."""
+
+def pretokens(texts: DataFrame, vocabulary: str) -> DataFrame:
+    """word, n (how often it is in all texts), pieces: each distinct pre-token once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                words, _, places, often = byte_pretokens(block)
+                n = np.bincount(places, often, len(words)).astype(np.int64)
+                short = [i for i, w in enumerate(words) if len(w) <= LONG]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in short], pa.string()), pa.array(n[short])], names=["word", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = table(vocabulary).count(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces)], names=["word", "n", "pieces"])
+
+    words = texts.select("text").mapInArrow(cut, "word string, n bigint")
+    distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
+    return distinct.mapInArrow(counted, "word string, n bigint, pieces bigint")
+
+
+def frequencies(texts: DataFrame, common: dict[str, int], vocabulary: str) -> DataFrame:
+    """One row per document: doc_key, doc_id, n_bytes, n_tokens (of common pre-tokens), and the others
+    with their frequencies, ``rare``."""
+    known = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 33
+        pieces_of = known.value
         for batch in batches:
-            counts = [n for texts in blocks(batch.column(1)) for n in byte_token_counts(texts, vocabulary).tolist()]
-            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
-            over = pa.array([n > limit for n in counts], pa.bool_())
-            out = [batch.column(0), sizes, pa.array(counts, pa.int64()), over]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            at = 0
+            for block in blocks(batch.column("text")):
+                words, row, places, often = byte_pretokens(block)
+                pieces = np.array([pieces_of.get(w, -1) for w in words], np.int64)
+                long = [i for i, w in enumerate(words) if len(w) > LONG]
+                pieces[long] = table(vocabulary).count([words[i] for i in long])
+                have = pieces[places] >= 0
+                totals = np.bincount(row[have], (often * pieces[places])[have], len(block)).astype(np.int64)
+                rest = pa.array(words, pa.string()).take(pa.array(places[~have]))
+                pairs = pa.StructArray.from_arrays([rest, pa.array(often[~have])], names=["word", "n"])
+                ends = bounds(np.bincount(row[~have], minlength=len(block)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(key, key + len(block))),
+                        batch.column("doc_id").slice(at, len(block)),
+                        pc.binary_length(block).cast(pa.int64()),
+                        pa.array(totals),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    ],
+                    names=["doc_key", "doc_id", "n_bytes", "n_tokens", "rare"],
+                )
+                key, at = key + len(block), at + len(block)
 
-    texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(F.col(text_column)).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return texts.mapInArrow(run, f"doc_key bigint, doc_id {kind}, n_bytes bigint, n_tokens bigint, rare {RARE}")
+
+
+def count_tokens(
+    docs: DataFrame, vocabulary: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", common: int = COMMON
+) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). ``vocabulary`` is a
+    byte-level tokenizers file that adds no space in front. The result is the same for any ``common``."""
+    texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(F.col(text_column)).alias("text"))
+    distinct = written(pretokens(texts, vocabulary), "pre-tokens")
+    frequent = distinct.orderBy(F.desc("n"), "word").limit(common).select("word", "pieces").collect()
+    own = written(frequencies(texts, {r.word: r.pieces for r in frequent}, vocabulary), "token-frequencies")
+    rare = own.select("doc_key", F.explode("rare").alias("r")).select("doc_key", "r.word", "r.n")
+    sums = (
+        rare.join(distinct.select("word", "pieces"), "word")
+        .groupBy("doc_key")
+        .agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    )
+    n_tokens = F.col("n_tokens") + F.coalesce("more", F.lit(0))
+    counted = own.select("doc_key", "doc_id", "n_bytes", "n_tokens").join(sums, "doc_key", "left")
+    return counted.select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

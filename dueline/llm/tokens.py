@@ -6,8 +6,9 @@ words known so far is kept while it is small.
 
 * ``word_tokens``: for vocabularies that drop white space and lower the case (NFC, lower case, then
   words). Cuts at ASCII white space.
-* ``byte_token_counts``: for byte-level vocabularies, where one space belongs to the word behind it.
-  Cuts before a space between two characters that are neither white space nor control characters.
+* ``byte_pretokens``: for byte-level vocabularies, where one space belongs to the word behind it.
+  Cuts before a space, and around a line end, between two characters that are neither white space nor
+  control characters.
 
 In both, trailing ``.`` and ``,`` behind an ASCII letter or digit are a word of their own, and words of
 Latin letters alone, which nothing before the merges changes or cuts, go straight to the library's
@@ -61,6 +62,20 @@ class WordTable:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def count(self, words: list[str]) -> np.ndarray:
+        """How many tokens each word has; nothing is remembered."""
+        out, rest = np.zeros(len(words), np.int64), []
+        merge = self.tokenizer.model.tokenize
+        for i, w in enumerate(words):
+            if self.plain(w):
+                out[i] = len(merge(w.encode().decode("latin-1").translate(LETTERS)))
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            out[some] = [len(e) for e in self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)]
+        return out
+
     def codes(self, words: list[str]) -> np.ndarray:
         """The place of each word in the table, which learns new ones."""
         if len(self.known) > KNOWN_WORDS:
@@ -148,8 +163,26 @@ def joined(words: list[str], rough: set[str]) -> list[str]:
     return out
 
 
-def byte_token_counts(texts: pa.Array, path: str) -> np.ndarray:
-    """How many tokens each text has. No ids are put together."""
+def cut_word(word: str, before: str) -> list[str]:
+    """Pre-tokens of a word that has ``before`` in front of it: cut at line ends between two printable
+    characters, and before trailing points and commas."""
+    lines = word.split("\n")
+    if len(lines) > 1 and not all(x and x[0].isprintable() and x[-1].isprintable() for x in lines):
+        return [before + word]
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        core = line.rstrip(".,")
+        if not (core and core[-1].isascii() and core[-1].isalnum()):
+            core = line
+        out += [before + core] if i == 0 else ["\n", core]
+        if len(core) < len(line):
+            out.append(line[len(core) :])
+    return out
+
+
+def byte_pretokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of the texts, and how often each is in each text: row, place in the list
+    and frequency, ordered by row."""
     lists = pc.split_pattern(texts, " ")
     words = lists.flatten().dictionary_encode()
     distinct = words.dictionary
@@ -157,24 +190,43 @@ def byte_token_counts(texts: pa.Array, path: str) -> np.ndarray:
     rough = pc.match_substring_regex(distinct, r"^$|^[\s\p{Z}\p{C}]|[\s\p{Z}\p{C}]$")
     codes = words.indices.to_numpy(zero_copy_only=False)
     at = bounds(lists.value_lengths().to_numpy(zero_copy_only=False))
-    is_rough = rough.to_numpy(zero_copy_only=False)[codes]
-    rough_texts = np.flatnonzero(np.diff(bounds(is_rough)[at]))
-    own = table(path)
-
-    core, tail = without_tail(distinct)
-    parts = own.codes([" " + w for w in core] + tail).reshape(2, -1)
-    counts = own.lengths[parts].sum(0)[codes]
-    # The first word of a text has no space before it.
-    heads = own.codes(listed(lists.flatten().take(pa.array(at[:-1]))))
-    counts[at[:-1]] = own.lengths[heads]
-    totals = np.diff(bounds(counts)[at])
-    if len(rough_texts):
-        odd = set(distinct.filter(rough).to_pylist())
-        for i in rough_texts.tolist():
-            parts = joined(lists[i].as_py(), odd)
-            places = own.codes([parts[0], *(" " + p for p in parts[1:])])
-            totals[i] = own.lengths[places].sum()
-    return totals
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    is_rough = np.diff(bounds(rough.to_numpy(zero_copy_only=False)[codes])[at]) > 0
+    inner = ~is_rough[row]
+    inner[at[:-1]] = False  # the first word of a text has no space before it
+
+    places: dict[str, int] = {}
+
+    def placed(pieces: list[str]) -> list[int]:
+        return [places.setdefault(p, len(places)) for p in pieces]
+
+    # Words with a space in front: each distinct one is cut once.
+    n = len(distinct)
+    used, own_n = np.unique(row[inner] * n + codes[inner], return_counts=True)
+    seen = np.unique(used % n) if n else used
+    names = listed(distinct.take(pa.array(seen)))
+    cuts = [placed(cut_word(w, " ")) for w in names]
+    sizes = np.array([len(c) for c in cuts], np.int64)
+    flat = np.fromiter(chain.from_iterable(cuts), np.int64)
+    code = np.searchsorted(seen, used % n) if n else used
+    rows, found, often = [np.repeat(used // max(n, 1), sizes[code])], [spread(code, sizes, flat)], [np.repeat(own_n, sizes[code])]
+
+    # First words, and texts in which a cut at a space is not always sure.
+    odd = set(distinct.filter(rough).to_pylist())
+    heads = listed(lists.flatten().take(pa.array(at[:-1])))
+    for i, head in enumerate(heads):
+        if is_rough[i]:
+            first, *rest = joined(lists[i].as_py(), odd)
+            own = placed([first, *(" " + p for p in rest)])
+        else:
+            own = placed(cut_word(head, ""))
+        rows.append(np.full(len(own), i))
+        found.append(np.array(own, np.int64))
+        often.append(np.ones(len(own), np.int64))
+    total = max(len(places), 1)
+    key, where = np.unique(np.concatenate(rows) * total + np.concatenate(found), return_inverse=True)
+    sums = np.bincount(where, np.concatenate(often), len(key)).astype(np.int64)
+    return list(places), key // total, key % total, sums
 
 
 def documents_of(

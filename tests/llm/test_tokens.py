@@ -34,7 +34,11 @@ def test_tokens_are_the_librarys(texts):
     ids, lengths = tokens.word_tokens(pa.array(texts), WORD)
     at = tokens.bounds(lengths)
     assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == library(WORD, texts)
-    assert tokens.byte_token_counts(pa.array(texts), BYTE).tolist() == [len(x) for x in library(BYTE, texts)]
+    words, row, places, often = tokens.byte_pretokens(pa.array(texts))
+    pieces = tokens.table(BYTE).count(words)
+    totals = np.bincount(row, often * pieces[places], len(texts))
+    assert totals.tolist() == [len(x) for x in library(BYTE, texts)]
+    assert len(set(words)) == len(words) and len({*zip(row.tolist(), places.tolist())}) == len(row)
 
 
 def test_the_table_of_words_forgets(monkeypatch):
@@ -97,6 +101,8 @@ def test_files_of_an_empty_table(spark, make):
 
 def test_counts(make):
     got = count_tokens(make(ODD, CLASH), BYTE, limit=12).collect()
+    for common in (0, 2):  # all pre-tokens, or all but two, by the join
+        assert sorted(map(repr, count_tokens(make(ODD, CLASH), BYTE, limit=12, common=common).collect())) == sorted(map(repr, got))
     expected = [(i, len((t or "").encode()), len(x), len(x) > 12) for (i, t), x in zip(ODD, library(BYTE, [t or "" for _, t in ODD]))]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     assert count_tokens(make([]), BYTE).collect() == []
