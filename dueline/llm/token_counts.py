@@ -3,9 +3,10 @@
 1. Pre-tokens: each task cuts its texts and sends on each distinct pre-token with its frequency; a
    grouping with map-side partials makes the corpus's table of them. A frequent word is one row a task.
 2. The tokenizers library counts the pieces of each distinct pre-token once.
-3. Texts are cut again into frequencies of pre-tokens by document. The COMMON most frequent pre-tokens,
-   which would be hot keys, come to them by broadcast: at most COMMON rows of LONG characters, whatever
-   the corpus's size is. The others go to the table by a join on the pre-token, and the products of
+3. Texts are cut again into frequencies of pre-tokens by document. Pre-tokens that are at
+   least 1 / COMMON of all occurrences, which would be hot keys, come to them by broadcast: there can be
+   no more than COMMON of them, of LONG characters, whatever the corpus's size is (of natural words a
+   tenth of that or less). The others go to the table by a join on the pre-token, and the products of
    frequency and pieces are summed by document.
 
 Runs longer than LONG characters are no words; they are counted where they stand and don't travel.
@@ -29,7 +30,7 @@ from dueline.llm.shared import text_or_empty, written
 from dueline.llm.tokens import blocks, bounds, byte_pretokens, table
 
 #: Pre-tokens that are broadcast at most, and the most characters of a pre-token that is shuffled.
-COMMON, LONG = 100_000, 128
+COMMON, LONG = 1_000_000, 128
 RARE = "array<struct<word: string, n: bigint>>"
 
 
@@ -97,7 +98,8 @@ def count_tokens(
     byte-level tokenizers file that adds no space in front. The result is the same for any ``common``."""
     texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(F.col(text_column)).alias("text"))
     distinct = written(pretokens(texts, vocabulary), "pre-tokens")
-    frequent = distinct.orderBy(F.desc("n"), "word").limit(common).select("word", "pieces").collect()
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    frequent = distinct.where(F.col("n") * common >= total).select("word", "pieces").collect()  # at most ``common``
     own = written(frequencies(texts, {r.word: r.pieces for r in frequent}, vocabulary), "token-frequencies")
     rare = own.select("doc_key", F.explode("rare").alias("r")).select("doc_key", "r.word", "r.n")
     sums = (
