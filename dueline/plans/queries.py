@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 from dueline.functions import (
     append_header,
     decode_instants,
@@ -76,6 +78,8 @@ SNAPSHOT_US = 1_705_276_800_000_000
 LATER_US = SNAPSHOT_US + 21_600_000_000
 # Message files that a micro-batch of a stream takes.
 FILES_PER_BATCH = 8
+# Messages in a file, on average, where files must follow in time order.
+MESSAGES_PER_FILE = 500_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,6 +593,30 @@ def message_stream(spark: SparkSession, *parts: DataFrame) -> tuple[SparkSession
     path = shared_folder(spark, "messages")
     for part in parts:
         part.write.mode("append").parquet(path)
+    return stream_of(spark, path)
+
+
+def ordered_message_stream(spark: SparkSession, messages: DataFrame) -> tuple[SparkSession, DataFrame]:
+    """Messages as a stream of files in time order: a file per time range, each written after the one
+    before, so that no micro-batch holds a message that is earlier than those of the batch before."""
+    count = messages.count()
+    shares = [k * MESSAGES_PER_FILE / count for k in range(1, -(-count // MESSAGES_PER_FILE))]
+    time = F.coalesce(F.unix_micros("timestamp"), F.lit(0))
+    bounds = messages.agg(F.percentile_approx(time, shares)).first()[0] if shares else []
+    ranges = shared_folder(spark, "ranges")
+    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= time)) if bounds else F.lit(0)
+    messages.withColumn("time_range", number).write.partitionBy("time_range").parquet(ranges)
+    schema = StructType([*messages.schema.fields, StructField("time_range", IntegerType())])
+    table = spark.read.schema(schema).parquet(ranges)
+    path = shared_folder(spark, "messages")
+    messages.limit(0).write.parquet(path)
+    for r in range(len(bounds) + 1) if count else []:
+        part = table.where(F.col("time_range") == r).drop("time_range")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return stream_of(spark, path)
+
+
+def stream_of(spark: SparkSession, path: str) -> tuple[SparkSession, DataFrame]:
     session = stream_session(spark)
     return session, read_files(session, path, stream=True, files_per_batch=FILES_PER_BATCH)
 
@@ -596,7 +624,7 @@ def message_stream(spark: SparkSession, *parts: DataFrame) -> tuple[SparkSession
 @query("stream_replay")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream in message time, and what it still holds after the last message."""
-    session, messages = message_stream(spark, event_messages(spark, sf_dir))
+    session, messages = ordered_message_stream(spark, event_messages(spark, sf_dir))
     root = shared_folder(spark, "stream")
     out = replay_stream_to_files(session, messages, root, "1 second", EVENT_TIMING)
     return out.select("id", "offset", "destination", "delivered_at")
