@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dueline.llm.shared import fresh, text_or_empty
+from dueline.llm.shared import fresh, text_or_empty, written
 
 #: Means above this are drawn as sums of equal smaller ones, for which exp(-mean) is a normal number.
 LARGEST_MEAN = 64.0
@@ -85,8 +85,9 @@ def mix(
     text_column: str = "text",
     details: bool = False,
 ) -> DataFrame:
-    """The mixture: the columns of docs, one row per copy, in global random order. ``details`` returns
-    instead one row per copy with doc_id, source_key, rate, copies, copy and shuffle_key."""
+    """The mixture: the columns of docs, one row per copy, in global random order. ``details`` writes the
+    mixture, whole documents with how they were drawn, and returns of each of its rows doc_id, source_key,
+    rate, copies, copy and shuffle_key."""
     if min([*recipe.values(), other]) < 0 or sum(recipe.values()) + other <= 0:
         raise ValueError("shares must not be negative, and not all be zero")
     names = docs.columns
@@ -94,10 +95,7 @@ def mix(
     per_source = rates(docs, recipe, other, epochs, source_column, text_column)
     per_source = per_source.withColumnsRenamed({n: add[n] for n in per_source.columns})
     own_id = F.coalesce(F.col(id_column).cast("string"), F.md5(text_or_empty(F.col(text_column))))
-    if details:
-        docs = docs.select(id_column, source_column, own_id.alias(add["mix_id"]))
-    else:
-        docs = docs.withColumn(add["mix_id"], own_id)
+    docs = docs.withColumn(add["mix_id"], own_id)
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col(add["mix_draws"])),
         F.lit(0),
@@ -111,10 +109,10 @@ def mix(
         .withColumn(add["mix_copy"], F.explode(F.sequence(F.lit(1), F.col(add["mix_n"]))))
         .withColumn(add["mix_order"], F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col(add["mix_id"]), F.col(add["mix_copy"]))))
     )
-    if details:
-        kept = {id_column: "doc_id", add["mix_key"]: "source_key", add["mix_rate"]: "rate", add["mix_n"]: "copies", add["mix_copy"]: "copy", add["mix_order"]: "shuffle_key"}
-        copies = copies.select(*(F.col(a).alias(b) for a, b in kept.items()))
-        order, names = "shuffle_key", list(kept.values())
-    else:
-        copies, order = copies.select(*names, add["mix_order"]), add["mix_order"]
-    return copies.repartition(order).sortWithinPartitions(order).select(*names)
+    order = add["mix_order"]
+    if not details:
+        return copies.select(*names, order).repartition(order).sortWithinPartitions(order).select(*names)
+    kept = {id_column: "doc_id", add["mix_key"]: "source_key", add["mix_rate"]: "rate", add["mix_n"]: "copies", add["mix_copy"]: "copy", order: "shuffle_key"}
+    copies = copies.select(*names, *(c for c in kept if c != id_column))
+    mixed = written(copies.repartition(order).sortWithinPartitions(order), "mixture")
+    return mixed.select(*(F.col(a).alias(b) for a, b in kept.items()))
