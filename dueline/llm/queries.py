@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dueline.llm.exact_dedup import mark_duplicates
+from dueline.llm.hard_negatives import mine, relabelled
 from dueline.llm.licenses import scan_licenses, scan_sql
+from dueline.llm.main_text import extract
 from dueline.llm.mixing import mix
 from dueline.llm.packing import pack
 from dueline.llm.pii import find_personal_data
@@ -19,6 +21,7 @@ from dueline.llm.simhash import near_duplicates
 from dueline.llm.token_counts import count_tokens
 from dueline.llm.token_files import read_files, write_files
 from dueline.llm.topk import top_k
+from dueline.llm.whitening import whitened_components
 from dueline.plans.shared import shared_folder
 
 #: Target shares of the mixture; all sources that aren't named share the rest.
@@ -70,6 +73,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read(spark, sf_dir, "embeddings"), k=8)
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", relabelled(F.col("label"), F.col("vec_id")))
+    return mine(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_mix_sources,
         op10_simhash,
+        op11_embedding_whitening,
+        op12_html_extraction,
+        op13_hard_negatives,
     )
 }
 
@@ -103,6 +123,22 @@ s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
+""",
+    "op13_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+                  list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) e from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id anchor_id, c.vec_id, q.label = c.label same,
+             cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) rank, vec_id negative_id, positive_score, score negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify rank <= 10
 """,
     "op9_mix_sources": f"""
 with d as (select doc_id, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) id, length(coalesce(text, '')) n,
