@@ -30,6 +30,7 @@ from dueline.operators.replay import (
     with_payload,
 )
 from dueline.operators.routing import (
+    DestinationList,
     KnownDestinations,
     known_destinations,
     mark_known_destinations,
@@ -40,6 +41,7 @@ from dueline.operators.routing import (
 
 __all__ = [
     "DELIVERY_COLUMNS",
+    "DestinationList",
     "KnownDestinations",
     "RELEASE_ORDER",
     "cancelled_requests",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dueline.functions import append_header, last_header
 from dueline.schema import MESSAGE_ID, HeaderNames
+from dueline.sources.committed import CommittedTable
 
 # A list of destinations up to this many bytes is broadcast; a name counts 40 bytes more than it has.
 BROADCAST_BYTES = 32 << 20
@@ -45,6 +46,28 @@ def known_destinations(known: DataFrame, broadcast_bytes: int = BROADCAST_BYTES)
     return KnownDestinations(names, (size or 0) <= broadcast_bytes)
 
 
+class DestinationList:
+    """The destinations that exist, in versions: a running stream looks at the version in each micro-batch
+    and reads the names again only when it has moved. A version is one commit, so a half written one is
+    never seen. Before the first version, no destination exists."""
+
+    def __init__(self, path: str, broadcast_bytes: int = BROADCAST_BYTES):
+        self.table = CommittedTable(path, "destination string")
+        self.broadcast_bytes = broadcast_bytes
+        self._seen: tuple[int, KnownDestinations] | None = None
+
+    def publish(self, names: DataFrame) -> None:
+        """Make the column ``destination`` of a table the new version."""
+        self.table.append(names.select("destination").where(F.col("destination").isNotNull()).distinct())
+
+    def current(self, spark: SparkSession) -> KnownDestinations:
+        version = self.table.last(spark)[0]
+        if self._seen is None or self._seen[0] != version:
+            names = self.table.read_commits(spark, [version] if version >= 0 else [])
+            self._seen = (version, known_destinations(names, self.broadcast_bytes))
+        return self._seen[1]
+
+
 def mark_known_destinations(
     deliveries: DataFrame, known: DataFrame | KnownDestinations, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from threading import Event
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from dueline.operators import delivery_log, ingest, with_payload, with_stored_payload
+from dueline.operators import RELEASE_ORDER, delivery_log, ingest, with_payload, with_stored_payload
 from dueline.schema import HeaderNames, Timing
-from dueline.sources.deliveries import filed, read_delivered, write_files
+from dueline.sources.deliveries import committed_deliveries, filed, read_delivered, write_files
+from dueline.streaming.intake import (
+    SLOT_US,
+    read_intake,
+    start_intake,
+    start_narrow_delivery,
+    with_logged_payload,
+)
 from dueline.streaming.job import (
     STREAM_SETTINGS,
     FileSink,
+    Known,
+    current_known,
+    measured_known,
     pending_in_state,
     schedule_stream,
     start_file_delivery,
@@ -69,24 +83,72 @@ def replay_stream_to_files(
     requests, _ = ingest(messages, names)
     sink = FileSink(root)
     deliveries = schedule_stream(requests, timing, replay_delay)
-    running = start_file_delivery(deliveries, sink, known, interval=None, names=names)
-    running.awaitTermination()
-    fail_if_dropped(running)
-    if drain:
+    with DroppedRows(messages.sparkSession) as dropped:
+        running = start_file_delivery(deliveries, sink, known, interval=None, names=names)
+        running.awaitTermination()
+        dropped.fail_if_any(running)
+    if drain and any_batch(spark, sink.checkpoint("deliveries")):
         # No message comes any more, so whatever waits in the state goes out at its own tick.
         left = pending_in_state(spark, sink.checkpoint("deliveries"))
-        drained = left.withColumn("delivered_at", F.col("fire_at"))
-        last = running.lastProgress.batchId + 1
-        write_files(filed(drained, names, known), f"{sink.deliveries}/batch={last}", "overwrite")
+        drained = filed(left.withColumn("delivered_at", F.col("fire_at")), names, known)
+        order = ["to", *RELEASE_ORDER]
+        # The next micro-batch there would be: a drain that is run again adds nothing.
+        last = last_batch(spark, sink.checkpoint("deliveries")) + 1
+        ordered = drained.repartitionByRange(*order).sortWithinPartitions(*order)
+        committed_deliveries(sink.deliveries).append(ordered, last)
     return read_delivered(spark, sink.deliveries, batches=True)
 
 
-def fail_if_dropped(running: StreamingQuery) -> None:
-    """Raise if a micro-batch of a query left out rows that were later than its watermark."""
-    operators = [o for progress in running.recentProgress for o in progress.stateOperators]
-    dropped = sum(o.numRowsDroppedByWatermark for o in operators)
-    if dropped:
-        raise ValueError(f"{dropped} rows were later than the replay delay and were dropped")
+class DroppedRows(StreamingQueryListener):
+    """How many rows the micro-batches of queries left out because they were later than the watermark:
+    all micro-batches, whatever number of them a session remembers. A context while it listens."""
+
+    def __init__(self, spark: SparkSession):
+        self.streams = spark.streams
+        self.rows: Counter[str] = Counter()
+        self.ended: defaultdict[str, Event] = defaultdict(Event)
+
+    def __enter__(self) -> DroppedRows:
+        self.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.streams.removeListener(self)
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        progress = event.progress
+        self.rows[str(progress.runId)] += sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.ended[str(event.runId)].set()
+
+    def fail_if_any(self, ended: StreamingQuery, seconds: float = 600) -> None:
+        """Raise if a query that has ended dropped rows. Its last events may still be on their way."""
+        if not self.ended[str(ended.runId)].wait(seconds):
+            raise TimeoutError("the query's end was not reported")
+        if dropped := self.rows[str(ended.runId)]:
+            raise ValueError(f"{dropped} rows were later than the replay delay and were dropped")
+
+
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last micro-batch that a query has finished, by its own log; -1 if none."""
+    try:
+        log = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select("path")
+        return max((int(r.path.rpartition("/")[2]) for r in log.collect() if r.path.rpartition("/")[2].isdigit()), default=-1)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+
+
+def any_batch(spark: SparkSession, checkpoint: str) -> bool:
+    return last_batch(spark, checkpoint) >= 0
 
 
 def stream_to_files(
@@ -109,11 +171,76 @@ def stream_to_files(
     return read_delivered(spark, sink.deliveries, batches=True)
 
 
-def wait_until_idle(running: StreamingQuery) -> None:
-    """Until a micro-batch has nothing to read and nothing to release, however long that takes."""
+def intake_to_tables(
+    spark: SparkSession,
+    messages: DataFrame,
+    root: str,
+    timing: Timing = Timing(),
+    names: HeaderNames = HeaderNames(),
+    slot_us: int = SLOT_US,
+) -> FileSink:
+    """Read the messages at hand, once, into the intake table; run again, it takes what is new."""
+    sink = FileSink(root)
+    start_intake(messages, sink, timing, None, names, slot_us).awaitTermination()
+    return sink
+
+
+def deliver_from_intake(
+    spark: SparkSession,
+    sink: FileSink,
+    timing: Timing = Timing(),
+    known: Known = None,
+    names: HeaderNames = HeaderNames(),
+    slot_us: int = SLOT_US,
+) -> DataFrame:
+    """Deliver by the clock what the intake table holds until nothing is left to read or due, and read what
+    was written. What is not due yet stays in the query's state, without its payload."""
+    running = start_narrow_delivery(spark, sink, timing, known, names=names, slot_us=slot_us)
+    try:
+        wait_until_idle(running)
+    finally:
+        running.stop()
+    return read_delivered(spark, sink.deliveries, batches=True)
+
+
+def replay_from_intake(
+    spark: SparkSession,
+    sink: FileSink,
+    replay_delay: str,
+    timing: Timing = Timing(),
+    known: Known = None,
+    names: HeaderNames = HeaderNames(),
+    slot_us: int = SLOT_US,
+) -> DataFrame:
+    """The same in message time, with all that is due after the last message; see
+    ``replay_stream_to_files``."""
+    with DroppedRows(spark) as dropped:
+        running = start_narrow_delivery(spark, sink, timing, known, None, names, replay_delay, slot_us)
+        running.awaitTermination()
+        dropped.fail_if_any(running)
+    checkpoint = sink.checkpoint("deliveries")
+    if any_batch(spark, checkpoint):
+        left = pending_in_state(spark, checkpoint).withColumn("delivered_at", F.col("fire_at"))
+        full = with_logged_payload(left, read_intake(spark, sink), slot_us)
+        order = ["to", *RELEASE_ORDER]
+        rows = filed(full, names, current_known(measured_known(known), spark)).repartitionByRange(*order)
+        committed_deliveries(sink.deliveries).append(rows.sortWithinPartitions(*order), last_batch(spark, checkpoint) + 1)
+    return read_delivered(spark, sink.deliveries, batches=True)
+
+
+def wait_until_idle(running: StreamingQuery, after: int = -1) -> None:
+    """Until a micro-batch behind ``after`` has nothing to read and nothing to release, however long that
+    takes; or until the source has been asked and there is nothing for a first one."""
+    first = None
     while not running.awaitTermination(1):
-        last = running.lastProgress
-        if last is not None and last.batchId > 0 and last.numInputRows == 0:
-            forwarded = last.observedMetrics.get("forwarded_records")
-            if forwarded is not None and forwarded["forwarded"] == 0:
+        last, status = running.lastProgress, running.status
+        if last is None:
+            if status["message"].startswith("Waiting for") and not status["isDataAvailable"]:
                 return
+            continue
+        # The first batch may be one that an earlier run began: what has come since is in the next.
+        first = first or last
+        fresh = last.batchId > max(after, first.batchId) or (last.batchId == first.batchId > after and last.timestamp != first.timestamp)
+        forwarded = last.observedMetrics.get("forwarded_records")
+        if fresh and last.numInputRows == 0 and (forwarded is None or forwarded["forwarded"] == 0):
+            return

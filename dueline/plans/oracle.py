@@ -211,3 +211,22 @@ ORACLES["quarantined"] = f"""{_DAMAGED} select event_id "offset", 'no_metadata'
     value_hex "value", 'scheduler.error=no_metadata' error_header from d where bad"""
 ORACLES["quarantine_counts"] = f"""{_DAMAGED} select 'no_metadata' reason, detail, count(*) messages
     from d where bad group by detail"""
+
+# What one read of the damaged messages gives. Requests that are refused have no slot.
+ORACLES["intake_tables"] = f"""{_DAMAGED}
+    select 'request' kind, event_id "offset", id, us "at",
+           case when expi > sched and sched < (us // 1000) * 1000 + 43200000000
+                then greatest(sched, us) // 86400000000 end due_day,
+           value_hex "value", cast(null as varchar) detail, {TRACE} headers from d where not bad
+    union all select 'quarantine', event_id, null, us, null, value_hex, detail,
+           'scheduler.error=' || hex('no_metadata') from d where bad"""
+ORACLES["intake_replay"] = f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
+    {RULES.format(source="s")} select id, event_id "offset", fire delivered_at, value_hex "value",
+    {TRACE} || ';scheduler.destination=' || hex(dest) headers
+    from c where outcome = 'delivered' and fire between {SNAPSHOT} and {LATER}"""
+ORACLES["intake_by_clock"] = f"""{CHANGING}
+    select true "left", own id, event_id "offset", dest destination, value_hex "value" from w where not even and turn = 0
+    union all select false, own, event_id, dest, value_hex from w where (even or turn = 2) and after is null"""
+ORACLES["changing_destinations"] = f"""with {REQUESTS},
+    k as (select *, event_type < case when event_id % 2 = 0 then 'd' else 's' end known from q where event_id % 17 <> 0)
+    select event_id "offset", dest destination, known, case when known then dest end to_dir from k"""

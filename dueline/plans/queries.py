@@ -23,6 +23,7 @@ from dueline.functions import (
     strip_control_headers,
 )
 from dueline.operators import (
+    DestinationList,
     cancelled_requests,
     classify,
     counters,
@@ -59,18 +60,30 @@ from dueline.plans.event_log import (
     with_metadata,
 )
 from dueline.plans.jobs import (
+    deliver_from_intake,
+    intake_to_tables,
+    replay_from_intake,
     replay_messages,
     replay_stream_to_files,
     replay_to_files,
     stream_session,
     stream_to_files,
+    wait_until_idle,
 )
 from dueline.plans.shared import shared_folder
-from dueline.schema import HEADERS_TYPE, METADATA_FIELDS, HeaderNames
-from dueline.sources.deliveries import outgoing
+from dueline.schema import HEADERS_TYPE, METADATA_FIELDS, US_PER_DAY, HeaderNames
+from dueline.sources.deliveries import outgoing, read_delivered
 from dueline.sources.json_requests import headers_from_json
 from dueline.sources.messages import read_files
-from dueline.streaming.job import FileSink, pending_in_state, read_request_log, start_request_log
+from dueline.streaming.intake import quarantine_in, read_intake, requests_in, with_logged_payload
+from dueline.streaming.job import (
+    FileSink,
+    pending_in_state,
+    read_request_log,
+    schedule_stream,
+    start_file_delivery,
+    start_request_log,
+)
 
 NAMES = HeaderNames()
 # 2024-01-15 00:00:00, and six hours later.
@@ -662,3 +675,92 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_request_log(messages, sink, interval=None).awaitTermination()
     stored = read_request_log(session, sink)
     return log_columns(delivery_log(stored, EVENT_TIMING))
+
+
+# One read, many tables ----------------------------------------------------------------------
+
+
+@query("intake_tables")
+def intake_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and quarantine from one read of a stream of messages, some of them damaged."""
+    session, messages = message_stream(spark, damaged_messages(spark, sf_dir))
+    sink = intake_to_tables(session, messages, shared_folder(spark, "stream"), EVENT_TIMING, slot_us=US_PER_DAY)
+    table = read_intake(session, sink)
+    requests = requests_in(table).select(
+        F.lit("request").alias("kind"),
+        "offset",
+        "id",
+        F.col("arrival_us").alias("at"),
+        F.col("slot").alias("due_day"),
+        F.hex("value").alias("value"),
+        F.lit(None).cast("string").alias("detail"),
+        header_text(F.col("headers")).alias("headers"),
+    )
+    last = F.element_at("headers", -1)
+    bad = quarantine_in(table).select(
+        F.lit("quarantine").alias("kind"),
+        "offset",
+        F.lit(None).cast("string").alias("id"),
+        F.unix_micros("timestamp").alias("at"),
+        F.lit(None).cast("bigint").alias("due_day"),
+        F.hex("value").alias("value"),
+        "detail",
+        F.concat(last["key"], F.lit("="), F.hex(last["value"])).alias("headers"),
+    )
+    return requests.unionByName(bad)
+
+
+@query("intake_replay")
+def intake_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay whose state holds no payload: what left between two instants, from the commits that have it."""
+    session, messages = message_stream(spark, event_messages(spark, sf_dir))
+    sink = intake_to_tables(session, messages, shared_folder(spark, "stream"), EVENT_TIMING, slot_us=US_PER_DAY)
+    replay_from_intake(session, sink, "1 second", EVENT_TIMING, slot_us=US_PER_DAY)
+    out = read_delivered(session, sink.deliveries, batches=True, from_us=SNAPSHOT_US, to_us=LATER_US)
+    return out.select(
+        "id", "offset", "delivered_at", F.hex("value").alias("value"), header_text(F.col("headers")).alias("headers")
+    )
+
+
+@query("intake_by_clock")
+def intake_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the clock, with the log and the state apart: what leaves when the second half has come, and what
+    the state holds then, joined with its payload."""
+    changing = changing_events(spark, sf_dir)
+    session, root = stream_session(spark), shared_folder(spark, "stream")
+    path = shared_folder(spark, "messages")
+    for half in (0, 1):
+        messages_of(changing.filter(F.col("offset") % 2 == half)).write.mode("append").parquet(path)
+        sink = intake_to_tables(session, read_files(session, path, stream=True), root, FAR_TIMING, slot_us=US_PER_DAY)
+        out = deliver_from_intake(session, sink, FAR_TIMING, slot_us=US_PER_DAY)
+    left = pending_in_state(session, sink.checkpoint("deliveries"))
+    left = with_logged_payload(left, read_intake(session, sink), US_PER_DAY)
+    columns = ["id", "offset", "destination", F.hex("value").alias("value")]
+    return out.select(F.lit(True).alias("left"), *columns).unionByName(left.select(F.lit(False).alias("left"), *columns))
+
+
+@query("changing_destinations")
+def changing_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A destination that is made while the stream runs: messages that came before are dead letters, later
+    ones are not."""
+    timed = timed_events(spark, sf_dir).withColumns(
+        {"id": F.concat(F.lit("00000000-0000-0000-0002-"), F.lpad(F.col("offset").cast("string"), 12, "0")), "scheduled_us": F.col("arrival_us"), "expires_us": F.col("arrival_us") + 1}
+    )
+    session, root = stream_session(spark), shared_folder(spark, "stream")
+    known, path = DestinationList(f"{root}/destinations"), shared_folder(spark, "messages")
+    quiet = quiet_destinations(spark, sf_dir)
+    halves = [messages_of(timed.filter(F.col("offset") % 2 == half)) for half in (0, 1)]
+    known.publish(quiet.filter(F.col("destination") < "topic.d"))
+    halves[0].write.parquet(path)
+    requests, _ = ingest(read_files(session, path, stream=True))
+    running = start_file_delivery(schedule_stream(requests, FAR_TIMING), FileSink(root), known)
+    try:
+        wait_until_idle(running)
+        known.publish(quiet)
+        halves[1].write.mode("append").parquet(path)
+        # A micro-batch may have begun before the files were there, but not the one after it.
+        wait_until_idle(running, after=running.lastProgress.batchId + 1)
+    finally:
+        running.stop()
+    out = read_delivered(session, FileSink(root).deliveries, batches=True)
+    return out.select("offset", "destination", "known", F.col("to").alias("to_dir"))

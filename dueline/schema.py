@@ -36,7 +36,8 @@ INSTANT_MAX = (31556889864403199, 999999999)
 INSTANT_MIN = (-31557014167219200, 0)
 
 US_PER_SECOND = 1_000_000
-US_PER_DAY = 86_400 * US_PER_SECOND
+US_PER_HOUR = 3_600 * US_PER_SECOND
+US_PER_DAY = 24 * US_PER_HOUR
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from dueline.operators import (
     route,
 )
 from dueline.schema import HeaderNames
+from dueline.sources.committed import CommittedTable
 
 # Fixed value: what a topic may be called. Other names get no directory of their own.
 TOPIC_NAME = r"^[a-zA-Z0-9._-]{1,249}\z"
@@ -85,13 +86,29 @@ def write_files(rows: DataFrame, path: str, mode: str = "error") -> None:
     ordered.write.mode(mode).partitionBy("to").parquet(path)
 
 
-def read_delivered(spark: SparkSession, path: str, batches: bool = False) -> DataFrame:
-    """Rows written by ``write_files`` or, with ``batches``, by the streaming job.
+def committed_deliveries(path: str) -> CommittedTable:
+    """The deliveries of a stream: a commit for each micro-batch that released something."""
+    return CommittedTable(path, f"{FILE_SCHEMA}, to string", ranged="delivered_at", folders=("to",))
+
+
+def read_delivered(
+    spark: SparkSession,
+    path: str,
+    batches: bool = False,
+    from_us: int | None = None,
+    to_us: int | None = None,
+) -> DataFrame:
+    """Rows written by ``write_files`` or, with ``batches``, committed by the streaming job; those only
+    that were delivered between two instants (both included), if they are given.
 
     The schema is given, so that a destination that looks like a number stays text.
     """
-    directories = "batch bigint, to string" if batches else "to string"
-    return spark.read.schema(f"{FILE_SCHEMA}, {directories}").parquet(path)
+    if batches:
+        return committed_deliveries(path).read(spark, from_us, to_us)
+    rows = spark.read.schema(f"{FILE_SCHEMA}, to string").parquet(path)
+    if from_us is not None:
+        rows = rows.filter(F.col("delivered_at") >= from_us)
+    return rows if to_us is None else rows.filter(F.col("delivered_at") <= to_us)
 
 
 def write_kafka(rows: DataFrame, servers: str) -> None:

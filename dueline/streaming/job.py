@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dueline.functions import instant_to_micros
 from dueline.operators import (
     RELEASE_ORDER,
+    DestinationList,
     KnownDestinations,
     known_destinations,
     parse_messages,
@@ -21,14 +22,15 @@ from dueline.operators import (
     requests_of,
     with_admission,
 )
-from dueline.schema import ARRIVAL_ORDER, US_PER_DAY, HeaderNames, Timing
-from dueline.sources.deliveries import filed, outgoing, write_kafka
+from dueline.schema import ARRIVAL_ORDER, PAYLOAD, US_PER_DAY, HeaderNames, Timing
+from dueline.sources.deliveries import committed_deliveries, filed, outgoing, write_kafka
 from dueline.streaming import processor
 from dueline.streaming.processor import (
     DELIVERED_SCHEMA,
     PENDING_SCHEMA,
     REQUEST_FIELDS,
     HoldUntilDue,
+    narrow,
 )
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,6 +43,9 @@ STREAM_SETTINGS = {
     "spark.python.unix.domain.socket.enabled": "true",
 }
 
+# What is known of the destinations: a table, measured already, in versions that change, or nothing.
+Known = DataFrame | KnownDestinations | DestinationList | None
+
 # The processor travels with the query, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(processor)
 
@@ -52,6 +57,7 @@ def schedule_stream(
     timing: Timing = Timing(),
     replay_delay: str | None = None,
     initial_pending: DataFrame | None = None,
+    payload: bool = True,
 ) -> DataFrame:
     """Deliveries of a stream of requests.
 
@@ -59,7 +65,11 @@ def schedule_stream(
     too late. With ``replay_delay``, e.g. "1 minute", time is that of the messages and the result
     is the one of ``delivery_log``; requests may then be out of order by less than this delay.
     ``initial_pending`` starts the query with a ``pending_snapshot`` that has its payload.
+    Without ``payload``, requests need no key, value and headers; neither the state nor the result
+    has them.
     """
+    shape = (lambda schema: schema) if payload else narrow
+    request_fields = [f for f in REQUEST_FIELDS if payload or f not in PAYLOAD]
     replay = replay_delay is not None
     judged = with_admission(requests, timing)
     if not replay:
@@ -73,25 +83,25 @@ def schedule_stream(
         F.count(F.lit(1)).alias("valid"),
         F.count_if(F.col("refusal").isNull()).alias("scheduled"),
     )
-    steps = judged.select("id", "arrival_tick", *REQUEST_FIELDS)
+    steps = judged.select("id", "arrival_tick", *request_fields)
     # Before the shuffle: a busy id sends on one row per Arrow batch (and tick), not all. By the
     # clock the last request of a partition is the one with the highest offset, whatever its time.
     if replay:
         keep_last = _last_of_each(["id", "arrival_tick"], ARRIVAL_ORDER)
     else:
         keep_last = _last_of_each(["id", "topic", "partition"], ["offset"])
-    steps = steps.mapInArrow(keep_last, STEP_SCHEMA)
+    steps = steps.mapInArrow(keep_last, shape(STEP_SCHEMA))
     initial = None
     if initial_pending is not None:
-        initial = initial_pending.select("id", *REQUEST_FIELDS).groupBy("id")
+        initial = initial_pending.select("id", *request_fields).groupBy("id")
     if replay:
         steps = steps.withColumn("event_time", F.timestamp_micros("arrival_us"))
         steps = steps.withWatermark("event_time", replay_delay)
     return (
         steps.groupBy("id")
         .transformWithState(
-            HoldUntilDue(replay),
-            DELIVERED_SCHEMA,
+            HoldUntilDue(replay, payload),
+            shape(DELIVERED_SCHEMA),
             "append",
             "eventTime" if replay else "processingTime",
             initialState=initial,
@@ -119,6 +129,10 @@ class FileSink:
 
     root: str
 
+    @property
+    def intake(self) -> str:
+        return f"{self.root}/intake"
+
     @property
     def deliveries(self) -> str:
         return f"{self.root}/deliveries"
@@ -138,35 +152,36 @@ class FileSink:
 def start_file_delivery(
     deliveries: DataFrame,
     sink: FileSink,
-    known: DataFrame | KnownDestinations | None = None,
+    known: Known = None,
     interval: str | None = "1 second",
     names: HeaderNames = HeaderNames(),
 ) -> StreamingQuery:
     """Write a delivery stream as files by destination; ``known`` is false in dead letters.
 
-    Every micro-batch owns one directory and overwrites it, so one that is run again after a
-    failure leaves no row twice. ``interval=None`` runs until the input at hand is used up; it is
-    for replays, as a query by the clock never runs out of ticks.
+    Every micro-batch with deliveries is one commit (see ``CommittedTable``): one that is run again
+    after a failure leaves no row twice, and a half written one is not seen. ``interval=None`` runs
+    until the input at hand is used up; it is for replays, as a query by the clock never runs out of
+    ticks. A ``DestinationList`` is looked at in each micro-batch, so new topics work at once.
     """
 
-    known = _measured(known)
+    known, table = measured_known(known), committed_deliveries(sink.deliveries)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # The rows are still spread by id, as the state is; each task writes its own in order.
-        rows = filed(batch, names, known).sortWithinPartitions("to", *RELEASE_ORDER)
-        rows.write.mode("overwrite").partitionBy("to").parquet(f"{sink.deliveries}/batch={batch_id}")
+        rows = filed(batch, names, current_known(known, batch.sparkSession))
+        table.append(rows.sortWithinPartitions("to", *RELEASE_ORDER), batch_id)
 
     writer = deliveries.writeStream.foreachBatch(write).option(
         "checkpointLocation", sink.checkpoint("deliveries")
     )
-    return _start(writer, interval)
+    return start_writer(writer, interval)
 
 
 def start_kafka_delivery(
     deliveries: DataFrame,
     servers: str,
     checkpoint: str,
-    known: DataFrame | KnownDestinations | None = None,
+    known: Known = None,
     dead_letter_topic: str | None = None,
     interval: str = "1 second",
     names: HeaderNames = HeaderNames(),
@@ -177,13 +192,13 @@ def start_kafka_delivery(
     Without ``known`` all destinations are taken to exist, so an unknown one is such an error too.
     """
 
-    known = _measured(known)
+    known = measured_known(known)
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        write_kafka(outgoing(batch, names, known, dead_letter_topic), servers)
+        write_kafka(outgoing(batch, names, current_known(known, batch.sparkSession), dead_letter_topic), servers)
 
     writer = deliveries.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
-    return _start(writer, interval)
+    return start_writer(writer, interval)
 
 
 def start_quarantine(
@@ -237,21 +252,25 @@ def pending_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.id").alias("id"), "value.*")
 
 
-def _measured(known: DataFrame | KnownDestinations | None) -> KnownDestinations | None:
-    """The size of the known destinations is looked at when a query starts, not in every micro-batch."""
+def measured_known(known: Known) -> KnownDestinations | DestinationList | None:
+    """The size of a plain table of destinations is looked at when a query starts, not in every micro-batch."""
     return known_destinations(known) if isinstance(known, DataFrame) else known
 
 
+def current_known(known: KnownDestinations | DestinationList | None, spark: SparkSession) -> KnownDestinations | None:
+    return known.current(spark) if isinstance(known, DestinationList) else known
+
+
 def _start_append(
     rows: DataFrame, path: str, checkpoint: str, interval: str | None, directories: str | None = None
 ) -> StreamingQuery:
     writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     if directories is not None:
         writer = writer.partitionBy(directories)
-    return _start(writer.option("path", path), interval)
+    return start_writer(writer.option("path", path), interval)
 
 
-def _start(writer, interval: str | None) -> StreamingQuery:
+def start_writer(writer, interval: str | None) -> StreamingQuery:
     if interval is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=interval).start()

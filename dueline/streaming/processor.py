@@ -22,6 +22,17 @@ DELIVERED_SCHEMA = f"id string, {PENDING_SCHEMA}, delivered_at bigint".replace(
 DELIVERED_FIELDS = [field.split()[0] for field in DELIVERED_SCHEMA.split(", ")]
 REQUEST_FIELDS = [f for f in PENDING_FIELDS if f != "timer_ms"]
 
+# The same without key, value and headers, where these are kept elsewhere.
+PAYLOAD = ("key", "value", "headers")
+
+
+def narrow(schema: str) -> str:
+    return ", ".join(field for field in schema.split(", ") if field.split()[0] not in PAYLOAD)
+
+
+def names_of(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
 
 def arrival_order(row: Any) -> tuple:
     return row["arrival_us"], row["topic"], row["partition"], row["offset"]
@@ -39,21 +50,25 @@ class HoldUntilDue(StatefulProcessor):
     (``fire_at`` is null) cancels. With ``replay`` time is that of the messages: a request that was
     due before the next one arrived goes out before it is replaced, and ``delivered_at`` is its
     tick. Without, time is the clock and ``delivered_at`` is the time of the micro-batch.
+    Without ``payload``, rows have no key, value and headers, and none are held.
     """
 
-    def __init__(self, replay: bool):
+    def __init__(self, replay: bool, payload: bool = True):
         self.replay = replay
+        self.schema = PENDING_SCHEMA if payload else narrow(PENDING_SCHEMA)
+        self.fields = names_of(self.schema)
+        self.delivered = names_of(DELIVERED_SCHEMA if payload else narrow(DELIVERED_SCHEMA))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", PENDING_SCHEMA)
+        self.pending = handle.getValueState("pending", self.schema)
 
     def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
         self._hold(initialState.asDict())
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         was_pending = self.pending.get()
-        held = was_pending and dict(zip(PENDING_FIELDS, was_pending, strict=True))
+        held = was_pending and dict(zip(self.fields, was_pending, strict=True))
         if not self.replay:
             steps = [self._last_by_clock(rows)]
         else:
@@ -63,7 +78,7 @@ class HoldUntilDue(StatefulProcessor):
                 yield self._delivery(key, held, held["fire_at"])
             held = row.asDict() if row["fire_at"] is not None else None
         # Every call is a round trip to the state: a timer that stays the same is left alone.
-        old_timer = was_pending[PENDING_FIELDS.index("timer_ms")] if was_pending else None
+        old_timer = was_pending[self.fields.index("timer_ms")] if was_pending else None
         new_timer = timer_of(held) if held else None
         if old_timer is not None and old_timer != new_timer:
             self.handle.deleteTimer(old_timer)
@@ -78,7 +93,7 @@ class HoldUntilDue(StatefulProcessor):
         pending = self.pending.get()
         if pending is None:
             return
-        held = dict(zip(PENDING_FIELDS, pending, strict=True))
+        held = dict(zip(self.fields, pending, strict=True))
         if held["timer_ms"] != expiredTimerInfo.getExpiryTimeInMs():
             return
         self.pending.clear()
@@ -112,11 +127,10 @@ class HoldUntilDue(StatefulProcessor):
 
     def _hold(self, held: dict, old_timer: int | None = None) -> None:
         held["timer_ms"] = timer_of(held)
-        self.pending.update(tuple(held[field] for field in PENDING_FIELDS))
+        self.pending.update(tuple(held[field] for field in self.fields))
         if held["timer_ms"] != old_timer:
             self.handle.registerTimer(held["timer_ms"])
 
-    @staticmethod
-    def _delivery(key: Any, held: dict, delivered_at: int) -> Row:
+    def _delivery(self, key: Any, held: dict, delivered_at: int) -> Row:
         values = {**held, "id": key[0], "delivered_at": delivered_at}
-        return Row(**{field: values[field] for field in DELIVERED_FIELDS})
+        return Row(**{field: values[field] for field in self.delivered})
