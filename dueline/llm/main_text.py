@@ -7,8 +7,8 @@
    words, sentence mark, kind of tag, and its neighbours' words.
 3. A logistic model gives each cell the log-odds of content. It is trained here: blocks with a mark are its
    weak labels, and each counts once with its mark and once without it, so that the other features learn to
-   stand alone. Spark counts the cells of SAMPLE_PAGES pages (a parameter; chosen by a hash of their id and
-   url), so what comes to the driver is bounded by the number of cells. A Gaussian prior around PRIOR keeps
+   stand alone. Spark counts the cells of about SAMPLE_PAGES pages (a parameter; chosen by a hash of their id
+   and url), so what comes to the driver is bounded by the number of cells. A Gaussian prior around PRIOR keeps
    weights of features that a corpus doesn't show, and is the whole model of an empty table.
 4. In a page, each block is a node. Its log-odds are its capacity to the source or the sink; edges tie blocks
    that follow each other, the weaker the further apart they are in the DOM, and blocks of one parent. The
@@ -377,16 +377,18 @@ def log_odds(counts: dict[int, int]) -> np.ndarray:
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> np.ndarray:
-    """Log-odds of all cells, from the blocks of at most ``sample_pages`` pages."""
-    chosen = pages.select(F.xxhash64(id_column, url_column).alias("h"), text_or_empty(F.col(html_column)).alias("html"))
-    chosen = chosen.orderBy("h").limit(sample_pages).select("html")
+    """Log-odds of all cells, from the blocks of about ``sample_pages`` pages: those whose hash lies in that
+    share of all hashes, so that copies of a page are chosen together."""
+    share = min(1.0, sample_pages / max(1, pages.count()))
+    last = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    chosen = pages.where(F.xxhash64(id_column, url_column) <= last).select(text_or_empty(F.col(html_column)).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [c for html in batch.column(0).to_pylist() for c in Page(html).cells()]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32())], names=["cell"])
 
-    counts = chosen.repartition(16).mapInArrow(run, "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = chosen.mapInArrow(run, "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     return log_odds({r.cell: r.n for r in counts.collect()})
 
 
