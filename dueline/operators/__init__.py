@@ -13,6 +13,7 @@ from dueline.operators.metrics import (
     forwarded_per_tick,
     outcome_counts,
     quarantine_counts,
+    stored_counters,
 )
 from dueline.operators.replay import (
     DELIVERY_COLUMNS,
@@ -38,12 +39,23 @@ from dueline.operators.routing import (
     route,
     split_unknown_destinations,
 )
+from dueline.operators.timeline import (
+    after_cut,
+    before_cut,
+    offsets_of,
+    pending_at_cut,
+    pending_intervals,
+    pending_through_time,
+    starting_offsets,
+)
 
 __all__ = [
     "DELIVERY_COLUMNS",
     "DestinationList",
     "KnownDestinations",
     "RELEASE_ORDER",
+    "after_cut",
+    "before_cut",
     "cancelled_requests",
     "classify",
     "counters",
@@ -72,4 +84,10 @@ __all__ = [
     "with_error_header",
     "with_payload",
     "with_stored_payload",
+    "offsets_of",
+    "pending_at_cut",
+    "pending_intervals",
+    "pending_through_time",
+    "starting_offsets",
+    "stored_counters",
 ]

@@ -45,6 +45,21 @@ def counters(requests: DataFrame, timing: Timing = Timing()) -> DataFrame:
     return totals.select(F.stack(F.lit(len(records)), *cells).alias("operation", "label", "records"))
 
 
+def stored_counters(requests: DataFrame, commits: DataFrame) -> DataFrame:
+    """The processed-records counter of a stream from what it has stored: its request log with ``refusal``
+    (the intake table has it) and the commits of its deliveries. Both take a micro-batch that is run again
+    once, so the counts are right after any restart. The log's one column is read, and no delivery."""
+    taken = requests.agg(F.count(F.lit(1)).alias("valid"), F.count_if(F.col("refusal").isNull()).alias("scheduled"))
+    sent = commits.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("forwarded"))
+    records = {VALID: F.col("valid"), INVALID: F.lit(0).cast("bigint"), SCHEDULED: F.col("scheduled")}
+
+    def rows(totals: DataFrame, records: dict) -> DataFrame:
+        cells = [c for (a, b), n in records.items() for c in (F.lit(a), F.lit(b), n)]
+        return totals.select(F.stack(F.lit(len(records)), *cells).alias("operation", "label", "records"))
+
+    return rows(taken, records).unionByName(rows(sent, {FORWARDED: F.col("forwarded")}))
+
+
 def stacked(**columns: Column) -> Column:
     """A row (name, value) for each column."""
     return F.stack(F.lit(len(columns)), *[c for n, v in columns.items() for c in (F.lit(n), v)])

@@ -7,7 +7,7 @@ the arrivals up to and including that tick.
 How it is computed. All arrivals of one id between two ticks end in one state, that of the last of
 them, so each (id, tick) is first reduced to its last request. This is a plain aggregate with
 map-side partials: however many requests one id has, at most one row per tick is shuffled on. Only
-then are rows of one id compared with each other, again in bounded groups (see ``_next_touch``),
+then are rows of one id compared with each other, again in bounded groups (see ``next_touch``),
 and only narrow columns take part. Payloads are joined back by message id, a key without skew.
 """
 
@@ -34,7 +34,7 @@ DELIVERY_COLUMNS = [
     "destination",
     "delivered_at",
 ]
-# Window groups cover this many times the longest delay; see _next_touch.
+# Window groups cover this many times the longest delay; see next_touch.
 REACHES_PER_SPAN = 4
 # Ids that a replay may be told to reduce first; they become constants of its plan.
 MOST_BUSY_IDS = 10_000
@@ -110,10 +110,10 @@ def survivor_counts(admitted: DataFrame, timing: Timing) -> DataFrame:
     )
     delivered = named & refusal.isNull() & ~_overtaken()
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expired", "over_max_delay", "accepted", "nameless")]
-    return _next_touch(steps, timing).agg(*sums, F.count_if(delivered).alias("delivered"))
+    return next_touch(steps, timing).agg(*sums, F.count_if(delivered).alias("delivered"))
 
 
-def _next_touch(
+def next_touch(
     survivors: DataFrame, timing: Timing, what_came: str = "refusal"
 ) -> DataFrame:
     """Add ``next_tick``, the next tick in which the same id was requested again, and
@@ -174,7 +174,7 @@ def delivery_log(
         steps = tick_survivors(admitted.filter(busy)).unionByName(
             others.select("id", "arrival_tick", "last.*")
         )
-    ahead = _next_touch(steps, timing)
+    ahead = next_touch(steps, timing)
     fired = ahead.filter(F.col("refusal").isNull() & ~_overtaken())
     if strict_expiry:
         fired = fired.filter(~F.col("expired_at_fire"))
@@ -207,7 +207,7 @@ def cancelled_requests(requests: DataFrame, timing: Timing = Timing()) -> DataFr
 
     What counts is the very next request of the id. Within a tick it is found by a window over that
     (id, tick); for the last request of a tick it is the first one of the next tick in which the id
-    was requested again. So no group is larger than what ``_next_touch`` or one tick holds.
+    was requested again. So no group is larger than what ``next_touch`` or one tick holds.
     """
     admitted = with_admission(requests, timing)
     within = Window.partitionBy("id", "arrival_tick").orderBy(*ARRIVAL_ORDER)
@@ -218,7 +218,7 @@ def cancelled_requests(requests: DataFrame, timing: Timing = Timing()) -> DataFr
         F.max(_narrow(admitted)).alias("last"), F.min(_narrow(admitted)).alias("first")
     )
     lasts = ticks.select("id", "arrival_tick", "last.*", F.col("first.refusal").alias("first_refusal"))
-    between = _next_touch(lasts, timing, "first_refusal").filter(_overtaken())
+    between = next_touch(lasts, timing, "first_refusal").filter(_overtaken())
     cancelled = F.col("refusal").isNull() & F.col("next_refusal").isNotNull()
     columns = [
         "id",

@@ -230,3 +230,24 @@ ORACLES["intake_by_clock"] = f"""{CHANGING}
 ORACLES["changing_destinations"] = f"""with {REQUESTS},
     k as (select *, event_type < case when event_id % 2 = 0 then 'd' else 's' end known from q where event_id % 17 <> 0)
     select event_id "offset", dest destination, known, case when known then dest end to_dir from k"""
+
+ORACLES["stream_counters"] = f"""with {REQUESTS}, s as (select * from q where event_id % 17 <> 0),
+    {RULES.format(source="s")}
+    select 'transform()' operation, 'Valid' label, count(*) records from c
+    union all select 'transform()', 'Invalid', 0
+    union all select 'transform()', 'Scheduled', count(*) from c where refusal is null
+    union all select 'punctuate()', 'Forward', count(*) from c where outcome = 'delivered'"""
+ORACLES["compacted_log"] = ORACLES["busy_id_log"]
+
+# When each request came into the store and left it, by ticks; then how many were in it after each tick.
+_INTERVALS = f"""{CORE},
+    l as (select * from c qualify row_number() over (partition by id, tick order by us desc, event_id desc) = 1),
+    n as (select *, lead(tick) over (partition by id order by tick) next_tick from l),
+    i as (select id, event_id, tick entered, least(fire, coalesce(next_tick, fire)) "left" from n
+          where refusal is null and tick < least(fire, coalesce(next_tick, fire)))"""
+ORACLES["pending_intervals"] = f"""{_INTERVALS} select id, event_id "offset", entered, "left" from i"""
+ORACLES["pending_through_time"] = f"""{_INTERVALS},
+    e as (select entered tick, 1 came, 0 went from i union all select "left", 0, 1 from i),
+    t as (select tick, cast(sum(came) as bigint) entered, cast(sum(went) as bigint) "left" from e group by tick)
+    select tick, entered, "left", cast(sum(entered - "left") over (order by tick) as bigint) pending from t"""
+ORACLES["hand_over"] = ORACLES["intake_by_clock"]

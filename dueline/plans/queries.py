@@ -24,6 +24,7 @@ from dueline.functions import (
 )
 from dueline.operators import (
     DestinationList,
+    after_cut,
     cancelled_requests,
     classify,
     counters,
@@ -34,13 +35,18 @@ from dueline.operators import (
     forwarded_per_tick,
     ingest,
     latest_request,
+    offsets_of,
     ordered_release,
     outcome_counts,
+    pending_at_cut,
+    pending_intervals,
     pending_snapshot,
+    pending_through_time,
     quarantine_counts,
     restore_source,
     route,
     mark_known_destinations,
+    stored_counters,
     tag_requests,
     tick_survivors,
     with_admission,
@@ -72,10 +78,17 @@ from dueline.plans.jobs import (
 )
 from dueline.plans.shared import shared_folder
 from dueline.schema import HEADERS_TYPE, METADATA_FIELDS, US_PER_DAY, HeaderNames
-from dueline.sources.deliveries import outgoing, read_delivered
+from dueline.sources.deliveries import committed_deliveries, outgoing, read_delivered
 from dueline.sources.json_requests import headers_from_json
 from dueline.sources.messages import read_files
-from dueline.streaming.intake import quarantine_in, read_intake, requests_in, with_logged_payload
+from dueline.sources.request_log import RequestLogById
+from dueline.streaming.intake import (
+    quarantine_in,
+    read_intake,
+    requests_in,
+    start_narrow_delivery,
+    with_logged_payload,
+)
 from dueline.streaming.job import (
     FileSink,
     pending_in_state,
@@ -764,3 +777,74 @@ def changing_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
         running.stop()
     out = read_delivered(session, FileSink(root).deliveries, batches=True)
     return out.select("offset", "destination", "known", F.col("to").alias("to_dir"))
+
+
+@query("stream_counters")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed-records counter of a stream that was stopped half way, from its tables."""
+    session, root = stream_session(spark), shared_folder(spark, "stream")
+    path, messages = shared_folder(spark, "messages"), event_messages(spark, sf_dir)
+    middle = F.timestamp_micros(F.lit(SNAPSHOT_US))
+    for part in (messages.filter(F.col("timestamp") < middle), messages.filter(F.col("timestamp") >= middle)):
+        part.write.mode("append").parquet(path)
+        sink = intake_to_tables(session, read_files(session, path, stream=True), root, EVENT_TIMING, slot_us=US_PER_DAY)
+        start_narrow_delivery(session, sink, EVENT_TIMING, None, None, NAMES, "1 second", US_PER_DAY).awaitTermination()
+    replay_from_intake(session, sink, "1 second", EVENT_TIMING, slot_us=US_PER_DAY)
+    log = read_intake(session, sink).filter(F.col("kind") == "request")
+    return stored_counters(log, committed_deliveries(sink.deliveries).commits(session))
+
+
+# The log by id, time lines, hand-over -------------------------------------------------------
+
+
+@query("compacted_log")
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay of the request log laid out by id, with a third of all requests under one id."""
+    log = RequestLogById(shared_folder(spark, "log"))
+    log.compact(busy_requests(spark, sf_dir), buckets=8, busy_at_least=200)
+    return log_columns(log.read(spark).delivery_log(EVENT_TIMING))
+
+
+@query("pending_through_time")
+def pending_at_all_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending_through_time(event_requests(spark, sf_dir), EVENT_TIMING)
+
+
+@query("pending_intervals")
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pending_intervals(event_requests(spark, sf_dir), EVENT_TIMING)
+    return found.select("id", "offset", "entered", "left")
+
+
+# Offsets of the second half of the log that is handed over.
+SECOND_HALF = 1_000_000_000_000
+
+
+def backward_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which all even ones come before all odd ones, with timestamps that run backwards."""
+    messages = messages_of(changing_events(spark, sf_dir))
+    place = F.col("offset") + F.col("offset") % 2 * SECOND_HALF
+    return messages.withColumn("timestamp", F.timestamp_micros(F.lit(SNAPSHOT_US) - place % SECOND_HALF * 1000)).withColumn("offset", place)
+
+
+@query("hand_over")
+def hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay up to a cut and a stream from there: together what one stream gives. Before the cut are the
+    even messages and the odd ones of the first half of the ids."""
+    session, root, path = stream_session(spark), shared_folder(spark, "stream"), shared_folder(spark, "messages")
+    messages = backward_messages(spark, sf_dir)
+    messages.write.parquet(path)
+    half = messages.agg(F.max(F.col("offset") % SECOND_HALF)).first()[0] or 0
+    logged, _ = ingest(read_files(session, path))
+    cut = offsets_of(logged.filter(F.col("offset") < SECOND_HALF + half // 2))
+    live, _ = ingest(read_files(session, path, stream=True))
+    deliveries = schedule_stream(after_cut(live, cut), FAR_TIMING, initial_pending=pending_at_cut(logged, cut, FAR_TIMING))
+    running = start_file_delivery(deliveries, FileSink(root))
+    try:
+        wait_until_idle(running)
+    finally:
+        running.stop()
+    out = read_delivered(session, FileSink(root).deliveries, batches=True)
+    left = pending_in_state(session, FileSink(root).checkpoint("deliveries"))
+    columns = ["id", (F.col("offset") % SECOND_HALF).alias("offset"), "destination", F.hex("value").alias("value")]
+    return out.select(F.lit(True).alias("left"), *columns).unionByName(left.select(F.lit(False).alias("left"), *columns))

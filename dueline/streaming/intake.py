@@ -19,15 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dueline.functions import instant_to_micros
 from dueline.operators import RELEASE_ORDER, parse_messages, with_admission, with_error_header, with_stored_payload
-from dueline.schema import MESSAGE_ID, PAYLOAD, REQUEST_COLUMNS, US_PER_HOUR, HeaderNames, Timing
+from dueline.schema import MESSAGE_ID, PAYLOAD, REQUEST_COLUMNS, REQUEST_SCHEMA, US_PER_HOUR, HeaderNames, Timing
 from dueline.sources.deliveries import committed_deliveries, filed
 from dueline.streaming.job import FileSink, Known, arrival_day, current_known, measured_known, schedule_stream, start_writer
 
-REQUEST_SCHEMA = (
-    "arrival_us bigint, topic string, partition int, offset bigint, scheduled_sec bigint, scheduled_nano int, "
-    "expires_sec bigint, expires_nano int, created_sec bigint, created_nano int, id string, destination string, "
-    "key binary, value binary, headers array<struct<key:string,value:binary>>"
-)
 # One table for both kinds: requests have no timestamp, reason and detail, the others no metadata.
 INTAKE_SCHEMA = f"{REQUEST_SCHEMA}, refusal string, timestamp timestamp, reason string, detail string, kind string, day int, slot bigint"
 FOLDERS = ["kind", "day", "slot"]
