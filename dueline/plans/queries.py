@@ -10,8 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import IntegerType, StructField, StructType
-
 from dueline.functions import (
     append_header,
     decode_instants,
@@ -623,25 +621,29 @@ def message_stream(spark: SparkSession, *parts: DataFrame) -> tuple[SparkSession
 
 
 def ordered_message_stream(spark: SparkSession, messages: DataFrame) -> tuple[SparkSession, DataFrame]:
-    """Messages as a stream of files in time order: a file per time range, each written after the one
-    before, so that no micro-batch holds a message that is earlier than those of the batch before."""
-    count = messages.count()
-    shares = [k * MESSAGES_PER_FILE / count for k in range(1, -(-count // MESSAGES_PER_FILE))]
+    """Messages as a stream of files in time order, so that no micro-batch holds a message that is earlier
+    than those of the batch before. One job writes all ranges of time side by side; streams take files by
+    their time of change, so the files are then given times in the order of their ranges."""
     time = F.coalesce(F.unix_micros("timestamp"), F.lit(0))
-    bounds = messages.agg(F.percentile_approx(time, shares)).first()[0] if shares else []
-    ranges = shared_folder(spark, "ranges")
-    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= time)) if bounds else F.lit(0)
-    messages.withColumn("time_range", number).write.partitionBy("time_range").parquet(ranges)
-    schema = StructType([*messages.schema.fields, StructField("time_range", IntegerType())])
-    table = spark.read.schema(schema).parquet(ranges)
+    ranges = -(-messages.count() // MESSAGES_PER_FILE) or 1
     path = shared_folder(spark, "messages")
-    messages.limit(0).write.parquet(path)
-    for r in range(len(bounds) + 1) if count else []:
-        part = table.where(F.col("time_range") == r).drop("time_range")
-        part.coalesce(1).write.mode("append").parquet(path)
+    messages.repartitionByRange(ranges, time).write.parquet(path)
+    in_order(spark, path)
     return stream_of(spark, path)
 
 
+def in_order(spark: SparkSession, path: str) -> None:
+    """Give the files of a folder times of change in the order of the tasks that wrote them. Only names are
+    touched, no rows."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    first = max((s.getModificationTime() for s in parts), default=0)
+    for number, part in enumerate(sorted(parts, key=lambda s: s.getPath().getName())):
+        files.setTimes(part.getPath(), first + number, -1)
+
+
 def stream_of(spark: SparkSession, path: str) -> tuple[SparkSession, DataFrame]:
     session = stream_session(spark)
     return session, read_files(session, path, stream=True, files_per_batch=FILES_PER_BATCH)
