@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dueline.llm import topk
-from dueline.llm.licenses import scan_licenses, scan_sql
+from dueline.llm.licenses import TEMPLATES, scan_licenses, scan_sql
 from dueline.llm.mixing import mix
 from dueline.llm.pii import PATTERNS, candidates, find_personal_data, reliabilities
 from dueline.llm.quality import keep_good, score
@@ -113,6 +114,33 @@ def test_licenses_equal_sql(spark, make):
     assert scan_licenses(make([])).collect() == []
 
 
+def test_wrapped_commented_and_embedded_licenses(make):
+    """Each notice in the forms that files have it in, and complete licence texts."""
+    code = "\n".join(f"x{i} = f(y{i}, {i})" for i in range(60))
+    rows, expected = [], {}
+    for name in ("apache-2.0", "gpl-3.0", "isc", "mit", "mpl-2.0"):
+        notice = max(TEMPLATES[name], key=len)
+        wrapped = textwrap.wrap(notice, 75)
+        forms = [
+            "\n".join(wrapped) + "\n\n" + code,
+            "/*\n" + "\n".join(f" * {line}" for line in wrapped) + "\n */\n" + code,
+            "\n".join(f"# {line}" for line in wrapped) + "\n" + code,
+            f"Some words before it. {notice} And some more words that stand behind it.",
+            " ".join(TEMPLATES[name]) + "\n" + code,
+        ]
+        for form in forms:
+            rows.append((len(rows), form))
+            expected[len(rows) - 1] = name
+    rows += [(100, "This library is Released under the MIT License. and you can have it."), (101, code), (102, "released under the terms of mit"), (103, "word " * 50_000 + "Released under the\nMIT License")]
+    expected |= {100: "mit", 101: None, 102: None, 103: "mit"}
+    got = {r.doc_id: r.licenses.split(",") if r.licenses else [None] for r in scan_licenses(make(rows)).collect()}
+    assert all(name in got[i] for i, name in expected.items())
+    documents = make(rows).toPandas()  # noqa: F841
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        assert differences(scan_licenses(make(rows)).toPandas(), con.sql(scan_sql()).df()) is None
+
+
 PII = [
     "a@b.c-d@e.f x@y a@b.c_d@e.f .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111 12",
     "+1 (377) 555-0271. +12345678 +1--------9 +99999999999999999", "7" * 4_000, "a" * 4_000 + "@", "a@" + "b." * 4_000 + "c", "+" + "1 " * 30_000,
