@@ -59,15 +59,16 @@ def drop_duplicates(
     keep_largest: bool = True,
     content_hash: Callable[[Column], Column] = _digest,
 ) -> DataFrame:
-    """The rows that stay, with all their columns: exactly one for each text. One shuffle."""
-    pick = F.max if keep_largest else F.min
+    """The rows that stay, with all their columns: exactly one for each text. One shuffle. Of rows with one
+    id and text the largest (or smallest) by their other columns stays; which of two that differ in maps
+    only is open."""
+    pick = F.max_by if keep_largest else F.min_by
     normal = lower_ascii(text_or_empty(F.col(text_column)))
-    own = F.struct(F.col(id_column).alias("id"), F.struct(*docs.columns).alias("row"))
+    # Rows of one id and text are told apart by their other columns, where these have an order: maps don't.
+    comparable = [F.col(f.name) for f in docs.schema if f.name not in (id_column, text_column) and "map<" not in f.dataType.simpleString()]
     # Nulls sort first, which suits the largest id; for the smallest they must come last.
-    order = own if keep_largest else F.struct(F.col(id_column).isNull().alias("none"), own.alias("own"))
-    best = (
-        docs.select(content_hash(normal).alias("hash"), normal.alias("text"), order.alias("best"))
-        .groupBy("hash", "text")
-        .agg(pick("best").alias("best"))
-    )
-    return best.select("best.row.*" if keep_largest else "best.own.row.*")
+    none = F.col(id_column).isNotNull() if keep_largest else F.col(id_column).isNull()
+    order = F.struct(none.alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), *[c.alias(f"c{i}") for i, c in enumerate(comparable)])
+    rows = docs.select(content_hash(normal).alias("hash"), normal.alias("text"), F.struct(*docs.columns).alias("row"), order.alias("order"))
+    best = rows.groupBy("hash", "text").agg(pick("row", "order").alias("best"))
+    return best.select("best.*")

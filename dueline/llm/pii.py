@@ -237,7 +237,8 @@ def classifier(found: DataFrame, labels: DataFrame) -> dict[str, float]:
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans),
-    spans (all spans). A span is kind:start:end; they are ordered by kind, then start, and comma-joined."""
+    spans (all spans), and of the spans that the method adds n_local_phone, n_number, n_secret and n_all, of
+    all kinds. A span is kind:start:end; they are ordered by kind, then start, and comma-joined."""
     table = written(candidates(docs, id_column, text_column), "pii-candidates")
     each = table.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features")
     weights = F.from_json(F.lit(json.dumps(classifier(each, reliabilities(each)))), "map<string, double>")
@@ -255,7 +256,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     names = F.array(*map(F.lit, KINDS))
     shown = lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["start"], c["end"])
-    count = lambda name: F.size(F.filter("base", lambda c: c["kind"] == KINDS.index(name))).cast("bigint").alias(f"n_{name}")
+    count = lambda name: F.size(F.filter("kept", lambda c: c["kind"] == KINDS.index(name))).cast("bigint").alias(f"n_{name}")
     return (
         table.select("doc_id", "found", F.filter("found", is_base).alias("base"))
         .withColumn("kept", F.filter("found", lambda c: is_base(c) | (~overlaps(c) & (odds(c) >= 0))))
@@ -264,5 +265,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
             *(count(name) for name in BASE),
             F.sha2(F.array_join(F.transform("base", shown), ","), 256).alias("base_sha256"),
             F.array_join(F.transform("kept", shown), ",").alias("spans"),
+            *(count(name) for name in KINDS[len(BASE) :]),
+            F.size("kept").cast("bigint").alias("n_all"),
         )
     )

@@ -133,3 +133,11 @@ def test_components(spark, shape):
     random.Random(1).shuffle(pairs)
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == ({} if shape == "none" else dict.fromkeys({x for p in pairs for x in p}, 0))
+
+
+def test_maps_and_repeated_rows_are_no_obstacle(make):
+    docs = make([(1, "A b"), (1, "a B"), (2, "a b"), (2, "a b"), (None, "a b"), (None, "c")], {"lang": "x"})
+    docs = docs.withColumn("facts", F.create_map(F.lit("k"), F.array(F.lit(1))))
+    for largest, keep in ((True, {2, None}), (False, {1, None})):
+        out = drop_duplicates(docs, keep_largest=largest)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == keep and out.count() == 2

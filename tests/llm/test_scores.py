@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import textwrap
 import zlib
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dueline.llm import topk
+from dueline.llm import quality, topk
 from dueline.llm.licenses import TEMPLATES, scan_licenses, scan_sql
 from dueline.llm.mixing import mix
 from dueline.llm.pii import PATTERNS, candidates, find_personal_data, reliabilities
@@ -34,6 +35,49 @@ def test_quality_of_held_out_documents(spark):
     assert (got.predicted == got.quality).mean() > 0.95 and auc(got.score.to_numpy(), got.quality.to_numpy()) > 0.97
 
 
+def test_quality_votes_equal_brute_force(spark):
+    """Features, projection, cosines and votes of each document by plain loops; only the space is the model's."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.sample(docs, labels, ~quality.held_out(F.col("id")), "doc_id", "text", "quality")
+    own = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in own and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert len(model.labels) == len(known) < quality.SAMPLE
+
+    def features(text: str) -> np.ndarray:
+        out, before = np.zeros(quality.FEATURES), None
+        for w in re.split(r"[ \t\n\v\f\r]+", text):
+            if not w:
+                before = None
+                continue
+            s = zlib.crc32(quality.shape(w).encode()) % (quality.SHAPES - 1)
+            out[s] += 1
+            out[quality.SHAPES + quality.PAIRS + zlib.crc32(w.encode()) % quality.WORDS] += 1
+            if before is not None:
+                out[quality.SHAPES - 1] += before[0] == w
+                out[quality.SHAPES + (before[1] * 1_000_003 + s * 7919) % quality.PAIRS] += 1
+            before = (w, s)
+        return out
+
+    def latent(text: str) -> np.ndarray:
+        x = np.sqrt(features(text)) * model.idf
+        at = 0
+        for size, weight in zip((quality.SHAPES, quality.PAIRS, quality.WORDS), quality.WEIGHTS):
+            length = math.sqrt(sum(v * v for v in x[at : at + size]))
+            x[at : at + size] *= weight / length if length else 0
+            at += size
+        x = x @ model.axes - model.mean
+        length = math.sqrt((x * x).sum())
+        return x / length if text.split() and length > 1e-9 else np.zeros(len(x))
+
+    vectors = {i: latent(own[i]) for i in known}
+    for r in score(docs, labels).collect():
+        mine = latent(own[r.doc_id])
+        cosines = sorted(((float(mine @ v), known[i]) for i, v in vectors.items()), reverse=True)[: quality.K]
+        weights = [max(c, 0.0) ** quality.SHARPNESS for c, _ in cosines]
+        expected = sum(w * y for w, (_, y) in zip(weights, cosines)) / sum(weights) if sum(weights) else model.prior
+        assert abs(r.score - expected) < 1e-3 and r.predicted == (r.score >= 0.3)
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -162,6 +206,47 @@ def test_base_spans_equal_brute_force(make):
     assert find_personal_data(make([])).collect() == []
 
 
+def planted_documents(seed: int, n: int = 400) -> tuple[list[tuple], dict[int, set], dict[str, int]]:
+    """Documents with planted secrets and local numbers, and others with runs that look a little like them."""
+    rnd, rows, truth = random.Random(seed), [], {}
+    words = "the rain fell on the old town and people went home".split()
+    planted = {"secret": 0, "local_phone": 0}
+    for i in range(n):
+        text = " ".join(rnd.choices(words, k=rnd.randrange(5, 40))) + " "
+        kind = rnd.choice(["secret", "local_phone", "decoy", "none"])
+        if kind == "secret":
+            own = "".join(rnd.choices("0123456789abcdef", k=rnd.choice([32, 40, 64])))
+            text += f'{rnd.choice(["token", "api_key", "password"])} = "'
+        elif kind == "local_phone":
+            own = f"({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+            text += rnd.choice(["call ", "phone: ", "Tel. "])
+        elif kind == "decoy":
+            own = rnd.choice(["0" * 40, "f" * 32, "(000) 000-0000", "(111) 111-1111"])
+            text += rnd.choice(["version ", "order ", "invoice "])
+        else:
+            own = ""
+        if kind in planted:
+            planted[kind] += 1
+            truth[i] = {(kind, len(text), len(text) + len(own))}
+        rows.append((i, text + own + ('"' if kind == "secret" else "") + " " + " ".join(rnd.choices(words, k=5))))
+    return rows, truth, planted
+
+
+def test_added_spans_have_precision_and_recall(make):
+    rows, truth, planted = planted_documents(5)
+    found: dict[str, list[bool]] = {"secret": [], "local_phone": []}
+    for r in find_personal_data(make(rows)).collect():
+        spans = [tuple(int(x) if x.isdigit() else x for x in s.split(":")) for s in r.spans.split(",") if s]
+        assert (r.n_secret, r.n_local_phone, r.n_number) == tuple(sum(s[0] == k for s in spans) for k in ("secret", "local_phone", "number"))
+        assert r.n_all == len(spans)
+        for s in spans:
+            if s[0] in found:
+                found[s[0]].append(s in truth.get(r.doc_id, set()))
+    for kind, right in found.items():
+        assert sum(right) / planted[kind] >= 0.95, f"recall of {kind}"
+        assert sum(right) / len(right) >= 0.9, f"precision of {kind}"
+
+
 def test_reliabilities_tell_good_from_bad(spark):
     good, bad = [1, 1, 0, 1, 1], [-1, -1, 0, -1, 0]
     rows = [(0, good)] * 80 + [(0, bad)] * 60 + [(0, [1, -1, 0, 1, 1])] * 5
