@@ -273,8 +273,8 @@ def brute_top(rows: list[tuple], k: int) -> list[tuple]:
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_top_k_equals_brute_force(spark, monkeypatch, small_blocks):
     if small_blocks:
-        monkeypatch.setattr(topk, "VECTORS_PER_BLOCK", 60)
-        monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 5)
+        monkeypatch.setattr(topk, "VECTORS_PER_BLOCK", 20)
+        monkeypatch.setattr(topk, "TOGETHER", 3)
     rnd = random.Random(9)
     rows = [(i, [float(np.float32(rnd.gauss(0, 0.2))) for _ in range(12)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 12) for i in range(30)]  # ties
@@ -290,6 +290,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, small_blocks):
     assert sorted(map(tuple, got)) == sorted(brute_top(rows, 7))
 
 
+def test_levels_stop_on_proof_and_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = np.floor(64 * rng.standard_normal((3000, 16)) * rng.choice([0.1, 1.0], (3000, 16))).astype(np.int64)
+    index = topk.Index(np.arange(3000), vectors)
+    queries = vectors[:40]
+    exact = queries @ vectors.T
+    bounds = np.sort(exact, axis=1)[:, -40]
+    used = []
+    monkeypatch.setattr(topk.Index, "_top", lambda self, q, places, *a, top=topk.Index._top: used.append(len(places)) or top(self, q, places, *a))
+    for q, ids, scores in index.best(np.arange(40), queries, bounds, 7):
+        best = sorted((-s, i) for i, s in enumerate(exact[q].tolist()) if i != q)[:7]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == best
+    assert max(used) <= 0.05 * 3000 and np.mean(used) < 100  # the rest was proven out
+
+
 def test_top_k_of_huge_and_no_vectors(spark):
     rows = [(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e9, 0.0]), (20, [0.25, -0.5])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
