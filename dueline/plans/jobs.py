@@ -211,21 +211,27 @@ def replay_from_intake(
     known: Known = None,
     names: HeaderNames = HeaderNames(),
     slot_us: int = SLOT_US,
+    initial_pending: DataFrame | None = None,
+    cut: DataFrame | None = None,
+    out: FileSink | None = None,
+    drain: bool = True,
 ) -> DataFrame:
     """The same in message time, with all that is due after the last message; see
-    ``replay_stream_to_files``."""
+    ``replay_stream_to_files``. A query that takes another's place is started as in
+    ``start_narrow_delivery``."""
+    out = out or sink
     with DroppedRows(spark) as dropped:
-        running = start_narrow_delivery(spark, sink, timing, known, None, names, replay_delay, slot_us)
+        running = start_narrow_delivery(spark, sink, timing, known, None, names, replay_delay, slot_us, initial_pending, cut, out)
         running.awaitTermination()
         dropped.fail_if_any(running)
-    checkpoint = sink.checkpoint("deliveries")
-    if any_batch(spark, checkpoint):
+    checkpoint = out.checkpoint("deliveries")
+    if drain and any_batch(spark, checkpoint):
         left = pending_in_state(spark, checkpoint).withColumn("delivered_at", F.col("fire_at"))
         full = with_logged_payload(left, read_intake(spark, sink), slot_us)
         order = ["to", *RELEASE_ORDER]
         rows = filed(full, names, current_known(measured_known(known), spark)).repartitionByRange(*order)
-        committed_deliveries(sink.deliveries).append(rows.sortWithinPartitions(*order), last_batch(spark, checkpoint) + 1)
-    return read_delivered(spark, sink.deliveries, batches=True)
+        committed_deliveries(out.deliveries).append(rows.sortWithinPartitions(*order), last_batch(spark, checkpoint) + 1)
+    return read_delivered(spark, out.deliveries, batches=True)
 
 
 def wait_until_idle(running: StreamingQuery, after: int = -1) -> None:

@@ -251,3 +251,11 @@ ORACLES["pending_through_time"] = f"""{_INTERVALS},
     t as (select tick, cast(sum(came) as bigint) entered, cast(sum(went) as bigint) "left" from e group by tick)
     select tick, entered, "left", cast(sum(entered - "left") over (order by tick) as bigint) pending from t"""
 ORACLES["hand_over"] = ORACLES["intake_by_clock"]
+ORACLES["state_moved"] = ORACLES["stream_replay"]
+ORACLES["state_history"] = f"""{CHANGING},
+    p as (select o.*, e.event_id partner from w o left join w e on not o.even and e.even and o.nr = e.nr)
+    select own id, not even "second", 'held' change, event_id "offset", cast(null as bigint) by_offset from p
+    where even or turn = 2 or (turn = 0 and partner is null)
+    union all select own, true, 'replaced', partner, event_id from p where not even and turn = 0 and partner is not null
+    union all select own, true, 'released', event_id, null from p where not even and turn = 0
+    union all select own, true, 'cancelled', partner, null from p where not even and turn = 1 and partner is not null"""

@@ -66,6 +66,7 @@ from dueline.plans.event_log import (
 from dueline.plans.jobs import (
     deliver_from_intake,
     intake_to_tables,
+    last_batch,
     replay_from_intake,
     replay_messages,
     replay_stream_to_files,
@@ -95,6 +96,7 @@ from dueline.streaming.job import (
     start_file_delivery,
     start_request_log,
 )
+from dueline.streaming.state import state_history
 
 NAMES = HeaderNames()
 # 2024-01-15 00:00:00, and six hours later.
@@ -850,3 +852,46 @@ def hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = pending_in_state(session, FileSink(root).checkpoint("deliveries"))
     columns = ["id", (F.col("offset") % SECOND_HALF).alias("offset"), "destination", F.hex("value").alias("value")]
     return out.select(F.lit(True).alias("left"), *columns).unionByName(left.select(F.lit(False).alias("left"), *columns))
+
+
+@query("state_history")
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who was held, replaced, cancelled and released, before and after the second half came."""
+    changing = changing_events(spark, sf_dir)
+    session, root, path = stream_session(spark), shared_folder(spark, "stream"), shared_folder(spark, "messages")
+    checkpoint, ends = FileSink(root).checkpoint("deliveries"), []
+    for half in (0, 1):
+        messages_of(changing.filter(F.col("offset") % 2 == half)).write.mode("append").parquet(path)
+        out = stream_to_files(session, read_files(session, path, stream=True), root, FAR_TIMING)
+        ends.append(last_batch(session, checkpoint))
+    rows = state_history(session, checkpoint, out, to_batch=ends[1])
+    return rows.select("id", (F.col("batch") > ends[0]).alias("second"), "change", "offset", "by_offset")
+
+
+@query("state_moved")
+def state_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay that is stopped half way and goes on with another number of state partitions."""
+    session, root = stream_session(spark), shared_folder(spark, "stream")
+    path, messages = shared_folder(spark, "messages"), event_messages(spark, sf_dir)
+    sink, out = FileSink(root), FileSink(f"{root}/second")
+    middle = F.timestamp_micros(F.lit(SNAPSHOT_US))
+    messages.filter(F.col("timestamp") < middle).write.parquet(path)
+    intake_to_tables(session, read_files(session, path, stream=True), root, EVENT_TIMING, slot_us=US_PER_DAY)
+    session.conf.set("spark.sql.shuffle.partitions", "3")
+    first = replay_from_intake(session, sink, "1 second", EVENT_TIMING, slot_us=US_PER_DAY, drain=False)
+    cut = written_cut(session, offsets_of(requests_in(read_intake(session, sink))))
+    messages.filter(F.col("timestamp") >= middle).write.mode("append").parquet(path)
+    intake_to_tables(session, read_files(session, path, stream=True), root, EVENT_TIMING, slot_us=US_PER_DAY)
+    held = pending_in_state(session, sink.checkpoint("deliveries"))
+    other = stream_session(spark)
+    other.conf.set("spark.sql.shuffle.partitions", "5")
+    second = replay_from_intake(other, sink, "1 second", EVENT_TIMING, None, NAMES, US_PER_DAY, held, cut, out)
+    columns = ["id", "offset", "destination", "delivered_at"]
+    return first.select(*columns).unionByName(second.select(*columns))
+
+
+def written_cut(spark: SparkSession, cut: DataFrame) -> DataFrame:
+    """A cut as it is now: a row for each partition of the messages, and no longer a look at a table that grows."""
+    path = shared_folder(spark, "cut")
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)

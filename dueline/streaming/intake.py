@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dueline.functions import instant_to_micros
-from dueline.operators import RELEASE_ORDER, parse_messages, with_admission, with_error_header, with_stored_payload
+from dueline.operators import RELEASE_ORDER, after_cut, parse_messages, with_admission, with_error_header, with_stored_payload
 from dueline.schema import MESSAGE_ID, PAYLOAD, REQUEST_COLUMNS, REQUEST_SCHEMA, US_PER_HOUR, HeaderNames, Timing
 from dueline.sources.deliveries import committed_deliveries, filed
 from dueline.streaming.job import FileSink, Known, arrival_day, current_known, measured_known, schedule_stream, start_writer
@@ -116,12 +116,22 @@ def start_narrow_delivery(
     names: HeaderNames = HeaderNames(),
     replay_delay: str | None = None,
     slot_us: int = SLOT_US,
+    initial_pending: DataFrame | None = None,
+    cut: DataFrame | None = None,
+    out: FileSink | None = None,
 ) -> StreamingQuery:
     """Deliver what is due from the intake table; ``slot_us`` as it was written with.
 
-    The result is that of ``start_file_delivery`` over the messages, which it commits in the same way."""
-    deliveries = schedule_stream(narrow_requests(spark, sink), timing, replay_delay, payload=False)
-    known, table = measured_known(known), committed_deliveries(sink.deliveries)
+    The result is that of ``start_file_delivery`` over the messages, which it commits in the same way.
+    A query that takes the place of another, for example with another number of shuffle partitions, starts
+    with what that one held when it was stopped (``pending_in_state``) and behind the ``cut`` of what it had
+    read, and keeps its checkpoint and deliveries in a place of its own, ``out``."""
+    requests = narrow_requests(spark, sink)
+    if cut is not None:
+        requests = after_cut(requests, cut)
+    deliveries = schedule_stream(requests, timing, replay_delay, initial_pending, payload=False)
+    out = out or sink
+    known, table = measured_known(known), committed_deliveries(out.deliveries)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -136,4 +146,4 @@ def start_narrow_delivery(
             released.unpersist()
 
     writer = deliveries.writeStream.foreachBatch(write)
-    return start_writer(writer.option("checkpointLocation", sink.checkpoint("deliveries")), interval)
+    return start_writer(writer.option("checkpointLocation", out.checkpoint("deliveries")), interval)

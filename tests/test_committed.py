@@ -24,6 +24,7 @@ from dueline.sources.deliveries import read_delivered
 from dueline.sources.messages import read_files
 from dueline.streaming.intake import quarantine_in, read_intake, requests_in, with_logged_payload
 from dueline.streaming.job import FileSink, pending_in_state
+from dueline.streaming.state import state_history
 from tests.tables import message_table
 from tests.test_streaming import TIMING, keys, random_messages, write_in_files
 
@@ -187,3 +188,19 @@ def test_dropped_rows_fail_whatever_a_session_remembers(spark):
 def test_a_stream_session_has_the_settings_of_streams(spark):
     assert "RocksDB" in stream_session(spark).conf.get("spark.sql.streaming.stateStore.providerClass") and US_PER_DAY
     assert message_table(spark, random_messages(1, 3)).count() == 3
+
+
+def test_history_of_some_batches(spark):
+    """From a later batch on, the history is the end of the whole one."""
+    messages = random_messages(9, 120)
+    path, root = shared_folder(spark, "in"), shared_folder(spark, "out")
+    write_in_files(spark, messages, path, 30)
+    stream = read_files(spark, path, stream=True, files_per_batch=1)
+    out = replay_stream_to_files(spark, stream, root, "1 second", TIMING)
+    checkpoint = FileSink(root).checkpoint("deliveries")
+    whole = sorted(map(repr, state_history(spark, checkpoint, out).collect()))
+    assert {"held", "replaced", "released"} <= {r.split("change='")[1].split("'")[0] for r in whole}
+    for first in (1, 2, last_batch(spark, checkpoint)):
+        some = state_history(spark, checkpoint, out, from_batch=first).collect()
+        assert sorted(map(repr, some)) == [r for r in whole if int(r.split("batch=")[1].split(",")[0]) >= first]
+    assert state_history(spark, checkpoint, out, to_batch=0).count() == sum("batch=0," in r for r in whole)
