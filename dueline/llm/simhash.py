@@ -19,8 +19,12 @@ empty. Documents link at MAX_BITS or fewer differing bits; linked ones are a com
 The reference table can't find pairs by itself: random distances differ by 3 or less in nearly half of
 all cases, so joining on a coordinate would compare almost everything. Hence step 2.
 
-A task holds one bucket: distinct fingerprints that agree in 32 bits. Null ids have fingerprints and
-link like others, but name a component only if it has no other id: then its id is null.
+A bucket of more than BUCKET fingerprints is dealt again by the same argument: its pairs differ in at
+most 3 of the bits the bucket leaves open, so they agree in 3 of 6 parts of these. Its fingerprints go to
+20 buckets that agree in 46 bits or more, so none holds more than 2^18, however many documents there are.
+
+Null ids have fingerprints and link like others, but name a component only if it has no other id: then
+its id is null.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from dueline.llm.shared import fresh, text_or_empty, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCK_WIDTHS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints up to which a bucket is searched as it is.
+BUCKET = 4096
 REFERENCES = np.array([xxhash.xxh64_intdigest(b"reference %d" % i, SEED) for i in range(16)], np.uint64)
 #: Texts whose shingles are counted at a time: up to so many texts, and shingles before the last text.
 TEXTS, SHINGLES = 128, 100_000
@@ -123,18 +129,55 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def masks() -> list[int]:
-    """The bits of each choice of 3 of the 6 blocks."""
+def blocks() -> list[int]:
+    """The bits of each of the 6 blocks."""
     edges = np.concatenate([[0], np.cumsum(BLOCK_WIDTHS)]).tolist()
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    return [sum(chosen) for chosen in combinations(blocks, len(blocks) - MAX_BITS)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+
+
+def masks(parts: list[int] | None = None) -> list[int]:
+    """The bits of each choice of 3 of 6 parts, by default the blocks."""
+    parts = parts or blocks()
+    return [sum(chosen) for chosen in combinations(parts, len(parts) - MAX_BITS)]
+
+
+def finer_masks() -> list[list[int]]:
+    """For each choice of blocks the masks of its second dealing: its own bits and 3 of 6 parts of the rest."""
+    finer = []
+    for mask in masks():
+        halves = []
+        for block in blocks():
+            if not block & mask:
+                low = block & -block
+                cut = low << (block.bit_count() // 2)
+                halves += [cut - low, block - (cut - low)]
+        finer.append([mask | chosen for chosen in masks(halves)])
+    return finer
 
 
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def link_buckets(prints: DataFrame) -> DataFrame:
+def buckets(prints: DataFrame, most: int = BUCKET) -> DataFrame:
+    """choice, bits, fp: distinct fingerprints (column fp) in their buckets; one of more than ``most`` is
+    dealt again, to choices from 20 on. Buckets are counted with partial sums before any is gathered."""
+    fp = F.col("fp")
+    dealt = F.array(*(F.struct(F.lit(c).alias("choice"), fp.bitwiseAND(F.lit(signed(m))).alias("bits")) for c, m in enumerate(masks())))
+    rows = prints.select(F.explode(dealt).alias("to"), "fp").select("to.choice", "to.bits", "fp")
+    sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("size"))
+    large = written(sizes.where(F.col("size") > most).select("choice", "bits"), "large-buckets")
+    finer = finer_masks()
+    table = F.array(*(F.array(*(F.lit(signed(m)) for m in own)) for own in finer))
+    to = F.transform(
+        F.get(table, F.col("choice")),
+        lambda m, i: F.struct((F.lit(len(finer)) * (F.col("choice") + 1) + i).alias("choice"), fp.bitwiseAND(m).alias("bits")),
+    )
+    again = rows.join(large, ["choice", "bits"], "left_semi").select(F.explode(to).alias("to"), "fp")
+    return rows.join(large, ["choice", "bits"], "left_anti").union(again.select("to.choice", "to.bits", "fp"))
+
+
+def link_buckets(prints: DataFrame, most: int = BUCKET) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that hold each component together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +208,7 @@ def link_buckets(prints: DataFrame) -> DataFrame:
         pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = F.array(*(F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for c, m in enumerate(masks())))
-    rows = prints.select(F.explode(dealt).alias("to"), "fp").select("to.choice", "to.bits", "fp")
+    rows = buckets(prints, most)
     return rows.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "a bigint, b bigint")
 
 

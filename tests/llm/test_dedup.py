@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dueline.llm.components import components
 from dueline.llm.exact_dedup import drop_duplicates, mark_duplicates
-from dueline.llm.simhash import BLOCK_WIDTHS, drop_near_duplicates, fingerprints_of, forest, link_buckets, masks, near_duplicates, signed
+from dueline.llm.simhash import BLOCK_WIDTHS, buckets, drop_near_duplicates, finer_masks, fingerprints_of, forest, link_buckets, masks, near_duplicates, signed
 from tests.llm import brute
 from tests.llm.conftest import ODD
 
@@ -94,7 +94,8 @@ def test_repeated_id_with_different_texts(make):
     assert len(drop_near_duplicates(make(rows)).collect()) == 2
 
 
-def test_links_hold_all_pairs_within_three_bits(spark):
+@pytest.mark.parametrize("most", [4096, 2, 0])
+def test_links_hold_all_pairs_within_three_bits(spark, most):
     rnd = random.Random(5)
     prints = {rnd.getrandbits(64) for _ in range(300)}
     for p in list(prints)[:150]:
@@ -102,7 +103,7 @@ def test_links_hold_all_pairs_within_three_bits(spark):
             prints.add(p ^ sum(1 << b for b in rnd.sample(range(64), bits)))
     prints = sorted(prints)
     table = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint")
-    found = components(link_buckets(table)).collect()
+    found = components(link_buckets(table, most)).collect()
     root = {r.node % 2**64: r.root % 2**64 for r in found}
     got: dict[int, set] = {}
     for p in prints:
@@ -119,6 +120,19 @@ def test_masks_cover_half_the_bits_at_least():
     assert min(m.bit_count() for m in masks()) >= 31
 
 
+def test_large_buckets_are_dealt_again(spark):
+    assert [len(own) for own in finer_masks()] == [20] * 20
+    for mask, own in zip(masks(), finer_masks()):
+        assert all(m & mask == mask for m in own) and min(m.bit_count() for m in own) >= 46
+    # A third of all fingerprints agree in their first 32 bits and are spread over the others.
+    rnd = random.Random(6)
+    prints = {rnd.getrandbits(64) for _ in range(600)} | {(rnd.getrandbits(31) << 33) | 5 for _ in range(300)}
+    table = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint")
+    sizes = {r.choice: r["max(count)"] for r in buckets(table, 50).groupBy("choice", "bits").count().groupBy("choice").max("count").collect()}
+    assert min(sizes) < 20 <= max(sizes) and max(sizes.values()) <= 50
+    assert max(r["count"] for r in buckets(table).groupBy("choice", "bits").count().collect()) == 300
+
+
 def test_forest_returns_no_more_links_than_members():
     import numpy as np
 
