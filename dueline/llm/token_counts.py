@@ -9,7 +9,9 @@
    tenth of that or less). The others go to the table by a join on the pre-token, and the products of
    frequency and pieces are summed by document.
 
-Runs longer than LONG characters are no words; they are counted where they stand and don't travel.
+Runs longer than LONG characters, such as paragraphs of scripts without spaces, are cut into pre-tokens by
+the library. What is still longer (long names and numbers, or a run with a special string) is counted
+where it stands and doesn't travel.
 
 Null texts count as empty and have no tokens. Rows are told by a key of their own, so repeated or null
 ids change nothing. Special strings in a text are special tokens, as the library's default has it.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dueline.llm.shared import text_or_empty, written
-from dueline.llm.tokens import blocks, bounds, byte_pretokens, table
+from dueline.llm.tokens import blocks, bounds, short_pretokens, table
 
 #: Pre-tokens that are broadcast at most, and the most characters of a pre-token that is shuffled.
 COMMON, LONG = 1_000_000, 128
@@ -40,7 +42,7 @@ def pretokens(texts: DataFrame, vocabulary: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                words, _, places, often = byte_pretokens(block)
+                words, _, places, often = short_pretokens(block, vocabulary, LONG)
                 n = np.bincount(places, often, len(words)).astype(np.int64)
                 short = [i for i, w in enumerate(words) if len(w) <= LONG]
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in short], pa.string()), pa.array(n[short])], names=["word", "n"])
@@ -66,7 +68,7 @@ def frequencies(texts: DataFrame, common: dict[str, int], vocabulary: str) -> Da
         for batch in batches:
             at = 0
             for block in blocks(batch.column("text")):
-                words, row, places, often = byte_pretokens(block)
+                words, row, places, often = short_pretokens(block, vocabulary, LONG)
                 pieces = np.array([pieces_of.get(w, -1) for w in words], np.int64)
                 long = [i for i, w in enumerate(words) if len(w) > LONG]
                 pieces[long] = table(vocabulary).count([words[i] for i in long])

@@ -55,6 +55,7 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.plain = (LOWER_WORD if self.tokenizer.normalizer else CASED_WORD).fullmatch
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -62,6 +63,14 @@ class WordTable:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def cut(self, run: str) -> list[str]:
+        """The vocabulary's own pre-tokens of a run, which it gives for each of them alone too. Whole if
+        the run may hold a special string, or if the text is changed before it is cut."""
+        before = self.tokenizer.pre_tokenizer
+        if before is None or self.tokenizer.normalizer or any(t in run for t in self.special):
+            return [run]
+        return [run[start:end] for _, (start, end) in before.pre_tokenize_str(run)]
+
     def count(self, words: list[str]) -> np.ndarray:
         """How many tokens each word has; nothing is remembered."""
         out, rest = np.zeros(len(words), np.int64), []
@@ -180,6 +189,22 @@ def cut_word(word: str, before: str) -> list[str]:
     return out
 
 
+def short_pretokens(texts: pa.Array, path: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """``byte_pretokens``, and runs of over ``most`` characters, such as paragraphs of scripts without
+    spaces, cut by the vocabulary itself."""
+    words, row, places, often = byte_pretokens(texts)
+    if not any(len(w) > most for w in words):
+        return words, row, places, often
+    known: dict[str, int] = {}
+    cuts = [[known.setdefault(p, len(known)) for p in (table(path).cut(w) if len(w) > most else [w])] for w in words]
+    sizes = np.array([len(c) for c in cuts], np.int64)
+    flat = np.fromiter(chain.from_iterable(cuts), np.int64)
+    key = np.repeat(row, sizes[places]) * len(known) + spread(places, sizes, flat)
+    key, where = np.unique(key, return_inverse=True)
+    sums = np.bincount(where, np.repeat(often, sizes[places]), len(key)).astype(np.int64)
+    return list(known), key // len(known), key % len(known), sums
+
+
 def byte_pretokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pre-tokens of the texts, and how often each is in each text: row, place in the list
     and frequency, ordered by row."""

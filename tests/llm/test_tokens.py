@@ -108,6 +108,25 @@ def test_counts(make):
     assert count_tokens(make([]), BYTE).collect() == []
 
 
+#: Paragraphs without spaces, a special string in one, and runs that nothing cuts.
+UNSPACED = [
+    (1, "昨日は雨が降りました。今日は晴れです、明日も晴れるでしょう。" * 20),
+    (2, "昨日は雨が降りました。今日は晴れです、明日も晴れるでしょう。" * 3000),
+    (3, "ภาษาไทยไม่มีช่องว่าง" * 40),
+    (4, "昨日は、" * 50 + "<|endoftext|>" + "今日は。" * 50),
+    (5, "a1b2-c3/" * 90 + " it's " + "don't!!" * 60 + "\n\n\t" + "昨日。" * 70 + "\u3000\u3000" + "雨。" * 80),
+    (6, "x" * 5000 + " " + "7" * 5000),
+    (7, None),
+]
+
+
+def test_runs_without_spaces_are_counted_by_pretoken(make):
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(make(UNSPACED), BYTE).collect()}
+    assert got == {i: (len((t or "").encode()), len(x)) for (i, t), x in zip(UNSPACED, library(BYTE, [t or "" for _, t in UNSPACED]))}
+    words, *_ = tokens.short_pretokens(pa.array([UNSPACED[1][1], UNSPACED[2][1]]), BYTE, 128)
+    assert len(words) < 40 and max(map(len, words)) <= 128
+
+
 def check_packed(rows, got, capacity):
     sequences: dict = {}
     for r in got:
