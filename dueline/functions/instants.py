@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from dueline.schema import INSTANT_MAX, INSTANT_MIN, US_PER_SECOND
 
-# ISO instant, UTC. Years of four digits, more digits only with a sign, no negative zero year.
+# ISO instant, in UTC or with an offset in its place (ZONED_TEXT). Years of four digits, more digits only with a sign, no negative zero year.
 INSTANT_TEXT = (
     r"(?i)^(\d{4}|\+\d{5,10}|-(?!0+-)\d{4,10})-\d{2}-\d{2}"
     r"T\d{2}:\d{2}:\d{2}(\.\d{0,9})?Z\z"
 )
+# What stands before an offset, its sign, hours, minutes and seconds.
+ZONED_TEXT = r"(?s)^(.*)([+-])(\d{2}):([0-5]\d)(?::([0-5]\d))?\z"
+MAX_OFFSET_SECONDS = 18 * 3600
 # Seconds beyond this do not fit a bigint of microseconds.
 MAX_MICRO_SECONDS = 9_000_000_000_000
 SECONDS_IN_400_YEARS = 146_097 * 86_400
@@ -27,10 +30,14 @@ def parse_instants(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     2000-2399 by Spark's own timestamp cast and moved by whole cycles. The end of a day may be
     written 24:00:00, and a leap second counts as the second before it.
 
+    Texts with an offset from UTC are first cut into the rest and the offset's seconds.
+
     One projection per step, for all texts at once, so that a value used twice is computed once.
     """
+    df = df.withColumns({f"_{n}_zoned": _zoned(text) for n, text in texts.items()})
+    utc = {n: F.coalesce(F.col(f"_{n}_zoned.text"), text) for n, text in texts.items()}
     df = df.withColumns(
-        {f"_{n}_text": F.upper(F.when(text.rlike(INSTANT_TEXT), text)) for n, text in texts.items()}
+        {f"_{n}_text": F.upper(F.when(text.rlike(INSTANT_TEXT), text)) for n, text in utc.items()}
     )
     steps = {}
     for n in texts:
@@ -48,10 +55,27 @@ def parse_instants(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
         {f"{n}_sec": F.when(known[n], F.col(f"_{n}_epoch")) for n in texts}
         | {f"{n}_nano": F.when(known[n], F.col(f"_{n}_nano")) for n in texts}
     )
-    steps = ("text", "year", "rest", "nano", "cycle", "epoch")
+    steps = ("zoned", "text", "year", "rest", "nano", "cycle", "epoch")
     return df.drop(*[f"_{n}_{step}" for n in texts for step in steps])
 
 
+def _zoned(text: Column) -> Column:
+    """The text in UTC form and its offset in seconds; null if it has no offset or one over 18 hours.
+
+    The lambda ends the generated method here; it is looked at only for texts that don't end in Z.
+    """
+
+    def cut(t: Column) -> Column:
+        sign, hours, minutes, seconds = (F.regexp_extract(t, ZONED_TEXT, i) for i in range(2, 6))
+        size = hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60 + F.coalesce(seconds.try_cast("int"), F.lit(0))
+        rest = F.concat(F.regexp_extract(t, ZONED_TEXT, 1), F.lit("Z"))
+        offset = F.when(sign == "-", -size).otherwise(size)
+        return F.when(size <= MAX_OFFSET_SECONDS, F.struct(rest.alias("text"), offset.alias("offset")))
+
+    utc = F.endswith(text, F.lit("Z")) | F.endswith(text, F.lit("z"))
+    return F.when(~utc, F.transform(F.array(text), cut)[0])
+
+
 def _epoch_seconds(name: str) -> Column:
     year, rest, nano, cycle = (F.col(f"_{name}_{s}") for s in ("year", "rest", "nano", "cycle"))
     day_end = F.endswith(rest, F.lit("T24:00:00")) & (nano == 0)
@@ -60,7 +84,8 @@ def _epoch_seconds(name: str) -> Column:
     )
     in_cycle = F.concat(cycle + 2000, rest, F.lit("Z")).try_cast("timestamp").cast("bigint")
     cycles = F.call_function("div", year - cycle - 2000, F.lit(400))
-    return in_cycle + cycles * SECONDS_IN_400_YEARS + F.when(day_end, 86400).otherwise(0)
+    offset = F.coalesce(F.col(f"_{name}_zoned.offset"), F.lit(0))
+    return in_cycle + cycles * SECONDS_IN_400_YEARS + F.when(day_end, 86400).otherwise(0) - offset
 
 
 def instant_after(sec: Column, nano: Column, other_sec: Column, other_nano: Column) -> Column:

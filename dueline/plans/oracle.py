@@ -136,6 +136,14 @@ ORACLES: dict[str, str] = {
                          when f = 3 then us % 1000000 * 1000 + event_id % 1000
                          when f in (8, 9) then 0 end as integer) at_nano
         from b""",
+    "parse_zoned_instants": """with b as (select event_id, event_id // 3 % 8 f, epoch_us(ts) us,
+            event_id % 18 * 3600 + event_id % 60 * 60 away from events)
+        select event_id "offset",
+               us // 1000000 + case when f = 0 then -away when f = 1 then away + event_id % 60
+                                    when f = 2 then 64800 when f = 3 and event_id % 60 = 0 then -64800 end at_sec,
+               cast(case when f in (0, 2) then us % 1000000 * 1000
+                         when f = 1 or f = 3 and event_id % 60 = 0 then 0 end as integer) at_nano
+        from b""",
     "parse_uuid_audit": """with b as (select event_id, md5(cast(event_id as varchar)) h from events)
         select event_id "offset", case when event_id % 5 < 2 then
             substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'

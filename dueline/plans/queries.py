@@ -346,6 +346,29 @@ def parse_instant_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("offset", "at_sec", "at_nano")
 
 
+@query("parse_zoned_instants")
+def parse_zoned_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instant texts with offsets from UTC in eight forms, half of them invalid."""
+    timed = timed_events(spark, sf_dir)
+    text = instant_text(F.col("arrival_us"))
+    micros, seconds = F.substring(text, 1, 26), F.substring(text, 1, 19)
+    n = F.col("offset")
+    hours, minutes = (F.lpad((n % k).cast("string"), 2, "0") for k in (18, 60))
+    forms = [
+        F.concat(micros, F.lit("+"), hours, F.lit(":"), minutes),
+        F.concat(seconds, F.lit("-"), hours, F.lit(":"), minutes, F.lit(":"), minutes),
+        F.lower(F.concat(micros, F.lit("-18:00"))),
+        F.concat(seconds, F.lit("+18:00:"), minutes),
+        F.concat(seconds, F.lit("+"), hours),
+        F.concat(seconds, F.lit("-"), hours, minutes),
+        F.concat(text, F.lit("+"), hours, F.lit(":"), minutes),
+        F.concat(seconds, F.lit("+"), hours, F.lit(":7"), F.substring(minutes, 2, 1)),
+    ]
+    chosen = F.element_at(F.array(*forms), (F.expr("offset div 3") % len(forms) + 1).cast("int"))
+    parsed = parse_instants(timed.select("offset", chosen.alias("text")), {"at": F.col("text")})
+    return parsed.select("offset", "at_sec", "at_nano")
+
+
 @query("parse_uuid_audit")
 def parse_uuid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = timed_events(spark, sf_dir)

@@ -64,6 +64,28 @@ INSTANT_TEXTS = [
     "1969-12-31T23:59:59.9Z",
     "1970-01-01T00:00:00Z\n",
     " 1970-01-01T00:00:00Z",
+    "2024-02-29T12:30:45+01:30",
+    "2024-03-01t00:00:00.25-11:59:58",
+    "2024-12-31T24:00:00+14:00",
+    "2024-12-31T23:59:60-05:00",
+    "2024-12-31T10:11:12-00:00",
+    "2024-12-31T10:11:12+18:00",
+    "2024-12-31T10:11:12+18:00:01",
+    "2024-12-31T10:11:12-18:01",
+    "2024-12-31T10:11:12+05:60",
+    "2024-12-31T10:11:12+05:30:60",
+    "2024-12-31T10:11:12+05",
+    "2024-12-31T10:11:12+0530",
+    "2024-12-31T10:11:12 +05:30",
+    "2024-12-31T10:11:12Z+05:30",
+    "2024-12-31T10:11:12+05:30Z",
+    "2024-12-31T10:11:12+05:30\n",
+    "2024-12-31T10:11+05:30",
+    "2024-12-31+05:30",
+    "+1000000000-12-31T23:59:59-00:01",
+    "+1000000000-12-31T23:59:59+00:01",
+    "-1000000000-01-01T00:00:00+00:01",
+    "-1000000000-01-01T00:00:00-00:01",
 ]
 
 
