@@ -29,6 +29,7 @@ from dueline.streaming.job import (
     pending_in_state,
     schedule_stream,
     start_file_delivery,
+    still_due,
 )
 
 
@@ -73,6 +74,7 @@ def replay_stream_to_files(
     known: DataFrame | None = None,
     names: HeaderNames = HeaderNames(),
     drain: bool = True,
+    strict_expiry: bool = False,
 ) -> DataFrame:
     """Run a message stream in message time until its input at hand is used up, and read what was
     written: all that is delivered in the end, also what is due after the last message. Without
@@ -82,15 +84,15 @@ def replay_stream_to_files(
     """
     requests, _ = ingest(messages, names)
     sink = FileSink(root)
-    deliveries = schedule_stream(requests, timing, replay_delay)
+    deliveries = schedule_stream(requests, timing, replay_delay, strict_expiry=strict_expiry)
     with DroppedRows(messages.sparkSession) as dropped:
         running = start_file_delivery(deliveries, sink, known, interval=None, names=names)
         running.awaitTermination()
         dropped.fail_if_any(running)
     if drain and any_batch(spark, sink.checkpoint("deliveries")):
         # No message comes any more, so whatever waits in the state goes out at its own tick.
-        left = pending_in_state(spark, sink.checkpoint("deliveries"))
-        drained = filed(left.withColumn("delivered_at", F.col("fire_at")), names, known)
+        left = still_due(pending_in_state(spark, sink.checkpoint("deliveries")))
+        drained = filed(left, names, known)
         order = ["to", *RELEASE_ORDER]
         # The next micro-batch there would be: a drain that is run again adds nothing.
         last = last_batch(spark, sink.checkpoint("deliveries")) + 1
@@ -158,12 +160,14 @@ def stream_to_files(
     timing: Timing = Timing(),
     known: DataFrame | None = None,
     names: HeaderNames = HeaderNames(),
+    strict_expiry: bool = False,
 ) -> DataFrame:
     """Run a message stream by the clock until a micro-batch neither reads nor releases anything,
     and read what was written. What is not due yet stays in the query's state."""
     requests, _ = ingest(messages, names)
     sink = FileSink(root)
-    running = start_file_delivery(schedule_stream(requests, timing), sink, known, names=names)
+    deliveries = schedule_stream(requests, timing, strict_expiry=strict_expiry)
+    running = start_file_delivery(deliveries, sink, known, names=names)
     try:
         wait_until_idle(running)
     finally:
@@ -192,10 +196,11 @@ def deliver_from_intake(
     known: Known = None,
     names: HeaderNames = HeaderNames(),
     slot_us: int = SLOT_US,
+    strict_expiry: bool = False,
 ) -> DataFrame:
     """Deliver by the clock what the intake table holds until nothing is left to read or due, and read what
     was written. What is not due yet stays in the query's state, without its payload."""
-    running = start_narrow_delivery(spark, sink, timing, known, names=names, slot_us=slot_us)
+    running = start_narrow_delivery(spark, sink, timing, known, names=names, slot_us=slot_us, strict_expiry=strict_expiry)
     try:
         wait_until_idle(running)
     finally:
@@ -215,18 +220,19 @@ def replay_from_intake(
     cut: DataFrame | None = None,
     out: FileSink | None = None,
     drain: bool = True,
+    strict_expiry: bool = False,
 ) -> DataFrame:
     """The same in message time, with all that is due after the last message; see
     ``replay_stream_to_files``. A query that takes another's place is started as in
     ``start_narrow_delivery``."""
     out = out or sink
     with DroppedRows(spark) as dropped:
-        running = start_narrow_delivery(spark, sink, timing, known, None, names, replay_delay, slot_us, initial_pending, cut, out)
+        running = start_narrow_delivery(spark, sink, timing, known, None, names, replay_delay, slot_us, initial_pending, cut, out, strict_expiry)
         running.awaitTermination()
         dropped.fail_if_any(running)
     checkpoint = out.checkpoint("deliveries")
     if drain and any_batch(spark, checkpoint):
-        left = pending_in_state(spark, checkpoint).withColumn("delivered_at", F.col("fire_at"))
+        left = still_due(pending_in_state(spark, checkpoint))
         full = with_logged_payload(left, read_intake(spark, sink), slot_us)
         order = ["to", *RELEASE_ORDER]
         rows = filed(full, names, current_known(measured_known(known), spark)).repartitionByRange(*order)

@@ -70,6 +70,9 @@ ORACLES: dict[str, str] = {
     "strict_expiry_log": f"""with {REQUESTS},
         s as (select * replace (sched + event_id % 60 * 1000000 + 1 as expi) from q),
         {RULES.format(source="s")} {LOG} and fire < expi""",
+    "strict_expiry_stream": f"""with {REQUESTS},
+        s as (select * replace (sched + event_id % 60 * 1000000 + 1 as expi) from q where event_id % 17 <> 0),
+        {RULES.format(source="s")} {LOG} and fire < expi""",
     "admission": f"""{CORE} select event_id "offset", refusal, tick arrival_tick,
         case when refusal is null then fire end fire_at from c""",
     "last_request_per_tick": f"""{CORE} select id, tick arrival_tick, event_id "offset", refusal

@@ -179,11 +179,14 @@ def busy_id_routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("strict_expiry_log")
 def strict_expiry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that live up to a minute past their time: some expire before the tick."""
-    timed = timed_events(spark, sf_dir).withColumn(
+    requests = with_metadata(short_lived(spark, sf_dir)).withColumn("headers", F.array().cast(HEADERS_TYPE))
+    return log_columns(delivery_log(requests, EVENT_TIMING, strict_expiry=True))
+
+
+def short_lived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed_events(spark, sf_dir).withColumn(
         "expires_us", F.col("scheduled_us") + F.col("offset") % 60 * 1_000_000 + 1
     )
-    requests = with_metadata(timed).withColumn("headers", F.array().cast(HEADERS_TYPE))
-    return log_columns(delivery_log(requests, EVENT_TIMING, strict_expiry=True))
 
 
 @query("admission")
@@ -683,6 +686,16 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "offset", "destination", "delivered_at")
 
 
+@query("strict_expiry_stream")
+def strict_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as in ``strict_expiry_log``, as a stream in message time whose state keeps the expiry
+    and no payload."""
+    session, messages = message_stream(spark, messages_of(short_lived(spark, sf_dir)))
+    sink = intake_to_tables(session, messages, shared_folder(spark, "stream"), EVENT_TIMING, slot_us=US_PER_DAY)
+    out = replay_from_intake(session, sink, "1 second", EVENT_TIMING, slot_us=US_PER_DAY, strict_expiry=True)
+    return log_columns(out)
+
+
 def run_by_clock(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str, DataFrame]:
     """A stream in clock time over requests that are replaced or cancelled in a later micro-batch."""
     changing = changing_events(spark, sf_dir)

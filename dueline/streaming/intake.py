@@ -119,6 +119,7 @@ def start_narrow_delivery(
     initial_pending: DataFrame | None = None,
     cut: DataFrame | None = None,
     out: FileSink | None = None,
+    strict_expiry: bool = False,
 ) -> StreamingQuery:
     """Deliver what is due from the intake table; ``slot_us`` as it was written with.
 
@@ -129,7 +130,7 @@ def start_narrow_delivery(
     requests = narrow_requests(spark, sink)
     if cut is not None:
         requests = after_cut(requests, cut)
-    deliveries = schedule_stream(requests, timing, replay_delay, initial_pending, payload=False)
+    deliveries = schedule_stream(requests, timing, replay_delay, initial_pending, payload=False, strict_expiry=strict_expiry)
     out = out or sink
     known, table = measured_known(known), committed_deliveries(out.deliveries)
 

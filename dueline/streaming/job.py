@@ -27,6 +27,7 @@ from dueline.sources.deliveries import committed_deliveries, filed, outgoing, wr
 from dueline.streaming import processor
 from dueline.streaming.processor import (
     DELIVERED_SCHEMA,
+    EXPIRY,
     PENDING_SCHEMA,
     REQUEST_FIELDS,
     HoldUntilDue,
@@ -58,6 +59,7 @@ def schedule_stream(
     replay_delay: str | None = None,
     initial_pending: DataFrame | None = None,
     payload: bool = True,
+    strict_expiry: bool = False,
 ) -> DataFrame:
     """Deliveries of a stream of requests.
 
@@ -66,10 +68,15 @@ def schedule_stream(
     is the one of ``delivery_log``; requests may then be out of order by less than this delay.
     ``initial_pending`` starts the query with a ``pending_snapshot`` that has its payload.
     Without ``payload``, requests need no key, value and headers; neither the state nor the result
-    has them.
+    has them. ``strict_expiry`` leaves out what has expired by the time it is released, as in
+    ``delivery_log``; ``initial_pending`` then needs ``expires_us`` or the expiry of the requests.
     """
     shape = (lambda schema: schema) if payload else narrow
     request_fields = [f for f in REQUEST_FIELDS if payload or f not in PAYLOAD]
+    step_schema = shape(STEP_SCHEMA)
+    if strict_expiry:
+        requests, initial_pending = (with_expiry(df) for df in (requests, initial_pending))
+        request_fields, step_schema = [*request_fields, "expires_us"], step_schema + EXPIRY
     replay = replay_delay is not None
     judged = with_admission(requests, timing)
     if not replay:
@@ -90,7 +97,7 @@ def schedule_stream(
         keep_last = _last_of_each(["id", "arrival_tick"], ARRIVAL_ORDER)
     else:
         keep_last = _last_of_each(["id", "topic", "partition"], ["offset"])
-    steps = steps.mapInArrow(keep_last, shape(STEP_SCHEMA))
+    steps = steps.mapInArrow(keep_last, step_schema)
     initial = None
     if initial_pending is not None:
         initial = initial_pending.select("id", *request_fields).groupBy("id")
@@ -100,7 +107,7 @@ def schedule_stream(
     return (
         steps.groupBy("id")
         .transformWithState(
-            HoldUntilDue(replay, payload),
+            HoldUntilDue(replay, payload, strict_expiry),
             shape(DELIVERED_SCHEMA),
             "append",
             "eventTime" if replay else "processingTime",
@@ -110,6 +117,19 @@ def schedule_stream(
     )
 
 
+def with_expiry(df: DataFrame | None) -> DataFrame | None:
+    """The rows with ``expires_us``: later than a microsecond if and only if the expiry is."""
+    if df is None or "expires_us" in df.columns:
+        return df
+    return df.withColumn("expires_us", instant_to_micros(F.col("expires_sec"), F.col("expires_nano")))
+
+
+def still_due(pending: DataFrame) -> DataFrame:
+    """What a query holds, as it leaves at its own tick when no message comes any more."""
+    due = pending.withColumn("delivered_at", F.col("fire_at"))
+    return due.where("expires_us > fire_at").drop("expires_us") if "expires_us" in due.columns else due
+
+
 def _last_of_each(same: list[str], by: list[str]):
     """For mapInArrow: keep the last row, in the given order, of each group within a batch."""
 

@@ -22,6 +22,9 @@ DELIVERED_SCHEMA = f"id string, {PENDING_SCHEMA}, delivered_at bigint".replace(
 DELIVERED_FIELDS = [field.split()[0] for field in DELIVERED_SCHEMA.split(", ")]
 REQUEST_FIELDS = [f for f in PENDING_FIELDS if f != "timer_ms"]
 
+# Kept as well where expiry is looked at again at release.
+EXPIRY = ", expires_us bigint"
+
 # The same without key, value and headers, where these are kept elsewhere.
 PAYLOAD = ("key", "value", "headers")
 
@@ -50,12 +53,15 @@ class HoldUntilDue(StatefulProcessor):
     (``fire_at`` is null) cancels. With ``replay`` time is that of the messages: a request that was
     due before the next one arrived goes out before it is replaced, and ``delivered_at`` is its
     tick. Without, time is the clock and ``delivered_at`` is the time of the micro-batch.
-    Without ``payload``, rows have no key, value and headers, and none are held.
+    Without ``payload``, rows have no key, value and headers, and none are held. ``strict`` leaves
+    out what has expired by ``delivered_at``; rows then have ``expires_us``.
     """
 
-    def __init__(self, replay: bool, payload: bool = True):
-        self.replay = replay
+    def __init__(self, replay: bool, payload: bool = True, strict: bool = False):
+        self.replay, self.strict = replay, strict
         self.schema = PENDING_SCHEMA if payload else narrow(PENDING_SCHEMA)
+        if strict:
+            self.schema += EXPIRY
         self.fields = names_of(self.schema)
         self.delivered = names_of(DELIVERED_SCHEMA if payload else narrow(DELIVERED_SCHEMA))
 
@@ -75,7 +81,7 @@ class HoldUntilDue(StatefulProcessor):
             steps = self._last_per_tick(rows)
         for row in steps:
             if self.replay and held and held["fire_at"] < row["arrival_us"]:
-                yield self._delivery(key, held, held["fire_at"])
+                yield from self._delivery(key, held, held["fire_at"])
             held = row.asDict() if row["fire_at"] is not None else None
         # Every call is a round trip to the state: a timer that stays the same is left alone.
         old_timer = was_pending[self.fields.index("timer_ms")] if was_pending else None
@@ -98,7 +104,7 @@ class HoldUntilDue(StatefulProcessor):
             return
         self.pending.clear()
         now_us = timerValues.getCurrentProcessingTimeInMs() * 1000 if not self.replay else None
-        yield self._delivery(key, held, held["fire_at"] if self.replay else now_us)
+        yield from self._delivery(key, held, held["fire_at"] if self.replay else now_us)
 
     def close(self) -> None:
         pass
@@ -131,6 +137,8 @@ class HoldUntilDue(StatefulProcessor):
         if held["timer_ms"] != old_timer:
             self.handle.registerTimer(held["timer_ms"])
 
-    def _delivery(self, key: Any, held: dict, delivered_at: int) -> Row:
+    def _delivery(self, key: Any, held: dict, delivered_at: int) -> Iterator[Row]:
+        if self.strict and held["expires_us"] <= delivered_at:
+            return
         values = {**held, "id": key[0], "delivered_at": delivered_at}
-        return Row(**{field: values[field] for field in self.delivered})
+        yield Row(**{field: values[field] for field in self.delivered})

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from dueline.operators import delivery_log, ingest, pending_snapshot
-from dueline.plans.jobs import replay_stream_to_files
+from dueline.plans.jobs import intake_to_tables, replay_from_intake, replay_stream_to_files, stream_to_files
 from dueline.plans.shared import shared_folder
 from dueline.schema import Timing
 from dueline.sources.deliveries import read_delivered
@@ -76,6 +77,46 @@ def test_replayed_stream_equals_batch_across_a_restart(spark):
     assert keys(out) == keys(log)
 
 
+@pytest.mark.parametrize("payload", [True, False])
+def test_strict_expiry_in_message_time_equals_batch(spark, payload):
+    messages = random_messages(3)
+    path, root = shared_folder(spark, "in"), shared_folder(spark, "out")
+    write_in_files(spark, messages, path, 100)
+    if payload:
+        stream = read_files(spark, path, stream=True, files_per_batch=1)
+        out = replay_stream_to_files(spark, stream, root, "1 second", TIMING, strict_expiry=True)
+    else:
+        sink = intake_to_tables(spark, read_files(spark, path, stream=True), root, TIMING)
+        out = replay_from_intake(spark, sink, "1 second", TIMING, strict_expiry=True)
+    requests = ingest(read_files(spark, path))[0]
+    log = delivery_log(requests, TIMING, payload=True, strict_expiry=True)
+    assert keys(out) == keys(log) and 0 < log.count() < delivery_log(requests, TIMING).count()
+
+
+def test_strict_expiry_by_the_clock(spark):
+    """Past times are due at once: what has expired since stays out, and still takes the place of another."""
+    now = int(time.time())
+
+    def request(offset, id_, due, expires):
+        header = binary_metadata((due, 0), (expires, 0), id_=uuid_of(id_), destination=b"a")
+        return {"headers": [("scheduler.metadata", header)], "timestamp_us": now * SECOND + offset, "offset": offset, "value": b"%d" % offset}
+
+    rows = [
+        request(0, 0, now - 60, now - 30),
+        request(1, 1, now - 60, now + 10**6),
+        request(2, 2, now + 600, now + 10**6),
+        request(3, 2, now - 60, now - 30),
+        request(4, 3, now + 600, now + 601),
+    ]
+    for strict, leave in ((True, [1]), (False, [0, 1, 3])):
+        path, root = shared_folder(spark, "in"), shared_folder(spark, "out")
+        write_in_files(spark, rows, path, 10)
+        out = stream_to_files(spark, read_files(spark, path, stream=True), root, strict_expiry=strict)
+        assert sorted(r.offset for r in out.collect()) == leave
+        held = pending_in_state(spark, f"{root}/checkpoints/deliveries").collect()
+        assert [r.offset for r in held] == [4] and (not strict or held[0].expires_us == (now + 601) * SECOND)
+
+
 def test_stream_by_the_clock(spark):
     """Delivery on time, replacement, cancelling, dead letters and what stays pending."""
     path, root = shared_folder(spark, "in"), shared_folder(spark, "out")
