@@ -25,8 +25,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group of near copies: SimHash fingerprints within 3 bits, or five-word shingles
+    with a Jaccard similarity of 0.8 or more."""
+    return drop_similar(docs, simhash=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

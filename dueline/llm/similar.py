@@ -20,7 +20,9 @@ component. SimHash can't find such pairs: at five words and 0.8 fingerprints dif
    dealt into pairs of a block of the rest and a block of all. So a text is copied once for its centre, and
    else at most once for each of its keys and block of a key's rest; chains of groups that share a boilerplate
    are cut at their keys and not compared as a whole.
-5. Components of these links, as Spark joins.
+5. With ``simhash``, classes within 3 bits by the operator of ``simhash`` are linked as well: texts that mostly
+   repeat themselves have few shingles in common and yet nearly the same fingerprint.
+6. Components of all these links, as Spark joins.
 
 Defined results: null texts are empty; texts without words are one class. A very long text is a set like
 others, held whole by one task. Columns with the names that are used here are kept as they are.
@@ -39,7 +41,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from dueline.llm.components import components
 from dueline.llm.shared import fresh, text_or_empty, written
-from dueline.llm.simhash import shingle_hashes
+from dueline.llm.simhash import rooted, shingle_hashes, with_fingerprint
 
 BANDS, ROWS = 32, 6
 #: Documents and shingles of a block of a group, on average.
@@ -224,6 +226,15 @@ def link_groups(members: DataFrame, size: int, similarity: float, block_rows: in
     return links.unionByName(to_centre).unionByName(among)
 
 
+def fingerprint_links(classes: DataFrame) -> DataFrame:
+    """Links a, b that hold together the classes (node, fp) whose fingerprints are in one component."""
+    found = rooted(classes.select(F.col("node").alias("doc_id"), "fp"))
+    # first_id is the smallest node with a fingerprint; least the smallest of its component.
+    least = found.groupBy("root").agg(F.min("first_id").alias("least"))
+    stars = classes.select("node", "fp").join(found.join(least, "root").select("fp", "least"), "fp")
+    return stars.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def drop_similar(
     docs: DataFrame,
     size: int = 5,
@@ -232,22 +243,28 @@ def drop_similar(
     text_column: str = "text",
     block_rows: int = BLOCK_ROWS,
     block_shingles: int = BLOCK_SHINGLES,
+    simhash: bool = False,
 ) -> DataFrame:
     """The rows that stay, with all their columns: of each component the document with the smallest id.
+    With ``simhash``, fingerprints link as well as sets.
 
     Rows that repeat that id and its words are one document. A component without ids keeps one row for
     its smallest hash of words.
     """
-    words, n, bands = (fresh(docs, f"similar_{x}") for x in ("words", "n", "bands"))
-    marked = written(with_bands(docs, words, n, bands, text_column, size), "banded")
-    narrow = marked.select(F.col(words).alias("words"), F.col(id_column).alias("doc_id"), F.col(n).alias("n"), F.col(bands).alias("bands"))
-    classes = narrow.groupBy("words").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    words, n, bands, fp = (fresh(docs, f"similar_{x}") for x in ("words", "n", "bands", "fp"))
+    printed = with_fingerprint(docs, fp, text_column) if simhash else docs.withColumn(fp, F.lit(None).cast("bigint"))
+    marked = written(with_bands(printed, words, n, bands, text_column, size), "banded")
+    narrow = marked.select(F.col(words).alias("words"), F.col(id_column).alias("doc_id"), *[F.col(c).alias(a) for c, a in ((n, "n"), (bands, "bands"), (fp, "fp"))])
+    classes = narrow.groupBy("words").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bands", "fp")])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = written(classes.join(groups(classes.select("node", "bands")), "node").select("words", "node", "n", "bands", "root"), "groups")
     texts = marked.select(F.col(words).alias("words"), text_or_empty(F.col(text_column)).alias("text"))
     texts = texts.join(found.select("words"), "words", "left_semi").groupBy("words").agg(F.first("text").alias("text"))
     members = written(found.join(texts, "words").select("node", "root", "n", "bands", "text"), "members")
-    roots = components(link_groups(members, size, similarity, block_rows, block_shingles)).withColumnRenamed("root", "component")
+    links = link_groups(members, size, similarity, block_rows, block_shingles)
+    if simhash:
+        links = links.unionByName(fingerprint_links(classes))
+    roots = components(links).withColumnRenamed("root", "component")
     # By component: the smallest id (null is the last), and of its classes the smallest.
     best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "words"))
     named = classes.select("node", "first_id", "words").join(roots, "node", "left")
@@ -255,4 +272,4 @@ def drop_similar(
     own_id, own_words = fresh(docs, "similar_keep"), fresh(docs, "similar_keep_words")
     stay = stay.select(F.col("best.first_id").alias(own_id), F.col("best.words").alias(own_words))
     same = F.col(id_column).eqNullSafe(F.col(own_id)) & (F.col(words) == F.col(own_words))
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_column, words]).drop(words, n, bands)
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_column, words]).drop(words, n, bands, fp)
