@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dueline.functions import instant_to_micros
 from dueline.operators import (
@@ -50,6 +52,13 @@ Known = DataFrame | KnownDestinations | DestinationList | None
 # The processor travels with the query, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(processor)
 
+# Ids are dealt to so many lanes, the keys of the state. Like the number of shuffle partitions, this is fixed by
+# the first start of a query. A lane's requests are read and written together, and a call for a lane takes about
+# as long as two hundred of its requests; so there should be fewer than a few hundred pending requests a lane.
+LANES = 1 << 16
+# Rows that are made of the state at a time.
+STATE_ROWS = 10_000
+
 STEP_SCHEMA = f"id string, arrival_tick bigint, {PENDING_SCHEMA}".replace(", timer_ms bigint", "")
 
 
@@ -60,6 +69,7 @@ def schedule_stream(
     initial_pending: DataFrame | None = None,
     payload: bool = True,
     strict_expiry: bool = False,
+    lanes: int = LANES,
 ) -> DataFrame:
     """Deliveries of a stream of requests.
 
@@ -97,15 +107,18 @@ def schedule_stream(
         keep_last = _last_of_each(["id", "arrival_tick"], ARRIVAL_ORDER)
     else:
         keep_last = _last_of_each(["id", "topic", "partition"], ["offset"])
-    steps = steps.mapInArrow(keep_last, step_schema)
+    lane = F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("lane")
+    steps = steps.mapInArrow(keep_last, step_schema).select(lane, "*")
     initial = None
     if initial_pending is not None:
-        initial = initial_pending.select("id", *request_fields).groupBy("id")
+        # One row for each lane, as the processor is called for each row.
+        held = initial_pending.select(lane, F.struct("id", *request_fields).alias("request"))
+        initial = held.groupBy("lane").agg(F.collect_list("request").alias("requests")).groupBy("lane")
     if replay:
         steps = steps.withColumn("event_time", F.timestamp_micros("arrival_us"))
         steps = steps.withWatermark("event_time", replay_delay)
     return (
-        steps.groupBy("id")
+        steps.groupBy("lane")
         .transformWithState(
             HoldUntilDue(replay, payload, strict_expiry),
             shape(DELIVERED_SCHEMA),
@@ -266,10 +279,33 @@ def read_request_log(
 
 def pending_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a running or stopped query holds, read from its checkpoint."""
-    state = (
-        spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
-    )
-    return state.select(F.col("key.id").alias("id"), "value.*")
+    state = spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
+    return requests_of_lanes(state.select("value.*"))
+
+
+def requests_of_lanes(lanes: DataFrame) -> DataFrame:
+    """The id and request in each lane's value (columns held and shape), beside the other columns."""
+    others = [f for f in lanes.schema.fields if f.name not in ("timer_ms", "held", "shape")]
+    fields = lanes.schema["shape"].dataType.fields
+    schema = StructType([*others, StructField("id", StringType()), *fields])
+    names, first = [f.name for f in fields], len(others)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        for batch in batches:
+            types = types or to_arrow_schema(schema)
+            rows: list[dict] = []
+            for i in range(batch.num_rows):
+                same = {batch.schema.names[k]: batch.column(k)[i].as_py() for k in range(first)}
+                for id_, request in processor.unpacked(batch.column(first)[i].as_py()).items():
+                    rows.append({**same, "id": id_, **dict(zip(names, request, strict=True))})
+                if len(rows) >= STATE_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=types)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return lanes.select(*[f.name for f in others], "held").mapInArrow(rows_of, schema)
 
 
 def measured_known(known: Known) -> KnownDestinations | DestinationList | None:

@@ -1,8 +1,15 @@
-"""Per-id state and timers: the pending request of an id, and the moment it is due."""
+"""State and timers: the pending request of each id, and the moment it is due.
+
+Every call of a processor, every look at its state and every timer is a round trip between Python and Spark,
+about a millisecond for a key. So ids are dealt to lanes by a hash, and a lane is the key: it is called once
+for all its requests of a micro-batch, reads and writes the pending requests of its ids as one value, and
+has one timer, for the first of them that is due.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Row
@@ -37,6 +44,21 @@ def names_of(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
+def state_schema(fields: str) -> str:
+    """A lane's value: the time of its timer, and its pending requests (see ``packed``). ``shape`` is always
+    null; its type says which fields a request has, for those that read the state."""
+    return f"timer_ms bigint, held binary, shape struct<{', '.join(f'{n}: {t}' for n, t in (f.split(' ', 1) for f in fields.split(', ')))}>"
+
+
+def packed(held: dict[str, tuple]) -> bytes:
+    """The pending requests of a lane, by id. Only what is new is looked at field by field."""
+    return pickle.dumps(held, pickle.HIGHEST_PROTOCOL)
+
+
+def unpacked(value: bytes | None) -> dict[str, tuple]:
+    return pickle.loads(bytes(value)) if value is not None else {}
+
+
 def arrival_order(row: Any) -> tuple:
     return row["arrival_us"], row["topic"], row["partition"], row["offset"]
 
@@ -47,7 +69,7 @@ def timer_of(held: dict) -> int:
 
 
 class HoldUntilDue(StatefulProcessor):
-    """Keeps the last accepted request of each id until its timer fires.
+    """Keeps the last accepted request of each id of a lane until its time comes.
 
     A new request takes the pending one away first and is looked at then, so one that was refused
     (``fire_at`` is null) cancels. With ``replay`` time is that of the messages: a request that was
@@ -63,54 +85,61 @@ class HoldUntilDue(StatefulProcessor):
         if strict:
             self.schema += EXPIRY
         self.fields = names_of(self.schema)
+        self.timer_at = self.fields.index("timer_ms")
         self.delivered = names_of(DELIVERED_SCHEMA if payload else narrow(DELIVERED_SCHEMA))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", self.schema)
+        self.pending = handle.getValueState("pending", state_schema(self.schema))
 
     def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
-        self._hold(initialState.asDict())
+        timer, held = self._read()
+        held.update({row["id"]: self._request(row) for row in initialState["requests"]})
+        self._write(held, timer)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        was_pending = self.pending.get()
-        held = was_pending and dict(zip(self.fields, was_pending, strict=True))
-        if not self.replay:
-            steps = [self._last_by_clock(rows)]
-        else:
-            steps = self._last_per_tick(rows)
-        for row in steps:
-            if self.replay and held and held["fire_at"] < row["arrival_us"]:
-                yield from self._delivery(key, held, held["fire_at"])
-            held = row.asDict() if row["fire_at"] is not None else None
-        # Every call is a round trip to the state: a timer that stays the same is left alone.
-        old_timer = was_pending[self.fields.index("timer_ms")] if was_pending else None
-        new_timer = timer_of(held) if held else None
-        if old_timer is not None and old_timer != new_timer:
-            self.handle.deleteTimer(old_timer)
-        if held:
-            self._hold(held, old_timer)
-        elif was_pending:
-            self.pending.clear()
+        timer, held = self._read()
+        by_id: dict[str, list[Row]] = {}
+        for row in rows:
+            by_id.setdefault(row["id"], []).append(row)
+        now, changed = self._now(timerValues), False
+        for id_, own in by_id.items():
+            last = held.get(id_)
+            for row in self._last_per_tick(own) if self.replay else [self._last_by_clock(own)]:
+                if self.replay and last is not None:
+                    was = dict(zip(self.fields, last, strict=True))
+                    if was["fire_at"] < row["arrival_us"]:
+                        yield from self._delivery(id_, was, was["fire_at"])
+                last = self._request(row.asDict()) if row["fire_at"] is not None else None
+            if last is not None:
+                held[id_], changed = last, True
+            elif held.pop(id_, None) is not None:
+                changed = True
+        due = self._due(held, now)
+        if due or changed:
+            if due and changed:
+                # The state's history shows what came and left in one micro-batch.
+                self.pending.update((timer, packed(held), None))
+            yield from self._release(held, due, now)
+            self._write(held, timer)
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[Row]:
-        pending = self.pending.get()
-        if pending is None:
+        timer, held = self._read()
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if timer != expired:
             return
-        held = dict(zip(self.fields, pending, strict=True))
-        if held["timer_ms"] != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.pending.clear()
-        now_us = timerValues.getCurrentProcessingTimeInMs() * 1000 if not self.replay else None
-        yield from self._delivery(key, held, held["fire_at"] if self.replay else now_us)
+        now = self._now(timerValues)
+        yield from self._release(held, self._due(held, max(now, expired + 1)), now)
+        # Spark removes the timer that has expired.
+        self._write(held, None)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _last_by_clock(rows: Iterator[Row]) -> Row:
+    def _last_by_clock(rows: Iterable[Row]) -> Row:
         """The last request of a micro-batch: of each partition the highest offset, and of these the
         last to arrive. A later micro-batch always overrides, so within a partition the result is the
         same however the input is cut into micro-batches."""
@@ -122,7 +151,7 @@ class HoldUntilDue(StatefulProcessor):
         return max(last.values(), key=arrival_order)
 
     @staticmethod
-    def _last_per_tick(rows: Iterator[Row]) -> list[Row]:
+    def _last_per_tick(rows: Iterable[Row]) -> list[Row]:
         """The last request of each tick, oldest first: no more rows than a micro-batch has ticks."""
         last: dict[int, Row] = {}
         for row in rows:
@@ -131,14 +160,40 @@ class HoldUntilDue(StatefulProcessor):
                 last[row["arrival_tick"]] = row
         return [last[tick] for tick in sorted(last)]
 
-    def _hold(self, held: dict, old_timer: int | None = None) -> None:
-        held["timer_ms"] = timer_of(held)
-        self.pending.update(tuple(held[field] for field in self.fields))
-        if held["timer_ms"] != old_timer:
-            self.handle.registerTimer(held["timer_ms"])
+    def _now(self, timer_values: Any) -> int:
+        """The time, in milliseconds, before which timers expire."""
+        return timer_values.getCurrentWatermarkInMs() if self.replay else timer_values.getCurrentProcessingTimeInMs()
+
+    def _request(self, row: dict) -> tuple:
+        return tuple(timer_of(row) if field == "timer_ms" else row[field] for field in self.fields)
+
+    def _read(self) -> tuple[int | None, dict[str, tuple]]:
+        """The time of the lane's timer, and its pending requests."""
+        value = self.pending.get()
+        return (value[0], unpacked(value[1])) if value else (None, {})
+
+    def _write(self, held: dict[str, tuple], old_timer: int | None) -> None:
+        timer = min(r[self.timer_at] for r in held.values()) if held else None
+        # Every call is a round trip: a timer that stays the same is left alone.
+        if old_timer is not None and old_timer != timer:
+            self.handle.deleteTimer(old_timer)
+        if timer is None:
+            self.pending.clear()
+            return
+        self.pending.update((timer, packed(held), None))
+        if timer != old_timer:
+            self.handle.registerTimer(timer)
+
+    def _due(self, held: dict[str, tuple], now: int) -> list[str]:
+        return [id_ for id_, request in held.items() if request[self.timer_at] < now]
+
+    def _release(self, held: dict[str, tuple], due: list[str], now: int) -> Iterator[Row]:
+        for id_ in due:
+            request = dict(zip(self.fields, held.pop(id_), strict=True))
+            yield from self._delivery(id_, request, request["fire_at"] if self.replay else now * 1000)
 
-    def _delivery(self, key: Any, held: dict, delivered_at: int) -> Iterator[Row]:
+    def _delivery(self, id_: str, held: dict, delivered_at: int) -> Iterator[Row]:
         if self.strict and held["expires_us"] <= delivered_at:
             return
-        values = {**held, "id": key[0], "delivered_at": delivered_at}
+        values = {**held, "id": id_, "delivered_at": delivered_at}
         yield Row(**{field: values[field] for field in self.delivered})

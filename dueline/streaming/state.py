@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dueline.schema import ARRIVAL_ORDER, MESSAGE_ID
-
-
-def _request(value: str) -> Column:
-    return F.struct(*[F.col(f"{value}.{c}").alias(c) for c in [*ARRIVAL_ORDER, "fire_at"]])
+from dueline.streaming.job import requests_of_lanes
 
 
 def state_history(
@@ -32,17 +29,28 @@ def state_history(
     feed = reader.option("readChangeFeed", "true").option("changeStartBatchId", from_batch)
     if to_batch is not None:
         feed = feed.option("changeEndBatchId", to_batch)
-    is_put = F.col("change_type") == "update"
-    steps = feed.load(checkpoint).groupBy(F.col("key.id").alias("id"), F.col("batch_id").alias("batch")).agg(
-        F.max(F.when(is_put, _request("value"))).alias("put"), F.max((~is_put).cast("int")).alias("gone")
-    )
+    feed = feed.load(checkpoint).select("batch_id", F.col("key.lane").alias("lane"), "value.*")
     if from_batch > 0:
         held = spark.read.format("statestore").option("stateVarName", "pending").option("batchId", from_batch - 1).load(checkpoint)
-        first = held.select(F.col("key.id").alias("id"), F.lit(from_batch - 1).cast("bigint").alias("batch"), _request("value").alias("put"), F.lit(0).alias("gone"))
-        steps = steps.unionByName(first)
+        before = F.lit(from_batch - 1).cast("bigint").alias("batch_id")
+        feed = feed.unionByName(held.select(before, F.col("key.lane").alias("lane"), "value.*"))
+    # A lane is written once or twice in a micro-batch: with what came, and without what left.
+    order = Window.partitionBy("lane").orderBy("batch")
+    writes = feed.groupBy("lane", F.col("batch_id").alias("batch")).agg(F.count(F.lit(1)).alias("writes"))
+    writes = writes.withColumn("next_write", F.lead("batch").over(order))
+    request = F.struct(*[F.col(c) for c in [*ARRIVAL_ORDER, "fire_at"]])
+    seen = requests_of_lanes(feed.where(F.col("held").isNotNull())).groupBy("lane", "id", F.col("batch_id").alias("batch"))
+    seen = seen.agg(F.max(request).alias("put"), F.count(F.lit(1)).alias("times")).join(writes, ["lane", "batch"])
+    ids = Window.partitionBy("id").orderBy("batch")
+    seen = seen.withColumns({"gone": (F.col("times") < F.col("writes")).cast("int"), "next_seen": F.lead("batch").over(ids)})
+    # What was held and is not there when its lane is written again has gone then.
+    missing = (F.col("gone") == 0) & F.col("next_write").isNotNull() & ~F.col("next_seen").eqNullSafe(F.col("next_write"))
+    lost = seen.where(missing).select("id", F.col("next_write").alias("batch"), F.lit(None).cast(seen.schema["put"].dataType).alias("put"), F.lit(1).alias("gone"))
+    steps = seen.select("id", "batch", "put", "gone").unionByName(lost)
     after = F.when(F.col("gone") == 0, F.col("put"))
-    steps = steps.withColumn("before", F.lag(after).over(Window.partitionBy("id").orderBy("batch"))).where(F.col("batch") >= from_batch)
-    put, before = F.col("put"), F.col("before")
+    steps = steps.withColumn("before", F.lag(after).over(ids)).where(F.col("batch") >= from_batch)
+    # What is written again as it was has not come anew.
+    put, before = F.when(~F.col("put").eqNullSafe(F.col("before")), F.col("put")), F.col("before")
     none = F.lit(None).cast("bigint")
 
     def row(change: str, request: Column, by: Column = none) -> Column:
