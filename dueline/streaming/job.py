@@ -53,8 +53,7 @@ Known = DataFrame | KnownDestinations | DestinationList | None
 cloudpickle.register_pickle_by_value(processor)
 
 # Ids are dealt to so many lanes, the keys of the state. Like the number of shuffle partitions, this is fixed by
-# the first start of a query. A lane's requests are read and written together, and a call for a lane takes about
-# as long as two hundred of its requests; so there should be fewer than a few hundred pending requests a lane.
+# the first start of a query. A lane's pending requests are read and written together, so they should stay few.
 LANES = 1 << 16
 # Rows that are made of the state at a time.
 STATE_ROWS = 10_000
