@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dueline.llm.shared import fresh, text_or_empty
 from dueline.llm.tokens import blocks, bounds, listed
@@ -37,8 +38,9 @@ FEATURES = SHAPES + PAIRS + WORDS
 #: Weights of the three groups of features.
 WEIGHTS = (1.0, 1.0, 0.3)
 DIMENSIONS, K, SHARPNESS = 48, 25, 8
-#: Texts that are handled at a time.
-TEXTS = 1024
+#: Texts whose words are looked at together, and rows of counts that are made at a time: a row of counts
+#: has FEATURES numbers, so a task holds few of them.
+TEXTS, ROWS = 1024, 64
 
 
 class _Classes(dict):
@@ -58,8 +60,8 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", word.translate(_CLASSES))
 
 
-def counts(texts: pa.Array) -> np.ndarray:
-    """Feature counts, a row per text."""
+def counts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Feature counts, a row per text, in blocks of ROWS texts."""
     n = len(texts)
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten().dictionary_encode()
@@ -82,7 +84,12 @@ def counts(texts: pa.Array) -> np.ndarray:
         row[follows] * FEATURES + SHAPES + pairs[follows],
         row[real] * FEATURES + SHAPES + PAIRS + word_of[codes][real],
     ]
-    return np.bincount(np.concatenate(found), minlength=n * FEATURES).reshape(n, FEATURES)
+    # Each part is in the order of the texts, so a block of them is a slice of it.
+    ends = [np.searchsorted(row[kept], np.arange(0, n + ROWS, ROWS)) for kept in (real, same, follows, real)]
+    for k, at in enumerate(range(0, n, ROWS)):
+        own = np.concatenate([part[end[k] : end[k + 1]] for part, end in zip(found, ends)]) - at * FEATURES
+        rows = min(ROWS, n - at)
+        yield np.bincount(own, minlength=rows * FEATURES).reshape(rows, FEATURES)
 
 
 def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -126,7 +133,7 @@ class Model:
         out = [np.empty(0)]
         for block in blocks(texts):
             for at in range(0, len(block), TEXTS):
-                out.append(self.vote(self.project(counts(block.slice(at, TEXTS)))))
+                out += [self.vote(self.project(found)) for found in counts(block.slice(at, TEXTS))]
         return np.concatenate(out)
 
 
@@ -169,17 +176,16 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str, t
             at = 0
             for block in blocks(batch.column(2)):
                 for start in range(0, len(block), TEXTS):
-                    part = block.slice(start, TEXTS)
-                    found = counts(part)
-                    rows = [np.flatnonzero(r) for r in found]
-                    columns = [
-                        batch.column(0).slice(at, len(part)),
-                        batch.column(1).slice(at, len(part)),
-                        pa.array(rows, pa.list_(pa.int32())),
-                        pa.array([r[i] for r, i in zip(found, rows)], pa.list_(pa.int32())),
-                    ]
-                    at += len(part)
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "features", "counts"])
+                    for found in counts(block.slice(start, TEXTS)):
+                        rows = [np.flatnonzero(r) for r in found]
+                        columns = [
+                            batch.column(0).slice(at, len(found)),
+                            batch.column(1).slice(at, len(found)),
+                            pa.array(rows, pa.list_(pa.int32())),
+                            pa.array([r[i] for r, i in zip(found, rows)], pa.list_(pa.int32())),
+                        ]
+                        at += len(found)
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "features", "counts"])
 
     # At most SAMPLE rows of two numbers are broadcast.
     labelled = texts.join(F.broadcast(ids), "id").select("id", "label", "text")
@@ -229,10 +235,14 @@ def keep_good(
     """The documents that are not rejected, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(sample(docs, labels, ~held_out(F.col("id")), id_column, text_column, label_column))
     text, names = fresh(docs, "quality_text"), docs.columns
+    # Only a null in a column of strings becomes another text, so the column itself is read; others are cast.
+    own = next((i for i, f in enumerate(docs.schema.fields) if f.name == text_column and f.dataType == StringType()), None)
+    given = docs.withColumn(text, text_or_empty(F.col(text_column))) if own is None else docs
+    place = len(names) if own is None else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = model.value.scores(batch.column(batch.num_columns - 1)) >= threshold
-            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+            good = model.value.scores(pc.fill_null(batch.column(place), "")) >= threshold
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(good, pa.bool_()))
 
-    return docs.withColumn(text, text_or_empty(F.col(text_column))).mapInArrow(run, docs.schema)
+    return given.mapInArrow(run, docs.schema)

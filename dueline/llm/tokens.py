@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at a time, and known words that are kept at most.
-BLOCK_BYTES, KNOWN_WORDS = 8 << 20, 800_000
+#: Bytes of text handled at a time, and where ids of single documents are made of them.
+BLOCK_BYTES, ID_BYTES = 8 << 20, 2 << 20
+#: A table that knows so many words learns anew. Workers outlive their tasks, and so does what they know.
+KNOWN_WORDS = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -123,10 +125,10 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
-def blocks(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about BLOCK_BYTES, each of one text at least."""
+def blocks(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """Slices of about BLOCK_BYTES, or of another size, each of one text at least."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
+    group = (np.cumsum(sizes) - sizes) // (size or BLOCK_BYTES)
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     for start, end in zip(starts, [*starts[1:], len(texts)]):
         yield texts.slice(start, end - start)
@@ -259,7 +261,7 @@ def documents_of(
 ) -> Iterator[tuple[object, np.ndarray]]:
     """(doc_id, ids with the end id) of each row of a batch with columns doc_id and text."""
     doc_ids, row = batch.column("doc_id").to_pylist(), 0
-    for texts in blocks(batch.column("text")):
+    for texts in blocks(batch.column("text"), ID_BYTES):
         ids, lengths = tokens(texts)
         at = bounds(lengths)
         for start, end in zip(at[:-1].tolist(), at[1:].tolist()):

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,19 @@ def test_quality_of_odd_tables(spark, make):
     assert score(make([]), labels).collect() == [] and keep_good(make([]), labels).collect() == []
 
 
+def test_quality_holds_few_rows_of_counts_and_each_text_once(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["ab", "Ab", "x1", ",", "é"], k=rng.randrange(6))) for _ in range(quality.ROWS * 2 + 3)] + ["", "a\x00 a"]
+    blocks = list(quality.counts(pa.array(texts)))
+    assert [len(b) for b in blocks] == [quality.ROWS, quality.ROWS, 5]
+    alone = [next(quality.counts(pa.array([t])))[0] for t in texts]
+    assert (np.concatenate(blocks) == np.array(alone)).all()
+    assert list(quality.counts(pa.array([], pa.string()))) == []
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "doc_id bigint, text string")
+    kept = keep_good(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))
+    assert "quality_text" not in kept._jdf.queryExecution().toString()
+
+
 def test_mixture_has_its_shares(make):
     rnd = random.Random(2)
     rows = [(i, "x" * rnd.randrange(10, 100), rnd.choice(["a"] * 8 + ["b", "c", None])) for i in range(4000)]

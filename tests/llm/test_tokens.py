@@ -177,3 +177,16 @@ def test_windows_are_balanced(seed):
             at, n = at + part, n - part
     full = [c for s, c in cost.items() if s < sum(lengths) // 4096]
     assert np.std(full) < np.std(list(in_order.values()))
+
+
+def test_ids_of_documents_are_made_in_small_blocks():
+    texts = [f"word{i} " * 50_000 for i in range(12)]
+    batch, seen = pa.record_batch({"doc_id": range(12), "text": texts}), []
+
+    def own(block):
+        seen.append(sum(len(t) for t in block.to_pylist()))
+        return np.arange(len(block), dtype=np.int32), np.ones(len(block), np.int64)
+
+    assert [i for i, _ in tokens.documents_of(batch, own, 2)] == list(range(12))
+    # A block ends with the text that fills it, and what a worker remembers is bounded.
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= tokens.ID_BYTES + len(texts[-1]) and tokens.KNOWN_WORDS <= 200_000
