@@ -107,26 +107,59 @@ def schedule_stream(
     else:
         keep_last = _last_of_each(["id", "topic", "partition"], ["offset"])
     lane = F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("lane")
+    names = processor.request_names(request_fields)
     steps = steps.mapInArrow(keep_last, step_schema).select(lane, "*")
+    steps = steps.mapInArrow(_as_binary(names), "lane bigint, arrival_us bigint, request binary")
     initial = None
     if initial_pending is not None:
         # One row for each lane, as the processor is called for each row.
-        held = initial_pending.select(lane, F.struct("id", *request_fields).alias("request"))
+        held = initial_pending.select(lane, "id", *request_fields)
+        held = held.mapInArrow(_as_binary(names), "lane bigint, arrival_us bigint, request binary")
         initial = held.groupBy("lane").agg(F.collect_list("request").alias("requests")).groupBy("lane")
     if replay:
         steps = steps.withColumn("event_time", F.timestamp_micros("arrival_us"))
         steps = steps.withWatermark("event_time", replay_delay)
-    return (
-        steps.groupBy("lane")
+    delivered = (
+        steps.drop("arrival_us")
+        .groupBy("lane")
         .transformWithState(
-            HoldUntilDue(replay, payload, strict_expiry),
-            shape(DELIVERED_SCHEMA),
+            HoldUntilDue(replay, payload, strict_expiry, binary=True),
+            "delivered_at bigint, request binary",
             "append",
             "eventTime" if replay else "processingTime",
             initialState=initial,
         )
-        .observe("forwarded_records", F.count(F.lit(1)).alias("forwarded"))
     )
+    schema = StructType.fromDDL(shape(DELIVERED_SCHEMA))
+    return delivered.mapInArrow(_as_columns(names, schema), schema).observe(
+        "forwarded_records", F.count(F.lit(1)).alias("forwarded")
+    )
+
+
+def _as_binary(names: list[str]):
+    """For mapInArrow: each request as one binary, beside its lane and arrival."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column("lane"), batch.column("arrival_us"), processor.pack_requests(batch, names)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lane", "arrival_us", "request"])
+
+    return pack
+
+
+def _as_columns(names: list[str], schema: StructType):
+    """For mapInArrow: the columns of released requests."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            if batch.num_rows:
+                values = processor.unpack_requests(batch.column("request").to_pylist(), names)
+                values["delivered_at"] = batch.column("delivered_at")
+                columns = [pa.array(values[f.name], f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(columns, schema=types)
+
+    return unpack
 
 
 def with_expiry(df: DataFrame | None) -> DataFrame | None:
@@ -287,22 +320,25 @@ def requests_of_lanes(lanes: DataFrame) -> DataFrame:
     others = [f for f in lanes.schema.fields if f.name not in ("timer_ms", "held", "shape")]
     fields = lanes.schema["shape"].dataType.fields
     schema = StructType([*others, StructField("id", StringType()), *fields])
-    names, first = [f.name for f in fields], len(others)
+    first, names = len(others), processor.request_names([f.name for f in fields])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
+        types = to_arrow_schema(schema)
         for batch in batches:
-            types = types or to_arrow_schema(schema)
-            rows: list[dict] = []
-            for i in range(batch.num_rows):
-                same = {batch.schema.names[k]: batch.column(k)[i].as_py() for k in range(first)}
-                for id_, request in processor.unpacked(batch.column(first)[i].as_py()).items():
-                    rows.append({**same, "id": id_, **dict(zip(names, request, strict=True))})
-                if len(rows) >= STATE_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=types)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=types)
+            places: list[int] = []
+            timers: list[int] = []
+            requests: list[bytes] = []
+            for i, held in enumerate(batch.column(first).to_pylist()):
+                for timer, request in processor.unpacked(held).values():
+                    places.append(i)
+                    timers.append(timer)
+                    requests.append(request)
+                if requests and (len(requests) >= STATE_ROWS or i == batch.num_rows - 1):
+                    values = {**processor.unpack_requests(requests, names), "timer_ms": timers}
+                    columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in range(first)]
+                    columns += [pa.array(values[f.name], f.type) for f in list(types)[first:]]
+                    yield pa.RecordBatch.from_arrays(columns, schema=types)
+                    places, timers, requests = [], [], []
 
     return lanes.select(*[f.name for f in others], "held").mapInArrow(rows_of, schema)
 

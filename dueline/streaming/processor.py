@@ -4,6 +4,9 @@ Every call of a processor, every look at its state and every timer is a round tr
 about a millisecond for a key. So ids are dealt to lanes by a hash, and a lane is the key: it is called once
 for all its requests of a micro-batch, reads and writes the pending requests of its ids as one value, and
 has one timer, for the first of them that is due.
+
+Python also gets and gives rows cell by cell, headers by far the slowest. So a request goes through the state
+as one binary, which is made of whole columns before the shuffle and made columns again behind the state.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,12 +55,49 @@ def state_schema(fields: str) -> str:
 
 
 def packed(held: dict[str, tuple]) -> bytes:
-    """The pending requests of a lane, by id. Only what is new is looked at field by field."""
+    """The pending requests of a lane, by id, each with the time of its timer."""
     return pickle.dumps(held, pickle.HIGHEST_PROTOCOL)
 
 
 def unpacked(value: bytes | None) -> dict[str, tuple]:
-    return pickle.loads(bytes(value)) if value is not None else {}
+    return pickle.loads(value if isinstance(value, bytes) else bytes(value)) if value is not None else {}
+
+
+def request_names(fields: list[str]) -> list[str]:
+    """What a request that travels as one binary consists of; its payload is a binary of its own in that one."""
+    names = ["id", "arrival_tick", *[f for f in fields if f not in PAYLOAD and f != "timer_ms"]]
+    return [*names, "payload"] if PAYLOAD[0] in fields else names
+
+
+def pack_requests(batch: pa.RecordBatch, names: list[str]) -> pa.Array:
+    """The rows of a batch as one binary each. Headers are looked at as columns, not row by row."""
+    n, columns = batch.num_rows, []
+    for name in names:
+        if name == "payload":
+            lists = batch.column("headers")
+            flat = lists.flatten()
+            each = list(zip(*(c.to_pylist() for c in flat.flatten())))
+            if flat.null_count:
+                each = [e if there else None for e, there in zip(each, flat.is_valid().to_pylist())]
+            headers, at = [], 0
+            for length in lists.value_lengths().to_pylist():
+                headers.append(None if length is None else each[at : at + length])
+                at += length or 0
+            parts = zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), headers)
+            columns.append([pickle.dumps(p, pickle.HIGHEST_PROTOCOL) for p in parts])
+        elif name in batch.schema.names:
+            columns.append(batch.column(name).to_pylist())
+        else:
+            columns.append([None] * n)
+    return pa.array([pickle.dumps(r, pickle.HIGHEST_PROTOCOL) for r in zip(*columns)], pa.binary())
+
+
+def unpack_requests(requests: list[bytes], names: list[str]) -> dict[str, list]:
+    """The columns of packed requests, key, value and headers among them if they are there."""
+    columns = dict(zip(names, zip(*map(pickle.loads, requests)), strict=True))
+    if "payload" in columns:
+        columns.update(zip(PAYLOAD, zip(*map(pickle.loads, columns.pop("payload")))))
+    return columns
 
 
 def arrival_order(row: Any) -> tuple:
@@ -76,16 +117,17 @@ class HoldUntilDue(StatefulProcessor):
     due before the next one arrived goes out before it is replaced, and ``delivered_at`` is its
     tick. Without, time is the clock and ``delivered_at`` is the time of the micro-batch.
     Without ``payload``, rows have no key, value and headers, and none are held. ``strict`` leaves
-    out what has expired by ``delivered_at``; rows then have ``expires_us``.
+    out what has expired by ``delivered_at``; rows then have ``expires_us``. With ``binary`` a row comes as
+    ``request`` (see ``pack_requests``) and leaves as that and ``delivered_at``; without, as columns.
     """
 
-    def __init__(self, replay: bool, payload: bool = True, strict: bool = False):
-        self.replay, self.strict = replay, strict
+    def __init__(self, replay: bool, payload: bool = True, strict: bool = False, binary: bool = False):
+        self.replay, self.strict, self.binary = replay, strict, binary
         self.schema = PENDING_SCHEMA if payload else narrow(PENDING_SCHEMA)
         if strict:
             self.schema += EXPIRY
-        self.fields = names_of(self.schema)
-        self.timer_at = self.fields.index("timer_ms")
+        self.fields = [f for f in names_of(self.schema) if f != "timer_ms"]
+        self.came = request_names(self.fields)
         self.delivered = names_of(DELIVERED_SCHEMA if payload else narrow(DELIVERED_SCHEMA))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -94,23 +136,24 @@ class HoldUntilDue(StatefulProcessor):
 
     def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
         timer, held = self._read()
-        held.update({row["id"]: self._request(row) for row in initialState["requests"]})
+        rows = map(self._values, initialState["requests"]) if self.binary else initialState["requests"]
+        held.update({row["id"]: self._request(row) for row in rows})
         self._write(held, timer)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         timer, held = self._read()
-        by_id: dict[str, list[Row]] = {}
-        for row in rows:
+        by_id: dict[str, list[Any]] = {}
+        for row in map(self._values, (r["request"] for r in rows)) if self.binary else rows:
             by_id.setdefault(row["id"], []).append(row)
         now, changed = self._now(timerValues), False
         for id_, own in by_id.items():
             last = held.get(id_)
             for row in self._last_per_tick(own) if self.replay else [self._last_by_clock(own)]:
                 if self.replay and last is not None:
-                    was = dict(zip(self.fields, last, strict=True))
-                    if was["fire_at"] < row["arrival_us"]:
-                        yield from self._delivery(id_, was, was["fire_at"])
-                last = self._request(row.asDict()) if row["fire_at"] is not None else None
+                    fire_at = self._held(last)["fire_at"]
+                    if fire_at < row["arrival_us"]:
+                        yield from self._delivery(id_, last, fire_at)
+                last = self._request(row) if row["fire_at"] is not None else None
             if last is not None:
                 held[id_], changed = last, True
             elif held.pop(id_, None) is not None:
@@ -164,8 +207,18 @@ class HoldUntilDue(StatefulProcessor):
         """The time, in milliseconds, before which timers expire."""
         return timer_values.getCurrentWatermarkInMs() if self.replay else timer_values.getCurrentProcessingTimeInMs()
 
-    def _request(self, row: dict) -> tuple:
-        return tuple(timer_of(row) if field == "timer_ms" else row[field] for field in self.fields)
+    def _values(self, request: bytes) -> dict:
+        """A packed request by field, with the binary itself."""
+        values = dict(zip(self.came, pickle.loads(request), strict=True))
+        values["request"] = request
+        return values
+
+    def _request(self, row: Any) -> tuple:
+        """The time of the timer and the request, as it is held."""
+        return timer_of(row), row["request"] if self.binary else tuple(row[field] for field in self.fields)
+
+    def _held(self, request: tuple) -> dict:
+        return self._values(request[1]) if self.binary else dict(zip(self.fields, request[1], strict=True))
 
     def _read(self) -> tuple[int | None, dict[str, tuple]]:
         """The time of the lane's timer, and its pending requests."""
@@ -173,7 +226,7 @@ class HoldUntilDue(StatefulProcessor):
         return (value[0], unpacked(value[1])) if value else (None, {})
 
     def _write(self, held: dict[str, tuple], old_timer: int | None) -> None:
-        timer = min(r[self.timer_at] for r in held.values()) if held else None
+        timer = min(r[0] for r in held.values()) if held else None
         # Every call is a round trip: a timer that stays the same is left alone.
         if old_timer is not None and old_timer != timer:
             self.handle.deleteTimer(old_timer)
@@ -185,15 +238,18 @@ class HoldUntilDue(StatefulProcessor):
             self.handle.registerTimer(timer)
 
     def _due(self, held: dict[str, tuple], now: int) -> list[str]:
-        return [id_ for id_, request in held.items() if request[self.timer_at] < now]
+        return [id_ for id_, request in held.items() if request[0] < now]
 
     def _release(self, held: dict[str, tuple], due: list[str], now: int) -> Iterator[Row]:
         for id_ in due:
-            request = dict(zip(self.fields, held.pop(id_), strict=True))
-            yield from self._delivery(id_, request, request["fire_at"] if self.replay else now * 1000)
+            request = held.pop(id_)
+            yield from self._delivery(id_, request, self._held(request)["fire_at"] if self.replay else now * 1000)
 
-    def _delivery(self, id_: str, held: dict, delivered_at: int) -> Iterator[Row]:
-        if self.strict and held["expires_us"] <= delivered_at:
+    def _delivery(self, id_: str, request: tuple, delivered_at: int) -> Iterator[Row]:
+        if self.strict and self._held(request)["expires_us"] <= delivered_at:
+            return
+        if self.binary:
+            yield Row(delivered_at=delivered_at, request=request[1])
             return
-        values = {**held, "id": id_, "delivered_at": delivered_at}
+        values = {**self._held(request), "id": id_, "delivered_at": delivered_at}
         yield Row(**{field: values[field] for field in self.delivered})
