@@ -38,6 +38,8 @@ def stream_session(spark: SparkSession) -> SparkSession:
     session = spark.newSession()
     # Enough to see the progress of every micro-batch of a bounded run.
     session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    # A table in many folders is listed by some tasks, not by one for each of its files.
+    session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
     for name, value in STREAM_SETTINGS.items():
         # Spark has no entry for the options of a state store and calls them not modifiable, but takes them.
         if name.startswith("spark.sql."):

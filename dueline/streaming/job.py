@@ -154,7 +154,7 @@ def _as_columns(names: list[str], schema: StructType):
         types = to_arrow_schema(schema)
         for batch in batches:
             if batch.num_rows:
-                values = processor.unpack_requests(batch.column("request").to_pylist(), names)
+                values = processor.unpack_requests(processor.listed(batch.column("request")), names)
                 values["delivered_at"] = batch.column("delivered_at")
                 columns = [pa.array(values[f.name], f.type) for f in types]
                 yield pa.RecordBatch.from_arrays(columns, schema=types)
@@ -328,7 +328,7 @@ def requests_of_lanes(lanes: DataFrame) -> DataFrame:
             places: list[int] = []
             timers: list[int] = []
             requests: list[bytes] = []
-            for i, held in enumerate(batch.column(first).to_pylist()):
+            for i, held in enumerate(processor.listed(batch.column(first))):
                 for timer, request in processor.unpacked(held).values():
                     places.append(i)
                     timers.append(timer)

@@ -69,6 +69,13 @@ def request_names(fields: list[str]) -> list[str]:
     return [*names, "payload"] if PAYLOAD[0] in fields else names
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column of numbers, strings or binaries, without a look at each of them in Python."""
+    if column.null_count and not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def pack_requests(batch: pa.RecordBatch, names: list[str]) -> pa.Array:
     """The rows of a batch as one binary each. Headers are looked at as columns, not row by row."""
     n, columns = batch.num_rows, []
@@ -76,17 +83,17 @@ def pack_requests(batch: pa.RecordBatch, names: list[str]) -> pa.Array:
         if name == "payload":
             lists = batch.column("headers")
             flat = lists.flatten()
-            each = list(zip(*(c.to_pylist() for c in flat.flatten())))
+            each = list(zip(*map(listed, flat.flatten())))
             if flat.null_count:
                 each = [e if there else None for e, there in zip(each, flat.is_valid().to_pylist())]
             headers, at = [], 0
-            for length in lists.value_lengths().to_pylist():
+            for length in listed(lists.value_lengths()):
                 headers.append(None if length is None else each[at : at + length])
                 at += length or 0
-            parts = zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), headers)
+            parts = zip(listed(batch.column("key")), listed(batch.column("value")), headers)
             columns.append([pickle.dumps(p, pickle.HIGHEST_PROTOCOL) for p in parts])
         elif name in batch.schema.names:
-            columns.append(batch.column(name).to_pylist())
+            columns.append(listed(batch.column(name)))
         else:
             columns.append([None] * n)
     return pa.array([pickle.dumps(r, pickle.HIGHEST_PROTOCOL) for r in zip(*columns)], pa.binary())

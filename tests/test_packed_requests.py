@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dueline.operators import ingest
+from dueline.plans.jobs import stream_session
 from dueline.plans.shared import shared_folder
 from dueline.sources.messages import read_files
 from dueline.streaming import processor
@@ -62,3 +63,7 @@ def test_the_state_is_given_no_nested_columns(spark):
     sent = {r.offset: r for r in ingest(read_files(spark, path))[0].collect()}
     rows = left.where(F.col("timer_ms") * 1000 >= F.col("fire_at")).collect()
     assert rows and all((r.key, r.value, r.headers) == (sent[r.offset].key, sent[r.offset].value, sent[r.offset].headers) for r in rows)
+
+
+def test_many_files_are_listed_by_few_tasks(spark):
+    assert int(stream_session(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 64
