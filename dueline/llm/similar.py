@@ -41,13 +41,13 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from dueline.llm.components import components
 from dueline.llm.shared import fresh, text_or_empty, written
-from dueline.llm.simhash import rooted, shingle_hashes, with_fingerprint
+from dueline.llm.simhash import fingerprints_of, rooted, shingle_hashes
 
 BANDS, ROWS = 32, 6
 #: Documents and shingles of a block of a group, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000
-#: Shingles that are hashed at a time.
-CHUNK = 2048
+#: Shingles that are hashed, and texts that are looked at, at a time.
+CHUNK, TEXTS = 2048, 1024
 
 _random = np.random.Generator(np.random.PCG64(42))
 _FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -70,22 +70,26 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (((own ^ (own >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def with_bands(docs: DataFrame, words: str, n: str, bands: str, text_column: str, size: int) -> DataFrame:
-    """The rows with a hash of their words, the size of their set and its keys."""
-    text, names = fresh(docs, "similar_text"), [*docs.columns, words, n, bands]
+def with_bands(docs: DataFrame, words: str, n: str, bands: str, text_column: str, size: int, fp: str, simhash: bool) -> DataFrame:
+    """The rows with a hash of their words, the size of their set, its keys and, with ``simhash``, their fingerprint.
+
+    All of it is made in one pass: two would keep two Python workers for each task, each with the texts."""
+    text, names = fresh(docs, "similar_text"), [*docs.columns, fp, words, n, bands]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             digests, counts, keys = [], [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            prints = pa.array(fingerprints_of(texts).view(np.int64)) if simhash else pa.nulls(len(texts), pa.int64())
+            for t in texts:
                 hashes = shingle_set(t, size)
                 digests.append(hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).hexdigest())
                 counts.append(len(hashes))
                 keys.append(band_keys(hashes))
-            added = [pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            added = [prints, pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=names)
 
-    new = [StructField(words, StringType()), StructField(n, LongType()), StructField(bands, ArrayType(LongType()))]
+    new = [StructField(fp, LongType()), StructField(words, StringType()), StructField(n, LongType()), StructField(bands, ArrayType(LongType()))]
     return docs.withColumn(text, text_or_empty(F.col(text_column))).mapInArrow(run, StructType([*docs.schema.fields, *new]))
 
 
@@ -252,8 +256,7 @@ def drop_similar(
     its smallest hash of words.
     """
     words, n, bands, fp = (fresh(docs, f"similar_{x}") for x in ("words", "n", "bands", "fp"))
-    printed = with_fingerprint(docs, fp, text_column) if simhash else docs.withColumn(fp, F.lit(None).cast("bigint"))
-    marked = written(with_bands(printed, words, n, bands, text_column, size), "banded")
+    marked = written(with_bands(docs, words, n, bands, text_column, size, fp, simhash), "banded")
     narrow = marked.select(F.col(words).alias("words"), F.col(id_column).alias("doc_id"), *[F.col(c).alias(a) for c, a in ((n, "n"), (bands, "bands"), (fp, "fp"))])
     classes = narrow.groupBy("words").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bands", "fp")])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dueline.llm.similar import drop_similar
-from dueline.llm.simhash import fingerprints_of
+from dueline.llm.simhash import fingerprints_of, with_fingerprint
+from dueline.llm.similar import drop_similar, with_bands
 from tests.llm.test_similar import shingles, similar
 
 
@@ -18,3 +18,12 @@ def test_near_copies_by_fingerprint_that_sets_do_not_show(spark, make):
     assert not similar(shingles(first), shingles(second)) and similar(shingles(second), shingles(third))
     kept = [sorted(r.doc_id for r in out.collect()) for out in (corpus_pipeline.simhash_near_dedup(spark, make(rows), ""), drop_similar(make(rows)))]
     assert kept == [[2, 12], [2, 5, 12]]
+
+
+def test_bands_and_fingerprints_are_one_pass_in_python(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", "", None, "é x"])], "doc_id bigint, text string")
+    marked = with_bands(docs, "words", "n", "bands", "text", 5, "fp", True)
+    assert marked._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    want = {r.doc_id: r.fp for r in with_fingerprint(docs, "fp").collect()}
+    assert {r.doc_id: r.fp for r in marked.collect()} == want
+    assert [r.fp for r in with_bands(docs, "words", "n", "bands", "text", 5, "fp", False).collect()] == [None] * 4
