@@ -41,6 +41,8 @@ DIMENSIONS, K, SHARPNESS = 48, 25, 8
 #: Texts whose words are looked at together, and rows of counts that are made at a time: a row of counts
 #: has FEATURES numbers, so a task holds few of them.
 TEXTS, ROWS = 1024, 64
+#: Features and counts on their way to the driver: as bytes, which sort as the numbers do.
+PLACE, TIMES = np.dtype(">u2"), np.dtype(">u4")
 
 
 class _Classes(dict):
@@ -113,9 +115,13 @@ class Model:
     prior: float
 
     def project(self, found: np.ndarray) -> np.ndarray:
-        latent = weighted(found, self.idf) @ self.axes - self.mean
+        return self.placed(weighted(found, self.idf), found.any(axis=1, keepdims=True))
+
+    def placed(self, matrix: np.ndarray, any_found: np.ndarray) -> np.ndarray:
+        """Vectors of weighted rows; any_found is a column that says which texts have any feature."""
+        latent = matrix @ self.axes - self.mean
         length = np.linalg.norm(latent, axis=1, keepdims=True)
-        known = found.any(axis=1, keepdims=True) & (length > 1e-9)
+        known = any_found & (length > 1e-9)
         return np.where(known, latent / np.where(known, length, 1), 0).astype(np.float32)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
@@ -139,11 +145,15 @@ class Model:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """The space and the votes of a sample, whose rows of counts are given as (features, counts)."""
-    found = np.zeros((len(rows), FEATURES), np.float32)
-    for out, (features, n) in zip(found, rows):
-        out[features] = n
-    idf = (np.log((1 + len(rows)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
-    matrix = weighted(found, idf)
+    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *(features for features, _ in rows)]), minlength=FEATURES)
+    idf = (np.log((1 + len(rows)) / (1 + often)) + 1).astype(np.float32)
+    # This is made on the driver: rows are weighted a block at a time, so there is one dense matrix and no copy of it.
+    matrix = np.empty((len(rows), FEATURES), np.float32)
+    for at in range(0, len(rows), ROWS):
+        found = np.zeros((min(ROWS, len(rows) - at), FEATURES), np.float32)
+        for out, (features, n) in zip(found, rows[at : at + ROWS]):
+            out[features] = n
+        matrix[at : at + ROWS] = weighted(found, idf)
     # Randomised range finding with two power iterations; the seed is fixed.
     start = np.random.default_rng(42).standard_normal((FEATURES, DIMENSIONS + 16)).astype(np.float32)
     basis = np.linalg.qr(matrix @ start)[0]
@@ -153,7 +163,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     model = Model(idf, np.float32(0), np.ascontiguousarray(axes), np.empty(0), labels, float(labels.mean()) if len(labels) else 0.5)
     if len(labels):
         model.mean = (matrix @ axes).mean(axis=0)
-    model.vectors = model.project(found)
+    model.vectors = model.placed(matrix, np.array([len(features) > 0 for features, _ in rows], bool)[:, None])
     return model
 
 
@@ -181,8 +191,8 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str, t
                         columns = [
                             batch.column(0).slice(at, len(found)),
                             batch.column(1).slice(at, len(found)),
-                            pa.array(rows, pa.list_(pa.int32())),
-                            pa.array([r[i] for r, i in zip(found, rows)], pa.list_(pa.int32())),
+                            pa.array([i.astype(PLACE).tobytes() for i in rows], pa.binary()),
+                            pa.array([r[i].astype(TIMES).tobytes() for r, i in zip(found, rows)], pa.binary()),
                         ]
                         at += len(found)
                         yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "features", "counts"])
@@ -190,11 +200,12 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str, t
     # At most SAMPLE rows of two numbers are broadcast.
     labelled = texts.join(F.broadcast(ids), "id").select("id", "label", "text")
     kind = labelled.schema["id"].dataType.simpleString()
-    rows = labelled.mapInArrow(run, f"id {kind}, label int, features array<int>, counts array<int>")
+    rows = labelled.mapInArrow(run, f"id {kind}, label int, features binary, counts binary")
     # Repeated ids: one row each, so the bound holds.
     rows = rows.groupBy("id").agg(F.min(F.struct("features", "counts", "label")).alias("row")).orderBy("id")
     rows = [r.row for r in rows.collect()]
-    return fit([(np.array(r.features, np.int64), np.array(r.counts)) for r in rows], np.array([r.label for r in rows], np.float64))
+    found = [(np.frombuffer(r.features, PLACE).astype(np.int64), np.frombuffer(r.counts, TIMES).astype(np.int64)) for r in rows]
+    return fit(found, np.array([r.label for r in rows], np.float64))
 
 
 def held_out(id_column: Column) -> Column:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import duckdb
@@ -328,3 +329,25 @@ def test_top_k_of_huge_and_no_vectors(spark):
     assert topk.top_k(empty, empty, k=3).collect() == []
 
 
+
+
+def test_quality_fits_in_little_more_than_one_matrix():
+    rng = np.random.default_rng(0)
+    places = [np.sort(rng.choice(quality.FEATURES, rng.integers(0, 300), replace=False)) for _ in range(1500)]
+    rows = [(p, rng.integers(1, 9, len(p))) for p in places]
+    tracemalloc.start()
+    model = quality.fit(rows, np.arange(1500) % 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * 1500 * quality.FEATURES * 4
+    found = np.zeros((1500, quality.FEATURES), np.float32)
+    for out, (place, n) in zip(found, rows):
+        out[place] = n
+    assert np.array_equal(model.project(found), model.vectors)
+
+
+def test_quality_features_travel_as_bytes_that_sort_as_numbers():
+    lists = [[], [0], [1], [1, 2], [255], [256], [256, 1], [6143]]
+    for kind in (quality.PLACE, quality.TIMES):
+        assert sorted(lists) == sorted(lists, key=lambda x: np.array(x, kind).tobytes())
+    assert quality.FEATURES <= np.iinfo(quality.PLACE).max + 1
