@@ -10,9 +10,9 @@ words known so far is kept while it is small.
   Cuts before a space, and around a line end, between two characters that are neither white space nor
   control characters.
 
-In both, trailing ``.`` and ``,`` behind an ASCII letter or digit are a word of their own, and words of
-Latin letters alone, which nothing before the merges changes or cuts, go straight to the library's
-merges; this takes a third of the time.
+In both, trailing signs behind a Latin letter or a digit are a word of their own (``.`` and ``,`` in
+``byte_pretokens``), and words of Latin letters alone, which nothing before the merges changes or cuts, go
+straight to the library's merges; this takes a third of the time.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at a time, and where ids of single documents are made of them.
 BLOCK_BYTES, ID_BYTES = 8 << 20, 2 << 20
-#: A table that knows so many words learns anew. Workers outlive their tasks, and so does what they know.
-KNOWN_WORDS = 150_000
+#: A table that knows so many words forgets those it met once. Workers outlive their tasks, and so does what they know.
+KNOWN_WORDS = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,6 +44,11 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 #: Words that neither Unicode forms, lower case nor the cutting patterns change.
 LOWER_WORD, CASED_WORD = re.compile("[a-zß-öø-ÿ]+"), re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words of ASCII and Latin letters: each character's lower case is its own, and nothing composes.
+LATIN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*$"
+#: Signs that are cut from a letter or digit before them, if they end a word; no apostrophe, as "'s" is one piece,
+#: and no sign of a special string.
+SIGNS, BEFORE_SIGNS = r""".,!?;:#$%&*@+=~^_/\-"()[]{}`""", "[A-Za-z0-9À-ÖØ-öø-ÿ]$"
 
 
 class WordTable:
@@ -58,12 +63,20 @@ class WordTable:
         self.tokenizer.no_padding()
         self.plain = (LOWER_WORD if self.tokenizer.normalizer else CASED_WORD).fullmatch
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # in the order of their places
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int64)  # in how many calls; halved when words are forgotten
+
+    def forget(self) -> None:
+        """Keeps the words that were met again, at most half a table of those met most often."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > KNOWN_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: KNOWN_WORDS // 2]])
+        words = list(self.known)
+        self.known = {words[i]: place for place, i in enumerate(kept.tolist())}
+        self.ids = spread(kept, self.lengths, self.ids)
+        self.lengths, self.met = self.lengths[kept], self.met[kept] // 2
 
     def cut(self, run: str) -> list[str]:
         """The vocabulary's own pre-tokens of a run, which it gives for each of them alone too. Whole if
@@ -104,7 +117,10 @@ class WordTable:
         self.lengths = np.concatenate([self.lengths, np.array([len(x) for x in found], np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
         known.update(zip(plain + rest, range(len(known), len(known) + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[codes] += 1
+        return codes
 
 
 @cache
@@ -138,11 +154,14 @@ def listed(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
-def without_tail(words: pa.Array) -> tuple[list[str], list[str]]:
-    """Words without trailing points and commas, and those: a vocabulary always cuts between them."""
-    core = pc.utf8_rtrim(words, ".,")
-    core = listed(pc.if_else(pc.match_substring_regex(core, "[A-Za-z0-9]$"), core, words))
-    return core, [w[len(c) :] for w, c in zip(listed(words), core)]
+def without_tail(words: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+    """Words without trailing signs, which of them had such a tail, and these tails: a vocabulary that cuts
+    words into letters, digits and signs always cuts between them."""
+    core = pc.utf8_rtrim(words, SIGNS)
+    core = pc.if_else(pc.match_substring_regex(core, BEFORE_SIGNS), core, words)
+    cut = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+    where = np.flatnonzero(cut)
+    return listed(core), where, [w[-n:] for w, n in zip(listed(words.take(pa.array(where))), cut[where].tolist())]
 
 
 def word_tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +169,15 @@ def word_tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten().dictionary_encode()
     distinct = words.dictionary
-    # The vocabulary lowers the case. Letters beyond ASCII may compose otherwise in lower case, and
-    # special strings count only as they are: those words stay.
-    plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<|")))
-    core, tail = without_tail(pc.if_else(plain, pc.ascii_lower(distinct), distinct))
-    own = table(path)
-    both = own.codes(core + tail).reshape(2, -1).T
+    # The vocabulary lowers the case. Other letters may compose otherwise in lower case, and special
+    # strings count only as they are: those words stay.
+    plain = pc.and_(pc.match_substring_regex(distinct, LATIN), pc.invert(pc.match_substring(distinct, "<|")))
+    core, where, tails = without_tail(pc.if_else(plain, pc.utf8_lower(distinct), distinct))
+    own, place = table(path), {"": 0}
+    of_tail = [place.setdefault(t, len(place)) for t in tails]
+    found = own.codes(core + list(place))
+    both = np.stack([found[: len(core)], np.full(len(core), found[len(core)])], axis=1)
+    both[where, 1] = found[len(core) :][of_tail]
     ids = spread(both.ravel(), own.lengths, own.ids)
     lengths = own.lengths[both].sum(1)
     codes = words.indices.to_numpy(zero_copy_only=False)
