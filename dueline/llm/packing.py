@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dueline.llm.shared import text_or_empty
+from dueline.llm.shared import map_batches, text_or_empty
 from dueline.llm.tokens import documents_of, word_tokens
 
 #: Tokens of a window, at least: 512 sequences of 4096.
@@ -120,4 +120,4 @@ def pack(
     texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(F.col(text_column)).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"`{c}` bigint" for c in columns) + ", ids array<int>" * with_ids
-    return texts.mapInArrow(run, schema)
+    return map_batches(texts, run, schema)

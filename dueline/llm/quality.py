@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from dueline.llm.shared import fresh, text_or_empty
+from dueline.llm.shared import fresh, map_batches, text_or_empty
 from dueline.llm.tokens import blocks, bounds, listed
 
 #: Most labelled documents that the space and the votes are made of.
@@ -200,7 +200,7 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str, t
     # At most SAMPLE rows of two numbers are broadcast.
     labelled = texts.join(F.broadcast(ids), "id").select("id", "label", "text")
     kind = labelled.schema["id"].dataType.simpleString()
-    rows = labelled.mapInArrow(run, f"id {kind}, label int, features binary, counts binary")
+    rows = map_batches(labelled, run, f"id {kind}, label int, features binary, counts binary")
     # Repeated ids: one row each, so the bound holds.
     rows = rows.groupBy("id").agg(F.min(F.struct("features", "counts", "label")).alias("row")).orderBy("id")
     rows = [r.row for r in rows.collect()]
@@ -231,7 +231,7 @@ def score(
 
     texts = docs.select(F.col(id_column).alias("doc_id"), held_out(F.col(id_column)).alias("held_out"), text_or_empty(F.col(text_column)).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    scores = texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    scores = map_batches(texts, run, f"doc_id {kind}, held_out boolean, score double")
     return scores.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -256,4 +256,4 @@ def keep_good(
             good = model.value.scores(pc.fill_null(batch.column(place), "")) >= threshold
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(good, pa.bool_()))
 
-    return given.mapInArrow(run, docs.schema)
+    return map_batches(given, run, docs.schema)

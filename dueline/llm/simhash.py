@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from dueline.llm.components import components
-from dueline.llm.shared import fresh, text_or_empty, written
+from dueline.llm.shared import fresh, map_batches, text_or_empty, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCK_WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -101,7 +101,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_column: str = "text", size
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = StructType([*docs.schema.fields, StructField(name, LongType())])
-    return docs.withColumn(text, text_or_empty(F.col(text_column))).mapInArrow(run, schema)
+    return map_batches(docs.withColumn(text, text_or_empty(F.col(text_column))), run, schema)
 
 
 def forest(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -209,7 +209,7 @@ def link_buckets(prints: DataFrame, most: int = BUCKET) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     rows = buckets(prints, most)
-    return rows.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "a bigint, b bigint")
+    return map_batches(rows.repartition("choice", "bits").sortWithinPartitions("choice", "bits"), run, "a bigint, b bigint")
 
 
 def rooted(prints: DataFrame) -> DataFrame:

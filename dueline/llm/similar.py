@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from dueline.llm.components import components
-from dueline.llm.shared import fresh, text_or_empty, written
+from dueline.llm.shared import fresh, map_batches, text_or_empty, written
 from dueline.llm.simhash import fingerprints_of, rooted, shingle_hashes
 
 BANDS, ROWS = 32, 6
@@ -90,7 +90,7 @@ def with_bands(docs: DataFrame, words: str, n: str, bands: str, text_column: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=names)
 
     new = [StructField(fp, LongType()), StructField(words, StringType()), StructField(n, LongType()), StructField(bands, ArrayType(LongType()))]
-    return docs.withColumn(text, text_or_empty(F.col(text_column))).mapInArrow(run, StructType([*docs.schema.fields, *new]))
+    return map_batches(docs.withColumn(text, text_or_empty(F.col(text_column))), run, StructType([*docs.schema.fields, *new]))
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -164,7 +164,7 @@ def by_cell(rows: DataFrame, cell: list[str], links_of) -> DataFrame:
 
     # Nodes are numbered, so the smallest of a cell comes first.
     dealt = rows.select(*cell, "node", "text").repartition(*cell).sortWithinPartitions(*cell, "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint")
 
 
 def forest_links(size: int, similarity: float):
